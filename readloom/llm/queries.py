@@ -1,9 +1,9 @@
 """The queries of this subpackage and their SQL oracles."""
 
-from . import query_exact
+from . import query_bpe, query_exact, query_urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (query_exact,):
+for _module in (query_urls, query_exact, query_bpe):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
