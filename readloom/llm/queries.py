@@ -1,9 +1,9 @@
 """The queries of this subpackage and their SQL oracles."""
 
-from . import query_bpe, query_exact, query_mixing, query_secrets, query_urls
+from . import query_bpe, query_exact, query_mixing, query_ngrams, query_secrets, query_urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (query_secrets, query_mixing, query_urls, query_exact, query_bpe):
+for _module in (query_secrets, query_mixing, query_urls, query_exact, query_bpe, query_ngrams):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
