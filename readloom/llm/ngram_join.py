@@ -283,9 +283,19 @@ def _labels(docs: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
     return graph.components(links.union(_linked(docs, more, seed)))
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that stay when one document of each component does: the one with
+    the smallest id. Wordless rows stay. Rows that share that id and the text stay
+    together; rows without an id stay where no row of their component has one."""
+    stay = ngram_components(df, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct()
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("stay_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("stay_hash"))
+    return df.join(stay, same, "left_semi")
+
+
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id (smallest id reachable by
-    links), links_class (a name of the row's distinct set, null without words).
+    links), text_hash (xxhash64 of the text, so that rows can be told apart that share
+    an id but not the text).
 
     Null and wordless texts have no shingles and link with nothing: their component is
     their own id. Null ids take part and are never the smallest, unless all are null.
@@ -293,7 +303,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark: SparkSession = df.sparkSession
     util.small_batches(spark)
-    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     for seed in range(100):
         rows = util.stored(_described(docs, seed))
         sets = rows.where("n > 0").groupBy("node", "check", "n").agg(F.first("bits").alias("bits"))
@@ -301,9 +311,9 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             break  # no two sets share a name
     sets = util.stored(sets.select("node", "n", "bits"))
     labels = _labels(docs, sets, seed)
-    rows = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    rows = rows.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
     placed = rows.where("n > 0").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    full = placed.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("node").alias("links_class"))
-    none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("links_class"))
+    full = placed.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash")
+    none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash")
     return full.union(none)
