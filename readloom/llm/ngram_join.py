@@ -7,10 +7,12 @@
    fixed size. These members are dealt out to buckets as packed arrays, and sets that
    share one meet.
 3. Pairs of small blocks are bounded at once. A large block is not paired up: its sets
-   meet a few pivots first. What is linked is joined into components, and only blocks
-   whose sets then lie in different components are cut into size-banded tiles, compared
-   tile by tile. Sets linked already need no further comparison, as a component is the
-   same whichever links show it.
+   meet a few pivots first, in rounds; what is linked is joined into components, and the
+   next pivots come from the components that are left. Blocks whose sets still lie in
+   different components are cut into size-banded tiles. A tile compares its sets across
+   components and joins those that link as it goes, so it returns a few links, never its
+   pairs. Sets linked already need no further comparison, as a component is the same
+   whichever links show it.
 4. Size and bit counts bound the overlap from above; pairs that remain are decided by
    intersecting the sorted arrays.
 """
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from . import graph, shingles, util
 
@@ -36,7 +39,10 @@ BUCKET = 400_000
 #: Estimated count from which a member is not gathered in one bucket.
 HOT = 200_000
 PIVOTS = 4
-TILE = 512
+#: Rounds of pivots before tiles, and pivots of a block in a later round.
+ROUNDS = 4
+NEXT_PIVOTS = 3
+TILE = 256
 #: Bits of the filter that names the sets to be fetched: a fixed bound of 1 MB.
 FILTER = 1 << 23
 
@@ -173,25 +179,17 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.where(allowed("n_a", "n_b", "bits_a", "bits_b")).select("a", "b")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
-    """The pairs (a, b) that link, by intersecting sorted arrays of hashes."""
-    spark = docs.sparkSession
-    pairs = util.stored(pairs)
-    n_pairs = pairs.count()
-    kind = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    if not n_pairs:
-        return spark.createDataFrame([], kind)
-    # pairs of one set stay together, up to 256 of them; a group holds about 256 pairs
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / 256))
-    grouped = util.stored(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("a", chunk), F.lit(-(-n_pairs // 256))).alias("group")))
-    wanted = grouped.select("group", F.col("a").alias("node")).union(grouped.select("group", "b")).distinct()
-    slot = F.pmod("node", F.lit(FILTER))
-    marks = wanted.select(F.shiftright(slot, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER}) % 64 AS int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+    """(node, members) of the sets named in wanted (node), once each, from the texts. A
+    filter of fixed size, broadcast, spares most other sets; the join is exact."""
+    marks = wanted.select(F.expr(f"cast(shiftright(pmod(node, {FILTER}), 6) AS int)").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER}) % 64 AS int))").alias("bit"))
     words = np.zeros(FILTER // 64, np.int64)
-    for r in marks.toLocalIterator():  # at most FILTER / 64 rows
+    for r in marks.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # at most FILTER / 64 rows
         words[r["at"]] = r["bits"]
-    sent = spark.sparkContext.broadcast(words.view(U64))
+    sent = docs.sparkSession.sparkContext.broadcast(words.view(U64))
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, seen = sent.value, set()
@@ -213,56 +211,96 @@ def _linked(docs: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
             yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(arrays, pa.binary())], ["node", "members"])
 
     sets = docs.select("text").mapInArrow(fetched, T.StructType([T.StructField("node", T.LongType()), T.StructField("members", T.BinaryType())]))
-    shipped = sets.join(wanted, "node").dropDuplicates(["group", "node"]).select(*[F.col(c).alias(c) for c in ("group", "node", "members")])
+    return sets.join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
+
+
+def _links(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted arrays share at least 3/4 of their union."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
+def _decided(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by intersecting sorted arrays of hashes."""
+    pairs = util.stored(pairs)
+    n_pairs = pairs.count()
+    if not n_pairs:
+        return pairs
+    # pairs of one set stay together, up to 256 of them; a group holds about 256 pairs
+    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / 256))
+    grouped = util.stored(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("a", chunk), F.lit(-(-n_pairs // 256))).alias("group")))
+    wanted = grouped.select("group", F.col("a").alias("node")).union(grouped.select("group", "b")).distinct()
+    shipped = members.join(wanted, "node").select(*[F.col(c).alias(c) for c in ("group", "node", "members")])
 
     def decided(todo: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         arrays = {k: np.frombuffer(x, U64) for k, x in zip(have["node"], have["members"], strict=True)}
-        out = []
-        for a, b in zip(todo["a"], todo["b"], strict=True):
-            x, y = arrays[a], arrays[b]
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[at] == x).sum())
-            if 100 * both >= 75 * (len(x) + len(y) - both):
-                out.append((a, b))
+        out = [(a, b) for a, b in zip(todo["a"], todo["b"], strict=True) if _links(arrays[a], arrays[b])]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return grouped.groupBy("group").cogroup(shipped.groupBy("group")).applyInPandas(decided, kind)
+    return util.stored(grouped.groupBy("group").cogroup(shipped.groupBy("group")).applyInPandas(decided, PAIR))
 
 
-def _tiled(big: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components that share a large block and that the bounds allow."""
+def _mixed(big: DataFrame, labels: DataFrame) -> DataFrame:
+    """(block, node, label) of the large blocks with more than one component; blocks with
+    the same sets are one."""
     named = big.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     blocks = named.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.count(F.lit(1)).alias("size"))
-    # blocks with the same sets are one
-    one = blocks.where("low < high").groupBy("sum", "size", "low", "high").agg(F.min("block").alias("block")).select("block")
+    one = blocks.where("low < high").groupBy("sum", "size").agg(F.min("block").alias("block")).select("block")
+    return util.stored(named.join(one, "block").select("block", "node", "label"))
+
+
+def _next_stars(mixed: DataFrame, turn: int) -> DataFrame:
+    """Every set of a mixed block with a few pivots of other components."""
+    parts = mixed.groupBy("block", "label").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
+    order = Window.partitionBy("block").orderBy(F.desc("size"), "label")
+    pivots = parts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= NEXT_PIVOTS).select("block", F.col("label").alias("other"), "pivot")
+    pairs = mixed.join(pivots, "block").where("label != other")
+    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def _tiled(mixed: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Links that join the components within each block, found tile by tile."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
-    members = util.stored(named.join(one, "block").join(sets, "node").select("block", "node", "label", "n", "bits", band.alias("band")))
-    width = members.groupBy("block", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    placed = members.join(width, ["block", "band"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    rows = util.stored(mixed.join(sets, "node").select("block", "node", "label", "n", "bits", band.alias("band")))
+    width = rows.groupBy("block", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    placed = rows.join(width, ["block", "band"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
     tiles = width.select("block", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
     other = tiles.select("block", F.col("band").alias("band_2"), F.col("tile").alias("tile_2"))
     # linked sizes lie in the same band or in neighbouring ones
     tasks = tiles.join(other, "block").where("(band = band_2 AND tile <= tile_2) OR band_2 = band + 1")
     tasks = tasks.withColumn("task", F.xxhash64("block", "band", "tile", "band_2", "tile_2"))
     left = placed.join(tasks, ["block", "band", "tile"]).select("task", "node", "label", "n", "bits")
-    right = placed.withColumnsRenamed({"band": "band_2", "tile": "tile_2"}).join(tasks, ["block", "band_2", "tile_2"]).select(*[F.col(c).alias(c) for c in ("task", "node", "label", "n", "bits")])
+    right = placed.withColumnsRenamed({"band": "band_2", "tile": "tile_2"}).join(tasks, ["block", "band_2", "tile_2"]).select("task", "node", "label", "n", "bits")
+    with_members = lambda t: t.join(members, "node").select(*[F.col(c).alias(c) for c in ("task", "node", "label", "n", "bits", "members")])
 
     def compared(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        grid = lambda t: np.frombuffer(b"".join(t["bits"]), U64).reshape(len(t), -1)
-        out = [np.zeros((0, 2), np.int64)]
+        out, parent = [], {}
+
+        def root(k: int) -> int:
+            while (up := parent.get(k, k)) != k:
+                k = up
+            return k
+
         if len(x) and len(y):
-            bits, nodes, n, label = grid(y), y["node"].to_numpy(), y["n"].to_numpy(), y["label"].to_numpy()
-            for node, size, mine, own in zip(x["node"], x["n"], x["label"], grid(x), strict=True):
-                ok = (label != mine) & _may_link(np.int64(size), n, own, bits)
-                hit = nodes[ok]
-                out.append(np.stack([np.minimum(hit, node), np.maximum(hit, node)], axis=1))
-        found = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+            grid = lambda t: np.frombuffer(b"".join(t["bits"]), U64).reshape(len(t), -1)
+            bits, nodes, n = grid(y), y["node"].tolist(), y["n"].to_numpy()
+            label, arrays = y["label"].to_numpy().copy(), [np.frombuffer(m, U64) for m in y["members"]]
+            for node, size, mine, own, m in zip(x["node"], x["n"], x["label"], grid(x), x["members"], strict=True):
+                mine, array = root(mine), np.frombuffer(m, U64)
+                maybe = (label != mine) & _may_link(np.int64(size), n, own, bits)
+                for j in np.flatnonzero(maybe).tolist():
+                    theirs = root(int(label[j]))
+                    if theirs != mine and _links(array, arrays[j]):
+                        out.append((node, nodes[j]))
+                        parent[theirs] = mine
+                        label[label == theirs] = mine
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    kind = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(compared, kind).distinct()
+    return util.stored(with_members(left).groupBy("task").cogroup(with_members(right).groupBy("task")).applyInPandas(compared, PAIR))
 
 
 def _labels(docs: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
@@ -274,13 +312,22 @@ def _labels(docs: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
     turn = F.pmod("block", F.lit(PIVOTS))
     pivot = big.groupBy("block").agg(F.min_by("node", F.xxhash64("node", turn)).alias("pivot"))
     stars = big.join(pivot, "block").where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    first = blocks.where("kind = 0").select("a", "b").union(stars).distinct()
-    links = util.stored(_linked(docs, _bounded(first, sets), seed))
+    first = util.stored(_bounded(blocks.where("kind = 0").select("a", "b").union(stars).distinct(), sets))
+    wanted = first.select(F.col("a").alias("node")).union(first.select("b"))
+    links = _decided(first, util.stored(_fetched(docs, wanted, seed)))
     labels = graph.components(links)
-    more = util.stored(_tiled(big, labels, sets))
-    if more.isEmpty():
+    mixed = _mixed(big, labels)
+    if mixed.isEmpty():
         return labels
-    return graph.components(links.union(_linked(docs, more, seed)))
+    members = util.stored(_fetched(docs, mixed.select("node").distinct(), seed))
+    for turn_no in range(1, ROUNDS):
+        found = _decided(_bounded(_next_stars(mixed, turn_no), sets), members)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        labels = graph.components(links)
+        mixed = _mixed(big, labels)
+    return graph.components(links.union(_tiled(mixed, sets, members)))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from . import util
 WORDS = 5
 U64 = np.uint64
 #: Bits of a signature.
-BITS = 1024
+BITS = 2048
 
 
 def of_batch(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
