@@ -10,6 +10,12 @@ def _text(url: Column) -> Column:
     return F.coalesce(url, F.lit(""))
 
 
+def bound(value: Column, fn) -> Column:
+    """fn of a value that is computed once, however often fn uses it: an optimizer that
+    moves filters puts whole expressions in place of names, and nested use multiplies."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def part(url: Column, which: str) -> Column:
     """scheme, netloc, path (without ;parameters), query or fragment; empty if absent."""
     at = {"scheme": 1, "netloc": 2, "path": 3, "query": 4, "fragment": 5}[which]
@@ -66,7 +72,10 @@ def _is_keyed(url: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """Lower-case scheme and host, single slashes, no final slash, no parameters, query or
     fragment; only KEYED_HOST keeps its keys. Null stays null."""
-    path = F.regexp_replace(part(url, "path"), "/+", "/")
+    return bound(url, lambda u: bound(F.regexp_replace(part(u, "path"), "/+", "/"), lambda p: _canonical(u, p)))
+
+
+def _canonical(url: Column, path: Column) -> Column:
     path = F.when(path.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(path, "/$", ""))
     scheme, netloc = F.lower(part(url, "scheme")), F.lower(part(url, "netloc"))
     kept = F.concat_ws("&", *[F.concat(F.lit(f"{k}="), F.url_encode(query_value(url, k))) for k in KEYED])
@@ -90,7 +99,10 @@ BLOCKED_PARTS = [
 
 def is_article_url(url: Column, base: Column) -> Column:
     """Whether a url of the base's site looks like an article's."""
-    path = F.regexp_replace(part(url, "path"), "^/+|/+$", "")
+    return bound(url, lambda u: is_internal_url(u, base) & bound(F.regexp_replace(part(u, "path"), "^/+|/+$", ""), lambda p: _article_path(u, p)))
+
+
+def _article_path(url: Column, path: Column) -> Column:
     low = F.concat(F.lit("/"), F.lower(path), F.lit("/"))
     blocked = F.lit(False)
     for x in BLOCKED_PARTS:
@@ -100,7 +112,7 @@ def is_article_url(url: Column, base: Column) -> Column:
     dated = low.rlike(r"/\d{4}/\d{1,2}/\d{1,2}/[^/]+") | low.contains("/p/")
     rest = F.when(issue, ~F.lower(path).rlike(r"^issue/\d+$")).otherwise((n_parts == 1) & path.contains("-"))
     keyed = _is_keyed(url) & (path == KEYED_PATH[1:]) & query_value(url, KEYED[0]).isNotNull()
-    return is_internal_url(url, base) & (keyed | ((path != "") & ~blocked & (dated | rest)))
+    return keyed | ((path != "") & ~blocked & (dated | rest))
 
 
 def archive_context(url: Column) -> Column:

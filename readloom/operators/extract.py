@@ -73,7 +73,7 @@ def extract_post_links(pages: DataFrame, default_year: int | None = None) -> Dat
     return dated.select("page_id", "page_url", "link_idx", "url", F.col("link.title").alias("title"), F.coalesce(dates.date_from_url(F.col("url")), near).alias("published_date"))
 
 
-def _feed_items(xml: str | None) -> list[dict]:
+def _feed_items(xml: str | None, feed_url: str | None) -> list[dict]:
     import xml.etree.ElementTree as ET
 
     try:
@@ -86,16 +86,16 @@ def _feed_items(xml: str | None) -> list[dict]:
         if name(item) in ("item", "entry"):
             said = lambda *names: next((c.text.strip() for c in item if name(c) in names and c.text), None)  # noqa: E731, B023
             link = said("link") or next((c.get("href") for c in item if name(c) == "link" and c.get("href")), None)
-            if link:
-                out.append({"link": link, "title": said("title"), "date": said("pubdate", "published", "updated", "date")})
+            if link and (whole := pagefacts.joined(feed_url, link)):
+                out.append({"link": whole, "title": said("title"), "date": said("pubdate", "published", "updated", "date")})
     return out
 
 
 def extract_feed_posts(feeds: DataFrame) -> DataFrame:
     """(feed_url, item_idx, url, title, published_date) of RSS items and Atom entries, the
     first of each url; a feed that is no XML gives no rows."""
-    items = per_row(_feed_items, T.ArrayType(_struct(link=_S, title=_S, date=_S)), F.col("xml"))
-    raw = long_rows(feeds).select("feed_url", F.posexplode(items).alias("item_idx", "item")).withColumn("url", urls.canonical_url(urls.join_url(F.col("feed_url"), F.col("item.link"))))
+    items = per_row(_feed_items, T.ArrayType(_struct(link=_S, title=_S, date=_S)), F.col("xml"), F.col("feed_url"))
+    raw = long_rows(feeds).select("feed_url", F.posexplode(items).alias("item_idx", "item")).withColumn("url", urls.canonical_url(F.col("item.link")))
     ok = raw.where(urls.is_article_url(F.col("url"), F.col("feed_url")))
     one = ok.withColumn("k", F.row_number().over(Window.partitionBy("feed_url", "url").orderBy("item_idx"))).where("k = 1")
     return one.select("feed_url", "item_idx", "url", F.col("item.title").alias("title"), F.coalesce(dates.date_from_url(F.col("url")), dates.parse_date_text(F.col("item.date"))).alias("published_date"))
