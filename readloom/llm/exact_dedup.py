@@ -24,6 +24,8 @@ POINTS = (1_103_515_245, 1_566_083_941)
 CHUNK = 1024
 #: Characters of one compared chunk.
 COMPARED = 1 << 16
+#: Fingerprints with more than one row are broadcast up to this many (24 bytes each).
+MAX_BROADCAST = 500_000
 
 
 def shift(point: int, length: int) -> int:
@@ -61,7 +63,7 @@ def hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         end = np.cumsum(chunks) * CHUNK
         move = np.repeat(end - offsets[a + 1 : b + 1], length)
         padded[np.arange(offsets[a], offsets[b]) + move] = data[offsets[a] : offsets[b]]
-        part = np.concatenate([m.astype(np.float64) @ _WEIGHTS for m in np.array_split(padded.reshape(total, CHUNK), -(-total // 4096))]).astype(np.uint64)
+        part = np.concatenate([m.astype(np.float64) @ _WEIGHTS for m in np.array_split(padded.reshape(total, CHUNK), -(-total // 1024))]).astype(np.uint64)
         left = np.repeat(np.cumsum(chunks), chunks) - 1 - np.arange(total)  # chunks that follow
         some, begin = chunks > 0, np.cumsum(chunks) - chunks
         for k, x in enumerate(POINTS):
@@ -104,7 +106,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     rows = util.stored(
         named.withColumn("fp", fingerprint(norm)).select("*", F.col("fp.h1").alias(h1), F.col("fp.h2").alias(h2), F.col("fp.size").alias(size)).drop("fp").withColumn("text_sha256", F.sha2(norm, 256))
     )
-    repeated = rows.groupBy(*key).count().where("count > 1").drop("count")
+    repeated = util.stored(rows.groupBy(*key).count().where("count > 1").drop("count"))
+    if repeated.count() <= MAX_BROADCAST:  # else both sides are shuffled
+        repeated = F.broadcast(repeated)
     chunk = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.length(norm) / COMPARED).cast("int")), lambda i: F.substr(F.col(norm), i * COMPARED + 1, F.lit(COMPARED)))).alias("chunk_no", "chunk")
     # the grouping compares the chunks themselves
     variants = rows.select(*key, norm).join(repeated, key).select(*key, chunk).groupBy(*key, "chunk_no", "chunk").agg(F.lit(1).alias("one"))
@@ -115,10 +119,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         rows = rows.join(collided.withColumn(tie, F.lit(True)), key, "left").withColumn(tie, F.when(F.col(tie), F.col(norm)).otherwise(""))
     rows = rows.drop(norm)
     groups = rows.groupBy(*key, tie).agg(F.min(row_id).alias(first), F.count(F.lit(1)).alias("group_size"))
-    # one row of each group, also if its id is repeated or null
-    holders = rows.join(groups, [*key, tie]).withColumn(first, F.col(first)).withColumn(
-        repeat, F.when(F.col(row_id).eqNullSafe(F.col(first)), F.row_number().over(Window.partitionBy(*key, tie, row_id).orderBy(row_id)))
-    )
+    holders = rows.join(groups, [*key, tie])
+    one = F.col(row_id).eqNullSafe(F.col(first)).cast("int")
+    # one row of each group, also if its id is repeated or null; mostly none is
+    if not rows.groupBy(*key, tie, row_id).count().where("count > 1").isEmpty():
+        turn = F.row_number().over(Window.partitionBy(*key, tie, row_id).orderBy(row_id))
+        one = F.when(F.col(row_id).eqNullSafe(F.col(first)), turn)
+    holders = holders.withColumn(repeat, one)
     return holders.select(
         *[F.col(f"`{c}`") for c in columns], F.col(first).alias("keep_id"), "group_size", (F.coalesce(F.col(repeat), F.lit(0)) == 1).alias("kept"), "text_sha256"
     )

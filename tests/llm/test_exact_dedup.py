@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from readloom.llm import exact_dedup as x
@@ -16,6 +16,7 @@ def hashed(texts):
     return list(zip(*[h.tolist() for h in x.hashes(data, offsets)]))
 
 
+@settings(deadline=None)
 @given(st.text(max_size=50), st.text(max_size=50))
 def test_pieces_combine(a, b):
     a, b = a.encode("utf-8", "ignore").decode(), b.encode("utf-8", "ignore").decode()
