@@ -43,6 +43,8 @@ PIVOTS = 4
 ROUNDS = 4
 NEXT_PIVOTS = 3
 TILE = 256
+#: Rows that stay are broadcast up to this many (16 bytes each).
+MAX_BROADCAST = 500_000
 #: Bits of the filter that names the sets to be fetched: a fixed bound of 1 MB.
 FILTER = 1 << 23
 
@@ -335,6 +337,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     the smallest id. Wordless rows stay. Rows that share that id and the text stay
     together; rows without an id stay where no row of their component has one."""
     stay = ngram_components(df, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct()
+    stay = util.stored(stay)
+    if stay.count() <= MAX_BROADCAST:  # else both sides are shuffled
+        stay = F.broadcast(stay)
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("stay_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("stay_hash"))
     return df.join(stay, same, "left_semi")
 
