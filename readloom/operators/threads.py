@@ -138,13 +138,36 @@ def top_roots_with_replies(comments: DataFrame, limit: int = 25) -> DataFrame:
     return roots.select(*comments.columns).unionByName(replies)
 
 
-def merge_linked_articles(stories: DataFrame, books: DataFrame, chapters: DataFrame) -> DataFrame:
+def merge_linked_articles(stories: DataFrame, books: DataFrame, chapters: DataFrame, comments: DataFrame | None = None) -> DataFrame:
     """Chapters of each story (story_id, title, url, text): those of the linked article, with
-    `linked_` before their file names, else the story's own text; then the story's comments
-    follow. (story_id, title, part, chapter_idx, filename, content_html)."""
+    `linked_` before their file names, else the story's own text; then one of the story's
+    comments (story_id, root_pos, html, as from render_threads). Chapters with is_comments
+    are the source's comments. (story_id, title, part, chapter_idx, filename, content_html),
+    in order of chapter_idx; part: article, source_comments, story_comments."""
     keyed = books.select("book_id", urls.url_match_key(F.col("source_url")).alias("key"))
     one = keyed.where("key != ''").groupBy("key").agg(F.min("book_id").alias("book_id"))
     named = stories.withColumn("key", urls.url_match_key(F.col("url"))).join(one, "key", "left")
-    linked = named.where("book_id IS NOT NULL").join(chapters, "book_id").select("story_id", named["title"], F.lit("article").alias("part"), "chapter_idx", F.concat(F.lit("linked_"), "filename").alias("filename"), "content_html")
+    part = F.when(F.col("is_comments"), "source_comments").otherwise("article") if "is_comments" in chapters.columns else F.lit("article")
+    linked = named.where("book_id IS NOT NULL").join(chapters, "book_id").select("story_id", named["title"], part.alias("part"), "chapter_idx", F.concat(F.lit("linked_"), "filename").alias("filename"), "content_html")
     own = named.where("book_id IS NULL").select("story_id", "title", F.lit("article").alias("part"), F.lit(0).alias("chapter_idx"), F.lit("article.xhtml").alias("filename"), F.coalesce("text", F.lit("")).alias("content_html"))
-    return linked.unionByName(own)
+    merged = linked.unionByName(own)
+    if comments is None:
+        return merged
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("root_pos", "html"))), lambda x: x["html"]), "")
+    bodies = comments.groupBy("story_id").agg(body.alias("content_html"))
+    last = merged.groupBy("story_id").agg(F.max("chapter_idx").alias("last"))
+    after = stories.select("story_id", "title").join(bodies, "story_id").join(last, "story_id", "left")
+    return merged.unionByName(after.select("story_id", "title", F.lit("story_comments").alias("part"), (F.coalesce("last", F.lit(-1)) + 1).alias("chapter_idx"), F.lit("story_comments.xhtml").alias("filename"), "content_html"))
+
+
+def linked_toc(merged: DataFrame) -> DataFrame:
+    """(story_id, place, label, filename, children) from merge_linked_articles: the article,
+    with the source's and the story's comments below it; without an article they stand alone."""
+    last = lambda part: F.max_by("filename", F.when(F.col("part") == part, F.col("chapter_idx")))
+    heads = merged.groupBy("story_id").agg(last("article").alias("article"), last("source_comments").alias("source"), last("story_comments").alias("story"))
+    entry = lambda label, name: F.struct(F.lit(label).alias("label"), F.col(name).alias("filename"))
+    below = F.filter(F.array(entry("Source comments", "source"), entry("Story comments", "story")), lambda x: x["filename"].isNotNull())
+    rows = heads.withColumn("below", below)
+    top = rows.where("article IS NOT NULL").select("story_id", F.lit(0).alias("place"), F.lit("Article").alias("label"), F.col("article").alias("filename"), F.col("below").alias("children"))
+    alone = rows.where("article IS NULL").select("story_id", F.posexplode("below").alias("place", "x"), F.slice("below", 1, 0).alias("children"))
+    return top.unionByName(alone.select("story_id", "place", "x.label", "x.filename", "children"))

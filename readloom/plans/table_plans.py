@@ -147,6 +147,23 @@ def _(spark, d):
     return threads.merge_linked_articles(stories, books, chapters).select("story_id", "filename")
 
 
+@plan("c8_linked_comments", """
+    SELECT page_id AS story_id, CASE WHEN page_id % 2 = 0 THEN 'linked_article.xhtml' ELSE 'article.xhtml' END AS filename,
+           concat_ws(',', CASE WHEN page_id % 4 = 0 THEN 'linked_comments.xhtml' END, CASE WHEN page_id % 3 = 0 THEN 'story_comments.xhtml' END) AS children,
+           CASE WHEN page_id % 3 = 0 THEN '<p>0</p><p>1</p>' END AS comments
+    FROM pages""")
+def _(spark, d):
+    p = table(spark, d, "pages")
+    stories = p.select(F.col("page_id").alias("story_id"), F.lit("t").alias("title"), F.concat(F.lit("http://www.ex.com/"), F.col("page_id").cast("string"), F.lit("?x")).alias("url"), F.lit("self").alias("text"))
+    books = p.where("page_id % 2 = 0").select(F.col("page_id").alias("book_id"), F.concat(F.lit("https://ex.com/"), F.col("page_id").cast("string"), F.lit("/")).alias("source_url"))
+    chapter = lambda k, name: books.select("book_id", F.lit(k).alias("chapter_idx"), F.lit(name).alias("filename"), F.lit("x").alias("content_html"), F.lit(k > 0).alias("is_comments"))
+    chapters = chapter(0, "article.xhtml").unionByName(chapter(1, "comments.xhtml").where("book_id % 4 = 0"))
+    comments = p.where("page_id % 3 = 0").select(F.col("page_id").alias("story_id"), F.explode(F.array(F.lit(1), F.lit(0))).alias("root_pos")).withColumn("html", F.concat(F.lit("<p>"), F.col("root_pos").cast("string"), F.lit("</p>")))
+    merged = threads.merge_linked_articles(stories, books, chapters, comments)
+    said = merged.where("part = 'story_comments'").select("story_id", F.col("content_html").alias("comments"))
+    return threads.linked_toc(merged).join(said, "story_id", "left").select("story_id", "filename", F.array_join("children.filename", ",").alias("children"), "comments")
+
+
 # Assets: documents as contents; ten of them make a book, all books one bundle
 
 

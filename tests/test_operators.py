@@ -226,3 +226,18 @@ def test_streams_drop_late_rows_and_repeats(spark, tmp_path):
     run(streams.stream_job_timings(read().select(F.lit("j").alias("job_id"), F.col("ms").alias("duration_ms"), F.col("ok").alias("success"), F.col("ts").alias("event_ts"))), "t")
     # the last row comes after the watermark has passed its window
     assert [(r.total, r.failed) for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [(1, 1)]
+
+
+def test_merged_stories_keep_all_comments(spark):
+    stories = spark.createDataFrame([(1, "A", "http://www.ex.com/a?x", None), (2, "B", None, "self"), (3, "C", "http://ex.com/c", None)], "story_id int, title string, url string, text string")
+    books = spark.createDataFrame([(7, "https://ex.com/a/"), (8, "https://ex.com/c")], "book_id int, source_url string")
+    ch = spark.createDataFrame([(7, 0, "a.xhtml", "x", False), (7, 1, "c.xhtml", "said there", True), (8, 0, "c.xhtml", "only", True)], "book_id int, chapter_idx int, filename string, content_html string, is_comments boolean")
+    comments = spark.createDataFrame([(1, 1, "<b>"), (1, 0, "<a>"), (3, 0, "<c>")], "story_id int, root_pos int, html string")
+    merged = threads.merge_linked_articles(stories, books, ch, comments)
+    assert rows(merged.drop("title"), "story_id", "chapter_idx") == [
+        (1, "article", 0, "linked_a.xhtml", "x"), (1, "source_comments", 1, "linked_c.xhtml", "said there"), (1, "story_comments", 2, "story_comments.xhtml", "<a><b>"),
+        (2, "article", 0, "article.xhtml", "self"), (3, "source_comments", 0, "linked_c.xhtml", "only"), (3, "story_comments", 1, "story_comments.xhtml", "<c>"),
+    ]
+    toc = [(r.story_id, r.label, r.filename, [tuple(c) for c in r.children]) for r in threads.linked_toc(merged).orderBy("story_id", "place").collect()]
+    source, story = ("Source comments", "linked_c.xhtml"), ("Story comments", "story_comments.xhtml")
+    assert toc == [(1, "Article", "linked_a.xhtml", [source, story]), (2, "Article", "article.xhtml", []), (3, *source, []), (3, *story, [])]
