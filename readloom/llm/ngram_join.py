@@ -1,20 +1,23 @@
 """N-gram Jaccard join: which documents share 3/4 of their five-word shingles.
 
-1. Every document becomes a set of hashed shingles, with a hashed bitmap signature.
-   Equal sets form one class; the rest works on classes.
-2. Blocks: in a common order, rare shingles first, two linked sets share a member among
-   the first quarter of each. The order comes from a sketch of all shingle counts, of
-   fixed size. These members are dealt out to buckets as packed arrays, and sets that
-   share one meet.
-3. Pairs of small blocks are bounded at once. A large block is not paired up: its sets
-   meet a few pivots first, in rounds; what is linked is joined into components, and the
-   next pivots come from the components that are left. Blocks whose sets still lie in
-   different components are cut into size-banded tiles. A tile compares its sets across
-   components and joins those that link as it goes, so it returns a few links, never its
-   pairs. Sets linked already need no further comparison, as a component is the same
-   whichever links show it.
-4. Size and bit counts bound the overlap from above; pairs that remain are decided by
-   intersecting the sorted arrays.
+1. Every document becomes a set of hashed shingles. Equal sets form one class; the rest
+   works on classes.
+2. Blocks: in a common order, rare shingles first, two linked sets meet at their first
+   shared member. Where it stands in each set bounds the overlap, and so the size of a
+   partner; members beyond which no partner is left are not dealt out. The order comes
+   from a sketch of all shingle counts, of fixed size. Packed arrays of (member, set,
+   size, largest partner) go to buckets.
+3. Sets of a small block are paired where size and place allow it. A large block is not
+   paired up: its sets meet two pivots, of which one has the fewest rare members, as the
+   original of many copies has. Pairs are bounded by size and bit counts of hashed
+   bitmaps, then decided by intersecting sorted arrays; what links is joined into
+   components.
+4. In large blocks, sets that no other component of their block can still hold a partner
+   for are left out, by size band. The rest is cut into size-banded tiles of bounded
+   bytes. A tile compares its sets across components, by size, place and bit counts
+   before exact intersection, and joins those that link as it goes, so it returns a few
+   links, never its pairs. Sets linked already need no further comparison, as a component
+   is the same whichever links show it.
 """
 
 from collections.abc import Iterator
@@ -22,10 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from . import graph, shingles, util
 
@@ -33,20 +35,21 @@ U64 = np.uint64
 #: Slots of the count sketch (2 bytes each in a task, 1 when broadcast): a fixed bound.
 SLOTS = 1 << 21
 #: Members of a block that are paired directly.
-SMALL = 24
+SMALL = 32
 #: A bucket's share of packed members, about.
 BUCKET = 400_000
 #: Estimated count from which a member is not gathered in one bucket.
 HOT = 200_000
-PIVOTS = 4
-#: Rounds of pivots before tiles, and pivots of a block in a later round.
-ROUNDS = 4
-NEXT_PIVOTS = 3
-TILE = 256
+#: Bytes of the sets in a tile, about.
+TILE = 8_000_000
+#: Ratio of the sizes of a band, and bytes of a signature.
+BAND, BITS_BYTES = 4 / 3, shingles.BITS // 8
 #: Rows that stay are broadcast up to this many (16 bytes each).
 MAX_BROADCAST = 500_000
 #: Bits of the filter that names the sets to be fetched: a fixed bound of 1 MB.
 FILTER = 1 << 23
+#: Seeds tried for names of sets that do not collide.
+SEEDS = 100
 
 
 def _sketch(docs: DataFrame) -> np.ndarray:
@@ -77,24 +80,35 @@ def _sketch(docs: DataFrame) -> np.ndarray:
 
 
 def _described(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with n, node, check and bits of its set."""
-    kind = T.StructType([T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("check", T.LongType()), T.StructField("bits", T.BinaryType())])
+    """docs with n, node and check of its set in place of the text."""
+    kind = T.StructType([T.StructField(x, T.LongType()) for x in ("n", "node", "check")])
 
     @F.arrow_udf(kind)
     def described(texts: pa.Array) -> pa.Array:
         size = len(texts)
         doc, h = shingles.of_batch(*util.utf8(texts))
         node, check = shingles.names(doc, h, size, seed)
-        bits = shingles.signatures(doc, h, size)
-        packed = pa.array([x.tobytes() for x in bits], pa.binary())
-        return pa.StructArray.from_arrays([pa.array(shingles.sizes(doc, size)), pa.array(node), pa.array(check), packed], ["n", "node", "check", "bits"])
+        return pa.StructArray.from_arrays([pa.array(shingles.sizes(doc, size)), pa.array(node), pa.array(check)], ["n", "node", "check"])
 
     return docs.withColumn("set", described("text")).drop("text").select("*", "set.*").drop("set")
 
 
+#: Arrays of a packed record, one entry for a member of a set.
+ENTRY = {"members": np.uint64, "nodes": np.int64, "sizes": np.int32, "most": np.int32}
+ENTRY_KIND = [T.StructField(x, T.BinaryType()) for x in ENTRY]
+
+
+def _cut(key: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Starts of runs of equal keys, and (from, to) of each."""
+    if not len(key):
+        return np.zeros(0, np.int64), []
+    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return cut, list(zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True))
+
+
 def _blocks(docs: DataFrame, level: np.ndarray, seed: int, buckets: int) -> DataFrame:
-    """Rows (kind, a, b): kind 0 for a pair a < b of a small block, kind 1 for a member b
-    of the large block a."""
+    """Rows (kind, a, b, n, most): kind 0 for a pair a < b of a small block, kind 1 for a
+    member b of the large block a, with its size and its largest partner there."""
     sent = docs.sparkSession.sparkContext.broadcast(level)
     hot_level = int(min(8 * np.log2(1 + HOT), 254))
 
@@ -105,9 +119,9 @@ def _blocks(docs: DataFrame, level: np.ndarray, seed: int, buckets: int) -> Data
             n = len(offsets) - 1
             doc, h = shingles.of_batch(data, offsets)
             node, _ = shingles.names(doc, h, n, seed)
-            mark = shingles.prefixes(doc, h, n, level)
-            held.append((h[mark], node[doc[mark]]))
-            size += int(mark.sum())
+            at, most = shingles.prefixes(doc, h, n, level)
+            held.append((h[at], node[doc[at]], shingles.sizes(doc, n)[doc[at]].astype(np.int32), most.astype(np.int32)))
+            size += len(at)
             if size > 1_000_000:
                 yield packed(level, held)
                 held, size = [], 0
@@ -115,55 +129,73 @@ def _blocks(docs: DataFrame, level: np.ndarray, seed: int, buckets: int) -> Data
             yield packed(level, held)
 
     def packed(level: np.ndarray, held: list) -> pa.RecordBatch:
-        h, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        entries = [np.concatenate(x) for x in zip(*held, strict=True)]
+        h, node = entries[:2]
         hot = level[h & U64(SLOTS - 1)] >= hot_level
         # a hot member is spread over all buckets by its set
         bucket = (np.where(hot, util.mixed(h ^ node.view(U64)), util.mixed(h)) >> U64(3)) % U64(buckets)
         key = bucket.astype(np.int64) * 2 + hot
         order = np.argsort(key, kind="stable")
-        h, node, key = h[order], node[order], key[order]
-        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        ends = [*cut[1:].tolist(), len(key)]
-        parts = list(zip(cut.tolist(), ends, strict=True))
-        return pa.record_batch(
-            [pa.array(key[cut] // 2), pa.array(key[cut] % 2 == 1), pa.array([h[i:j].tobytes() for i, j in parts], pa.binary()), pa.array([node[i:j].tobytes() for i, j in parts], pa.binary())],
-            ["bucket", "hot", "members", "nodes"],
-        )
+        key = key[order]
+        cut, parts = _cut(key)
+        arrays = [pa.array([x[i:j].tobytes() for i, j in parts], pa.binary()) for x in (e[order] for e in entries)]
+        return pa.record_batch([pa.array(key[cut] // 2), pa.array(key[cut] % 2 == 1), *arrays], ["bucket", "hot", *ENTRY])
 
     def met(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for hot, part in rows.groupby("hot"):
-            h = np.frombuffer(b"".join(part["members"]), U64)
-            node = np.frombuffer(b"".join(part["nodes"]), np.int64)
+            h, node, n, most = (np.frombuffer(b"".join(part[x]), kind) for x, kind in ENTRY.items())
             order = np.lexsort((node, h))
-            h, node = h[order], node[order]
+            h, node, n, most = (x[order] for x in (h, node, n, most))
             new = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])] if len(h) else np.zeros(0, bool)
-            h, node = h[new], node[new]  # equal sets once
-            cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-            run = np.repeat(np.diff(np.r_[cut, len(h)]), np.diff(np.r_[cut, len(h)]))
-            large = (run > SMALL) | hot
-            out.append(np.stack([np.ones(int(large.sum()), np.int64), h[large].view(np.int64), node[large]], axis=1))
+            h, node, n, most = (x[new] for x in (h, node, n, most))  # equal sets once
+            cut, _ = _cut(h)
+            run = np.diff(np.r_[cut, len(h)])
+            large = np.repeat((run > SMALL) | hot, run)
+            out.append(np.stack([np.ones(int(large.sum()), np.int64), h[large].view(np.int64), node[large], n[large], most[large]], axis=1))
             if not hot:
-                h, node = h[~large], node[~large]
-                pairs = [np.stack([node[:-d][same], node[d:][same]], axis=1) for d in range(1, SMALL) if (same := h[d:] == h[:-d]).any()]
+                h, node, n, most = (x[~large] for x in (h, node, n, most))
+                pairs = []
+                for d in range(1, SMALL):
+                    i = np.flatnonzero(h[d:] == h[:-d])
+                    if not len(i):
+                        break
+                    i = i[(n[i] <= most[i + d]) & (n[i + d] <= most[i])]
+                    pairs.append(np.stack([node[i], node[i + d]], axis=1))
                 if pairs:
                     found = np.unique(np.concatenate(pairs), axis=0)
-                    out.append(np.concatenate([np.zeros((len(found), 1), np.int64), found], axis=1))
+                    none = np.zeros((len(found), 1), np.int64)
+                    out.append(np.concatenate([none, found, none, none], axis=1))
         rows = np.concatenate(out)
-        return pd.DataFrame({"kind": rows[:, 0].astype(np.int32), "a": rows[:, 1], "b": rows[:, 2]})
+        return pd.DataFrame({"kind": rows[:, 0].astype(np.int32), "a": rows[:, 1], "b": rows[:, 2], "n": rows[:, 3], "most": rows[:, 4]})
 
-    dealt_kind = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("hot", T.BooleanType()), T.StructField("members", T.BinaryType()), T.StructField("nodes", T.BinaryType())])
-    met_kind = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    dealt_kind = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("hot", T.BooleanType()), *ENTRY_KIND])
+    met_kind = T.StructType([T.StructField("kind", T.IntegerType()), *[T.StructField(x, T.LongType()) for x in ("a", "b", "n", "most")]])
     return docs.select("text").mapInArrow(dealt, dealt_kind).groupBy("bucket").applyInPandas(met, met_kind)
 
 
+def _stars(big: DataFrame) -> DataFrame:
+    """(a, b): the sets of each large block with two pivots: the one whose members before
+    the shared one are fewest for its size, and any other. Ties go to the same set in
+    every block, so that blocks of the same sets share their pivots."""
+    entry = F.struct(F.col("node").alias("pivot"), F.col("n").alias("n_p"), F.col("most").alias("most_p"))
+    first = F.max_by(entry, F.struct(F.round(F.col("most") / F.col("n"), 2), F.xxhash64("node")))
+    pivots = big.groupBy("block").agg(first.alias("x"), F.max_by(entry, F.xxhash64("node", F.lit(1))).alias("y"))
+    pivots = pivots.select("block", F.explode(F.array_distinct(F.array("x", "y"))).alias("p")).select("block", "p.*")
+    met = big.join(pivots, "block").where("node != pivot AND n <= most_p AND n_p <= most")
+    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
 def _may_link(na: np.ndarray, nb: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray) -> np.ndarray:
     """False where sizes or bit counts rule the link out. Every bit that one side alone
     has stands for at least one member that the other side lacks."""
     over_a = na - np.bitwise_count(bits_a & ~bits_b).sum(axis=-1, dtype=np.int64)
     over_b = nb - np.bitwise_count(bits_b & ~bits_a).sum(axis=-1, dtype=np.int64)
-    most = np.minimum(over_a, over_b)
-    return 100 * most >= 75 * (na + nb - most)
+    return shingles.linked(np.minimum(over_a, over_b), na, nb)
+
+
+def _grid(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), U64).reshape(len(bits), -1)
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -172,21 +204,22 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     @F.arrow_udf(T.BooleanType())
     def allowed(na: pa.Array, nb: pa.Array, bits_a: pa.Array, bits_b: pa.Array) -> pa.Array:
-        grid = lambda x: np.frombuffer(b"".join(x.to_pylist()), U64).reshape(len(x), -1)
         if not len(na):
             return pa.array([], pa.bool_())
-        return pa.array(_may_link(na.to_numpy(), nb.to_numpy(), grid(bits_a), grid(bits_b)))
+        return pa.array(_may_link(na.to_numpy(), nb.to_numpy(), _grid(bits_a.to_pylist()), _grid(bits_b.to_pylist())))
 
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a")
-    return sized.where(allowed("n_a", "n_b", "bits_a", "bits_b")).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(allowed("n_a", "n_b", "bits_a", "bits_b")).select("a", "b")
 
 
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
+FETCHED = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("members", T.BinaryType())])
+
+
 def _fetched(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """(node, members) of the sets named in wanted (node), once each, from the texts. A
-    filter of fixed size, broadcast, spares most other sets; the join is exact."""
+    """(node, n, bits, members) of the sets named in wanted (node), once each, from the
+    texts. A filter of fixed size, broadcast, spares most other sets; the join is exact."""
     marks = wanted.select(F.expr(f"cast(shiftright(pmod(node, {FILTER}), 6) AS int)").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER}) % 64 AS int))").alias("bit"))
     words = np.zeros(FILTER // 64, np.int64)
     for r in marks.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # at most FILTER / 64 rows
@@ -203,17 +236,20 @@ def _fetched(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
             at = np.mod(node, FILTER)
             keep = (mask[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool)
             edge = np.searchsorted(doc, np.arange(n + 1))
-            nodes, arrays = [], []
+            nodes, arrays, bits = [], [], []
             for i in np.flatnonzero(keep & (edge[1:] > edge[:-1])).tolist():
                 name = int(node[i])
                 if name not in seen:
                     seen.add(name)
+                    own = h[edge[i] : edge[i + 1]]
                     nodes.append(name)
-                    arrays.append(h[edge[i] : edge[i + 1]].tobytes())
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(arrays, pa.binary())], ["node", "members"])
+                    arrays.append(own.tobytes())
+                    bits.append(shingles.signature(own).tobytes())
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([len(x) // 8 for x in arrays], pa.int64()), pa.array(bits, pa.binary()), pa.array(arrays, pa.binary())], FETCHED.names)
 
-    sets = docs.select("text").mapInArrow(fetched, T.StructType([T.StructField("node", T.LongType()), T.StructField("members", T.BinaryType())]))
-    return sets.join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
+    sets = docs.select("text").mapInArrow(fetched, FETCHED)
+    one = F.first(F.struct("n", "bits", "members"))
+    return sets.join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(one.alias("s")).select("node", "s.*")
 
 
 def _links(x: np.ndarray, y: np.ndarray) -> bool:
@@ -222,7 +258,7 @@ def _links(x: np.ndarray, y: np.ndarray) -> bool:
         x, y = y, x
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
     both = int((y[at] == x).sum())
-    return 100 * both >= 75 * (len(x) + len(y) - both)
+    return shingles.linked(both, len(x), len(y))
 
 
 def _decided(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -246,40 +282,49 @@ def _decided(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return util.stored(grouped.groupBy("group").cogroup(shipped.groupBy("group")).applyInPandas(decided, PAIR))
 
 
-def _mixed(big: DataFrame, labels: DataFrame) -> DataFrame:
-    """(block, node, label) of the large blocks with more than one component; blocks with
-    the same sets are one."""
+def _open(big: DataFrame, labels: DataFrame) -> DataFrame:
+    """(block, node, label, n, most, band) of the large blocks' sets that may still link
+    with a set of another component there; blocks with the same such sets are one."""
     named = big.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    blocks = named.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.count(F.lit(1)).alias("size"))
-    one = blocks.where("low < high").groupBy("sum", "size").agg(F.min("block").alias("block")).select("block")
-    return util.stored(named.join(one, "block").select("block", "node", "label"))
-
-
-def _next_stars(mixed: DataFrame, turn: int) -> DataFrame:
-    """Every set of a mixed block with a few pivots of other components."""
-    parts = mixed.groupBy("block", "label").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
-    order = Window.partitionBy("block").orderBy(F.desc("size"), "label")
-    pivots = parts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= NEXT_PIVOTS).select("block", F.col("label").alias("other"), "pivot")
-    pairs = mixed.join(pivots, "block").where("label != other")
-    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-
-
-def _tiled(mixed: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+    blocks = named.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("block")
+    named = util.stored(named.join(blocks, "block", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int")))
+    # linked sizes lie in the same band or in neighbouring ones
+    bands = named.groupBy("block", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("most").alias("reach"), F.min("n").alias("least"), F.max("n").alias("greatest"))
+    near = bands.select("block", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "low", "high", "reach", "least", "greatest")
+    near = near.groupBy("block", "band").agg(F.collect_list(F.struct("low", "high", "reach", "least", "greatest")).alias("near"))  # three at most
+    meets = lambda x: ((x["low"] != F.col("label")) | (x["high"] != F.col("label"))) & (x["reach"] >= F.col("n")) & (x["least"] <= F.col("most")) & (4 * x["greatest"] >= 3 * F.col("n"))
+    some = named.join(near, ["block", "band"]).where(F.exists("near", meets)).drop("near")
+    some = util.stored(some)
+    util.dropped(named)
+    one = some.groupBy("block").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("sum_2"), F.count(F.lit(1)).alias("size"))
+    same = one.groupBy("sum", "sum_2", "size").agg(F.min("block").alias("as"), F.collect_list("block").alias("block")).select("as", F.explode("block").alias("block"))
+    # a pair may first meet in any of them
+    merged = some.join(same, "block").groupBy(F.col("as").alias("block"), "node").agg(F.first(F.struct("label", "n", "band")).alias("x"), F.max("most").alias("most"))
+    return merged.select("block", "node", "x.label", "x.n", "most", "x.band")
+
+
+def _tiled(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that join the components within each block, found tile by tile."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
-    rows = util.stored(mixed.join(sets, "node").select("block", "node", "label", "n", "bits", band.alias("band")))
-    width = rows.groupBy("block", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    placed = rows.join(width, ["block", "band"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    width = rows.groupBy("block", "band").agg(F.ceil(F.sum(8 * F.col("n") + BITS_BYTES) / TILE).alias("tiles"), F.sum(8 * F.col("n") + BITS_BYTES).alias("bytes"))
+    # a block that fits in one tile needs no bands
+    whole = width.groupBy("block").agg(F.sum("bytes").alias("all")).where(F.col("all") <= TILE).select("block", F.lit(True).alias("fits"))
+    width = util.stored(width.join(whole, "block", "left").where("fits IS NULL").select("block", "band", "tiles"))
+    placed = rows.join(whole, "block", "left").join(width, ["block", "band"], "left")
+    placed = placed.withColumn("tile", F.when(F.col("fits"), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("tiles")))).withColumn("band", F.when(F.col("fits"), 0).otherwise(F.col("band")))
+    placed = util.stored(placed.select("block", "band", "tile", "node", "label", "most", F.coalesce("fits", F.lit(False)).alias("fits")))
     tiles = width.select("block", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
     other = tiles.select("block", F.col("band").alias("band_2"), F.col("tile").alias("tile_2"))
-    # linked sizes lie in the same band or in neighbouring ones
     tasks = tiles.join(other, "block").where("(band = band_2 AND tile <= tile_2) OR band_2 = band + 1")
-    tasks = tasks.withColumn("task", F.xxhash64("block", "band", "tile", "band_2", "tile_2"))
-    left = placed.join(tasks, ["block", "band", "tile"]).select("task", "node", "label", "n", "bits")
-    right = placed.withColumnsRenamed({"band": "band_2", "tile": "tile_2"}).join(tasks, ["block", "band_2", "tile_2"]).select("task", "node", "label", "n", "bits")
-    with_members = lambda t: t.join(members, "node").select(*[F.col(c).alias(c) for c in ("task", "node", "label", "n", "bits", "members")])
-
-    def compared(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    task = F.xxhash64("block", "band", "tile", "band_2", "tile_2")
+    # a task's sets: side 0 meets side 1, and itself where both are the same tile
+    twice = tasks.withColumn("task", task).withColumn("alone", F.expr("band = band_2 AND tile = tile_2"))
+    left = twice.select("block", "band", "tile", "task", F.when(F.col("alone"), 2).otherwise(0).alias("side"))
+    right = twice.where("NOT alone").select("block", F.col("band_2").alias("band"), F.col("tile_2").alias("tile"), "task", F.lit(1).alias("side"))
+    cut = placed.where("NOT fits").join(left.union(right), ["block", "band", "tile"]).select("task", "side", "node", "label", "most")
+    once = placed.where("fits").select(F.xxhash64("block").alias("task"), F.lit(2).alias("side"), "node", "label", "most")
+    todo = once.union(cut).join(sets, "node").select(*[F.col(c).alias(c) for c in ("task", "side", "node", "label", "most", "n", "bits", "members")])
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
         out, parent = [], {}
 
         def root(k: int) -> int:
@@ -287,60 +332,60 @@ def _tiled(mixed: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
                 k = up
             return k
 
-        if len(x) and len(y):
-            grid = lambda t: np.frombuffer(b"".join(t["bits"]), U64).reshape(len(t), -1)
-            bits, nodes, n = grid(y), y["node"].tolist(), y["n"].to_numpy()
-            label, arrays = y["label"].to_numpy().copy(), [np.frombuffer(m, U64) for m in y["members"]]
-            for node, size, mine, own, m in zip(x["node"], x["n"], x["label"], grid(x), x["members"], strict=True):
-                mine, array = root(mine), np.frombuffer(m, U64)
-                maybe = (label != mine) & _may_link(np.int64(size), n, own, bits)
-                for j in np.flatnonzero(maybe).tolist():
-                    theirs = root(int(label[j]))
-                    if theirs != mine and _links(array, arrays[j]):
-                        out.append((node, nodes[j]))
-                        parent[theirs] = mine
-                        label[label == theirs] = mine
+        rows = rows.sort_values(["n", "node"], ignore_index=True)
+        n, most, side, nodes = (rows[x].to_numpy() for x in ("n", "most", "side", "node"))
+        label, bits = rows["label"].to_numpy().copy(), _grid(rows["bits"].tolist())
+        arrays = [np.frombuffer(m, U64) for m in rows["members"]]
+        upto = np.searchsorted(n, most, side="right")
+        for i in range(len(rows)):
+            j = np.arange(i + 1, upto[i])
+            j = j[(label[j] != label[i]) & (most[j] >= n[i]) & ((side[j] != side[i]) | (side[i] == 2))]
+            j = j[_may_link(n[i], n[j], bits[i], bits[j])]
+            for k in j.tolist():
+                mine, theirs = root(int(label[i])), root(int(label[k]))
+                if theirs != mine and _links(arrays[i], arrays[k]):
+                    out.append((nodes[i], nodes[k]))
+                    parent[theirs] = mine
+                    label[label == theirs] = mine
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return util.stored(with_members(left).groupBy("task").cogroup(with_members(right).groupBy("task")).applyInPandas(compared, PAIR))
+    links = util.stored(todo.groupBy("task").applyInPandas(compared, PAIR))
+    util.dropped(placed, width)
+    return links
 
 
-def _labels(docs: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
+def _labels(docs: DataFrame, entries: int, seed: int) -> DataFrame:
     """(node, label) of all sets that have a link."""
-    total = sets.agg(F.sum(F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1)).first()[0] or 0
-    blocks = util.stored(_blocks(docs, _sketch(docs), seed, max(8, -(-int(total) // BUCKET))))
-    big = blocks.where("kind = 1").select(F.col("a").alias("block"), F.col("b").alias("node"))
-    # a few pivots for each group of blocks with the same sets
-    turn = F.pmod("block", F.lit(PIVOTS))
-    pivot = big.groupBy("block").agg(F.min_by("node", F.xxhash64("node", turn)).alias("pivot"))
-    stars = big.join(pivot, "block").where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    first = util.stored(_bounded(blocks.where("kind = 0").select("a", "b").union(stars).distinct(), sets))
-    wanted = first.select(F.col("a").alias("node")).union(first.select("b"))
-    links = _decided(first, util.stored(_fetched(docs, wanted, seed)))
+    blocks = util.stored(_blocks(docs, _sketch(docs), seed, max(8, -(-entries // BUCKET))))
+    big = blocks.where("kind = 1").select(F.col("a").alias("block"), F.col("b").alias("node"), "n", "most")
+    pairs = util.stored(blocks.where("kind = 0").select("a", "b").union(_stars(big)).distinct())
+    sets = util.stored(_fetched(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), seed))
+    bounded = util.stored(_bounded(pairs, sets))
+    links = _decided(bounded, sets)
     labels = graph.components(links)
-    mixed = _mixed(big, labels)
-    if mixed.isEmpty():
+    util.dropped(pairs, sets, bounded)
+    rows = util.stored(_open(big, labels))
+    util.dropped(blocks)
+    if rows.isEmpty():
         return labels
-    members = util.stored(_fetched(docs, mixed.select("node").distinct(), seed))
-    for turn_no in range(1, ROUNDS):
-        found = _decided(_bounded(_next_stars(mixed, turn_no), sets), members)
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        labels = graph.components(links)
-        mixed = _mixed(big, labels)
-    return graph.components(links.union(_tiled(mixed, sets, members)))
+    sets = util.stored(_fetched(docs, rows.select("node"), seed))
+    more = _tiled(rows, sets)
+    whole = graph.components(links.union(more))
+    util.dropped(rows, sets, links, more, labels)
+    return whole
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay when one document of each component does: the one with
     the smallest id. Wordless rows stay. Rows that share that id and the text stay
-    together; rows without an id stay where no row of their component has one."""
-    stay = ngram_components(df, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash")).distinct()
+    together; rows without an id stay where no row of their component has one. An empty
+    table gives an empty result; all columns of df are kept, whatever their names."""
+    stay_id, stay_hash = util.free_name(df, "stay_id", "stay_hash")
+    stay = ngram_components(df, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(stay_id), F.col("text_hash").alias(stay_hash)).distinct()
     stay = util.stored(stay)
     if stay.count() <= MAX_BROADCAST:  # else both sides are shuffled
         stay = F.broadcast(stay)
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("stay_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("stay_hash"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(stay_id)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(stay_hash))
     return df.join(stay, same, "left_semi")
 
 
@@ -353,16 +398,18 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their own id. Null ids take part and are never the smallest, unless all are null.
     Repeated rows are equal sets and so linked. An empty table gives an empty result.
     """
-    spark: SparkSession = df.sparkSession
-    util.small_batches(spark)
+    util.small_batches(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    for seed in range(100):
+    for seed in range(SEEDS):
         rows = util.stored(_described(docs, seed))
-        sets = rows.where("n > 0").groupBy("node", "check", "n").agg(F.first("bits").alias("bits"))
-        if sets.groupBy("node").count().where("count > 1").isEmpty():
+        named = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("check", "n")).alias("x"), F.max(F.struct("check", "n")).alias("y"))
+        if named.where("x != y").isEmpty():
             break  # no two sets share a name
-    sets = util.stored(sets.select("node", "n", "bits"))
-    labels = _labels(docs, sets, seed)
+        util.dropped(rows)
+    else:
+        raise RuntimeError(f"sets share names under {SEEDS} seeds")
+    entries = rows.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
+    labels = _labels(docs, int(entries), seed)
     rows = rows.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
     placed = rows.where("n > 0").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -52,28 +52,31 @@ def names(doc: np.ndarray, h: np.ndarray, n: int, seed: int) -> tuple[np.ndarray
     return out[0], out[1]
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """n rows of BITS / 8 bytes: bit (hash mod BITS) is set for every member."""
-    bits = np.zeros((n, BITS), bool)
-    bits[doc, (h >> U64(17)) % U64(BITS)] = True
-    return np.packbits(bits, axis=1)
+def signature(h: np.ndarray) -> np.ndarray:
+    """BITS / 8 bytes: bit (hash mod BITS) is set for every member of one set."""
+    bits = np.zeros(BITS, bool)
+    bits[(h >> U64(17)) % U64(BITS)] = True
+    return np.packbits(bits)
 
 
-def least_overlap(n: np.ndarray) -> np.ndarray:
-    """A partner shares at least 3/4 of the members, rounded up."""
-    return (3 * n + 3) // 4
-
-
-def prefixes(doc: np.ndarray, h: np.ndarray, n: int, level: np.ndarray) -> np.ndarray:
-    """Marks, for each set, its first members in the common order (rare before common,
-    by level of the hash's slot, then by hash). Two linked sets share one of these."""
+def prefixes(doc: np.ndarray, h: np.ndarray, n: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first members of each set in the common order (rare before common, by level of
+    the hash's slot, then by hash), as indexes, and the largest partner each still allows.
+    Of two linked sets, the first shared member is among these in both. A pair whose first
+    shared member has t members from there on overlaps in t members at most, which bounds
+    the partner's size."""
     slot = h & U64(len(level) - 1)
     key = (level[slot].astype(U64) << U64(56)) | (h >> U64(8))
     order = np.lexsort((key, doc))
     count = sizes(doc, n)
     start = np.cumsum(count) - count
     rank = np.arange(len(doc)) - start[doc[order]]
-    chosen = rank < (count - least_overlap(count) + 1)[doc[order]]
-    mark = np.zeros(len(doc), bool)
-    mark[order[chosen]] = True
-    return mark
+    own = count[doc[order]]
+    most = (7 * (own - rank) - 3 * own) // 3
+    chosen = 4 * most >= 3 * own
+    return order[chosen], most[chosen]
+
+
+def linked(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
+    """Whether sets of a and b members that share `both` are 3/4 alike."""
+    return 7 * both >= 3 * (a + b)

@@ -18,29 +18,54 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: the one the cluster names
-    in spark.checkpoint.dir, or a temporary one where none is set (local tests)."""
+    """A folder that the driver and all executors see: the one the cluster names in
+    spark.checkpoint.dir. Where it is unset, a local session gets a temporary one (driver
+    and executors are one process there); a cluster must name it."""
     sc = spark.sparkContext
     place = sc.getCheckpointDir()
     if place is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         place = sc.getCheckpointDir()
     return place
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again. This cuts the
-    lineage with files that outlive any executor, and avoids a second computation."""
+    lineage with files that outlive any executor, and avoids a second computation. The
+    shuffle files of the writing job are given back when it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, since a row may hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        for name in df.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            if folder.getName().startswith("table-"):
+                folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Bound the rows of an Arrow batch, since a row may hold a very long text. The bound
+    of the session is only ever lowered, so that no operator undoes another's."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

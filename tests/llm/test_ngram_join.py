@@ -62,8 +62,7 @@ EDGE = [(1000, None), (1001, ""), (1002, " \t"), (1003, "one"), (1003, "one"), (
 @pytest.mark.parametrize("small", [ngram_join.SMALL, 2])
 def test_equals_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(ngram_join, "SMALL", small)
-    monkeypatch.setattr(ngram_join, "TILE", 16)
-    monkeypatch.setattr(ngram_join, "ROUNDS", small % 3)
+    monkeypatch.setattr(ngram_join, "TILE", 10_000)
     rows = near_copies(260, 5) + EDGE
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as n").repartition(3)
     assert got(ngram_join.ngram_components(df)) == brute(rows)
