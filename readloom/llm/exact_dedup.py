@@ -24,8 +24,6 @@ POINTS = (1_103_515_245, 1_566_083_941)
 CHUNK = 1024
 #: Characters of one compared chunk.
 COMPARED = 1 << 16
-#: Fingerprints with more than one row are broadcast up to this many (24 bytes each).
-MAX_BROADCAST = 500_000
 
 
 def shift(point: int, length: int) -> int:
@@ -100,32 +98,37 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     util.small_batches(df.sparkSession)
     names = ["keep_id", "group_size", "kept", "text_sha256"]
     columns = [c for c in (keep_columns or df.columns) if c not in names]
-    row_id, norm, h1, h2, size, tie, first, repeat = util.free_name(df, "row_id", "norm", "h1", "h2", "size", "tie", "first_id", "repeat")
+    inner = ["row_id", "norm", "h1", "h2", "size", "tie", "first_id", "rows_in", "fp", "split", "turn", "chunk_no", "chunk"]
+    row_id, norm, h1, h2, size, tie, first, rows_in, fp, split, turn, chunk_no, chunk = util.free_name(df, *inner)
     key = [h1, h2, size]
     named = df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{id_col}`").alias(row_id), normalised(F.col(f"`{text_col}`")).alias(norm))
-    rows = util.stored(
-        named.withColumn("fp", fingerprint(norm)).select("*", F.col("fp.h1").alias(h1), F.col("fp.h2").alias(h2), F.col("fp.size").alias(size)).drop("fp").withColumn("text_sha256", F.sha2(norm, 256))
-    )
-    repeated = util.stored(rows.groupBy(*key).count().where("count > 1").drop("count"))
-    if repeated.count() <= MAX_BROADCAST:  # else both sides are shuffled
-        repeated = F.broadcast(repeated)
-    chunk = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.length(norm) / COMPARED).cast("int")), lambda i: F.substr(F.col(norm), i * COMPARED + 1, F.lit(COMPARED)))).alias("chunk_no", "chunk")
+    named = named.withColumn(fp, fingerprint(norm)).select("*", *[F.col(f"{fp}.{x}").alias(y) for x, y in zip(("h1", "h2", "size"), key, strict=True)]).drop(fp)
+    slim = util.stored(named.select(row_id, *key))
+    grouped = lambda rows, by: rows.groupBy(*by).agg(F.min(row_id).alias(first), F.count(F.lit(1)).alias(rows_in)).where(F.col(rows_in) > 1)
+    groups = util.stored(grouped(slim, key))
     # the grouping compares the chunks themselves
-    variants = rows.select(*key, norm).join(repeated, key).select(*key, chunk).groupBy(*key, "chunk_no", "chunk").agg(F.lit(1).alias("one"))
-    collided = util.stored(variants.groupBy(*key, "chunk_no").count().where("count > 1").select(*key).distinct())
-    if collided.isEmpty():
-        rows = rows.withColumn(tie, F.lit(""))
+    pieces = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.length(norm) / COMPARED).cast("int")), lambda i: F.substr(F.col(norm), i * COMPARED + 1, F.lit(COMPARED)))).alias(chunk_no, chunk)
+    repeated = util.with_groups(named.select(*key, norm), groups, key, rows_in).where(F.col(rows_in).isNotNull())
+    variants = repeated.select(*key, pieces).groupBy(*key, chunk_no, chunk).agg(F.lit(1).alias("one"))
+    collided = util.stored(variants.groupBy(*key, chunk_no).count().where("count > 1").select(*key).distinct())
+    if not collided.isEmpty():
+        by = [*key, tie]
+        mark = collided.withColumn(split, F.lit(True))
+        tied = lambda rows: rows.join(mark, key, "left").withColumn(tie, F.when(F.col(split), F.col(norm)).otherwise("")).drop(split)
+        named = tied(named)
+        groups = util.stored(grouped(named, by))
+        key = by
+    rows = util.with_groups(named, groups, key, rows_in)
+    # of rows that repeat the id that stays, one does; mostly there are none
+    alike = slim.groupBy(*key[:3], row_id).agg(F.count(F.lit(1)).alias(rows_in)).where(F.col(rows_in) > 1)
+    mine = F.col(rows_in).isNull() | F.col(row_id).eqNullSafe(F.col(first))
+    if alike.isEmpty():
+        rows = rows.withColumn(turn, F.lit(1))
     else:
-        rows = rows.join(collided.withColumn(tie, F.lit(True)), key, "left").withColumn(tie, F.when(F.col(tie), F.col(norm)).otherwise(""))
-    rows = rows.drop(norm)
-    groups = rows.groupBy(*key, tie).agg(F.min(row_id).alias(first), F.count(F.lit(1)).alias("group_size"))
-    holders = rows.join(groups, [*key, tie])
-    one = F.col(row_id).eqNullSafe(F.col(first)).cast("int")
-    # one row of each group, also if its id is repeated or null; mostly none is
-    if not rows.groupBy(*key, tie, row_id).count().where("count > 1").isEmpty():
-        turn = F.row_number().over(Window.partitionBy(*key, tie, row_id).orderBy(row_id))
-        one = F.when(F.col(row_id).eqNullSafe(F.col(first)), turn)
-    holders = holders.withColumn(repeat, one)
-    return holders.select(
-        *[F.col(f"`{c}`") for c in columns], F.col(first).alias("keep_id"), "group_size", (F.coalesce(F.col(repeat), F.lit(0)) == 1).alias("kept"), "text_sha256"
+        many = mine & F.col(rows_in).isNotNull()
+        here = rows.where(many).withColumn(turn, F.row_number().over(Window.partitionBy(*key, row_id).orderBy(row_id)))
+        rows = here.unionByName(rows.where(~many).withColumn(turn, F.lit(1)))
+    keep_id = F.when(F.col(rows_in).isNull(), F.col(row_id)).otherwise(F.col(first)).alias("keep_id")
+    return rows.select(
+        *[F.col(f"`{c}`") for c in columns], keep_id, F.coalesce(F.col(rows_in), F.lit(1).cast("long")).alias("group_size"), (mine & (F.col(turn) == 1)).alias("kept"), F.sha2(norm, 256).alias("text_sha256")
     )

@@ -6,7 +6,7 @@
    shared member. Where it stands in each set bounds the overlap, and so the size of a
    partner; members beyond which no partner is left are not dealt out. The order comes
    from a sketch of all shingle counts, of fixed size. Packed arrays of (member, set,
-   size, largest partner) go to buckets.
+   size, largest partner), 17 bytes an entry, go to buckets.
 3. Sets of a small block are paired where size and place allow it. A large block is not
    paired up: its sets meet two pivots, of which one has the fewest rare members, as the
    original of many copies has. Pairs are bounded by size and bit counts of hashed
@@ -43,11 +43,9 @@ HOT = 200_000
 #: Bytes of the sets in a tile, about.
 TILE = 8_000_000
 #: Ratio of the sizes of a band, and bytes of a signature.
-BAND, BITS_BYTES = 4 / 3, shingles.BITS // 8
-#: Rows that stay are broadcast up to this many (16 bytes each).
-MAX_BROADCAST = 500_000
-#: Bits of the filter that names the sets to be fetched: a fixed bound of 1 MB.
-FILTER = 1 << 23
+BAND, BITS_BYTES = 1.34, shingles.BITS // 8
+#: Bits of the filter that names the sets to be fetched, 8 a set: at most 16 MB.
+LEAST_FILTER, MOST_FILTER = 1 << 20, 1 << 27
 #: Seeds tried for names of sets that do not collide.
 SEEDS = 100
 
@@ -93,11 +91,33 @@ def _described(docs: DataFrame, seed: int) -> DataFrame:
     return docs.withColumn("set", described("text")).drop("text").select("*", "set.*").drop("set")
 
 
-#: Arrays of a packed record, one entry for a member of a set.
-ENTRY = {"members": np.uint64, "nodes": np.int64, "sizes": np.int32, "most": np.int32}
+#: Steps of a doubling in the codes of sizes. Codes grow with sizes, so comparing them
+#: never rules out what the sizes allow.
+STEPS = 2048
+
+
+def _code(size: np.ndarray) -> np.ndarray:
+    return np.floor(STEPS * np.log2(np.maximum(size, 1))).astype(np.uint16)
+
+
+#: Arrays of a packed record, one entry for a member of a set: the upper 40 bits of the
+#: member's hash, the set, and the codes of its size and of its largest partner.
+ENTRY = ["members", "nodes", "sizes", "most"]
 ENTRY_KIND = [T.StructField(x, T.BinaryType()) for x in ENTRY]
 
 
+def _packed_entry(h: np.ndarray, node: np.ndarray, n: np.ndarray, most: np.ndarray, i: int, j: int) -> list[bytes]:
+    short = np.ascontiguousarray(h[i:j]).view(np.uint8).reshape(-1, 8)[:, 3:]
+    return [short.tobytes(), node[i:j].tobytes(), n[i:j].tobytes(), most[i:j].tobytes()]
+
+
+def _entries(part: pd.DataFrame) -> list[np.ndarray]:
+    short, *rest = (np.frombuffer(b"".join(part[x]), kind) for x, kind in zip(ENTRY, (np.uint8, np.int64, np.uint16, np.uint16), strict=True))
+    h = np.zeros((len(short) // 5, 8), np.uint8)
+    h[:, :5] = short.reshape(-1, 5)
+    return [h.view(np.int64).ravel(), *rest]
+
+
 def _cut(key: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Starts of runs of equal keys, and (from, to) of each."""
     if not len(key):
@@ -108,7 +128,7 @@ def _cut(key: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
 
 def _blocks(docs: DataFrame, level: np.ndarray, seed: int, buckets: int) -> DataFrame:
     """Rows (kind, a, b, n, most): kind 0 for a pair a < b of a small block, kind 1 for a
-    member b of the large block a, with its size and its largest partner there."""
+    member b of the large block a, with the codes of its size and its largest partner."""
     sent = docs.sparkSession.sparkContext.broadcast(level)
     hot_level = int(min(8 * np.log2(1 + HOT), 254))
 
@@ -120,7 +140,7 @@ def _blocks(docs: DataFrame, level: np.ndarray, seed: int, buckets: int) -> Data
             doc, h = shingles.of_batch(data, offsets)
             node, _ = shingles.names(doc, h, n, seed)
             at, most = shingles.prefixes(doc, h, n, level)
-            held.append((h[at], node[doc[at]], shingles.sizes(doc, n)[doc[at]].astype(np.int32), most.astype(np.int32)))
+            held.append((h[at], node[doc[at]], _code(shingles.sizes(doc, n))[doc[at]], _code(most)))
             size += len(at)
             if size > 1_000_000:
                 yield packed(level, held)
@@ -138,13 +158,14 @@ def _blocks(docs: DataFrame, level: np.ndarray, seed: int, buckets: int) -> Data
         order = np.argsort(key, kind="stable")
         key = key[order]
         cut, parts = _cut(key)
-        arrays = [pa.array([x[i:j].tobytes() for i, j in parts], pa.binary()) for x in (e[order] for e in entries)]
+        entries = [e[order] for e in entries]
+        arrays = [pa.array(x, pa.binary()) for x in zip(*[_packed_entry(*entries, i, j) for i, j in parts], strict=True)]
         return pa.record_batch([pa.array(key[cut] // 2), pa.array(key[cut] % 2 == 1), *arrays], ["bucket", "hot", *ENTRY])
 
     def met(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for hot, part in rows.groupby("hot"):
-            h, node, n, most = (np.frombuffer(b"".join(part[x]), kind) for x, kind in ENTRY.items())
+            h, node, n, most = _entries(part)
             order = np.lexsort((node, h))
             h, node, n, most = (x[order] for x in (h, node, n, most))
             new = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])] if len(h) else np.zeros(0, bool)
@@ -152,7 +173,7 @@ def _blocks(docs: DataFrame, level: np.ndarray, seed: int, buckets: int) -> Data
             cut, _ = _cut(h)
             run = np.diff(np.r_[cut, len(h)])
             large = np.repeat((run > SMALL) | hot, run)
-            out.append(np.stack([np.ones(int(large.sum()), np.int64), h[large].view(np.int64), node[large], n[large], most[large]], axis=1))
+            out.append(np.stack([np.ones(int(large.sum()), np.int64), h[large], node[large], n[large], most[large]], axis=1))
             if not hot:
                 h, node, n, most = (x[~large] for x in (h, node, n, most))
                 pairs = []
@@ -179,7 +200,7 @@ def _stars(big: DataFrame) -> DataFrame:
     the shared one are fewest for its size, and any other. Ties go to the same set in
     every block, so that blocks of the same sets share their pivots."""
     entry = F.struct(F.col("node").alias("pivot"), F.col("n").alias("n_p"), F.col("most").alias("most_p"))
-    first = F.max_by(entry, F.struct(F.round(F.col("most") / F.col("n"), 2), F.xxhash64("node")))
+    first = F.max_by(entry, F.struct(F.floor((F.col("most") - F.col("n")) / 20), F.xxhash64("node")))
     pivots = big.groupBy("block").agg(first.alias("x"), F.max_by(entry, F.xxhash64("node", F.lit(1))).alias("y"))
     pivots = pivots.select("block", F.explode(F.array_distinct(F.array("x", "y"))).alias("p")).select("block", "p.*")
     met = big.join(pivots, "block").where("node != pivot AND n <= most_p AND n_p <= most")
@@ -217,12 +238,15 @@ PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Long
 FETCHED = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("members", T.BinaryType())])
 
 
-def _fetched(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """(node, n, bits, members) of the sets named in wanted (node), once each, from the
-    texts. A filter of fixed size, broadcast, spares most other sets; the join is exact."""
-    marks = wanted.select(F.expr(f"cast(shiftright(pmod(node, {FILTER}), 6) AS int)").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER}) % 64 AS int))").alias("bit"))
-    words = np.zeros(FILTER // 64, np.int64)
-    for r in marks.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # at most FILTER / 64 rows
+def _fetched(docs: DataFrame, nodes: DataFrame, seed: int, arrays: bool = True) -> DataFrame:
+    """(node, n, bits, members) of the sets named in nodes (node), once each, from the
+    texts; without arrays, members are null. A filter, broadcast, spares most other sets;
+    the join is exact."""
+    wanted = util.stored(nodes.distinct())
+    size = 1 << int(np.clip(np.ceil(np.log2(8 * max(wanted.count(), 1))), np.log2(LEAST_FILTER), np.log2(MOST_FILTER)))
+    marks = wanted.select(F.expr(f"cast(shiftright(pmod(node, {size}), 6) AS int)").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(node, {size}) % 64 AS int))").alias("bit"))
+    words = np.zeros(size // 64, np.int64)
+    for r in marks.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # at most size / 64 rows
         words[r["at"]] = r["bits"]
     sent = docs.sparkSession.sparkContext.broadcast(words.view(U64))
 
@@ -233,23 +257,26 @@ def _fetched(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
             n = len(offsets) - 1
             doc, h = shingles.of_batch(data, offsets)
             node, _ = shingles.names(doc, h, n, seed)
-            at = np.mod(node, FILTER)
+            at = np.mod(node, size)
             keep = (mask[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool)
             edge = np.searchsorted(doc, np.arange(n + 1))
-            nodes, arrays, bits = [], [], []
+            found = []
             for i in np.flatnonzero(keep & (edge[1:] > edge[:-1])).tolist():
                 name = int(node[i])
                 if name not in seen:
                     seen.add(name)
                     own = h[edge[i] : edge[i + 1]]
-                    nodes.append(name)
-                    arrays.append(own.tobytes())
-                    bits.append(shingles.signature(own).tobytes())
-            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([len(x) // 8 for x in arrays], pa.int64()), pa.array(bits, pa.binary()), pa.array(arrays, pa.binary())], FETCHED.names)
+                    found.append((name, len(own), shingles.signature(own).tobytes(), own.tobytes() if arrays else None))
+            columns = list(zip(*found, strict=True)) or [[]] * 4
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], FETCHED.names)
 
     sets = docs.select("text").mapInArrow(fetched, FETCHED)
     one = F.first(F.struct("n", "bits", "members"))
-    return sets.join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(one.alias("s")).select("node", "s.*")
+    return sets.join(wanted, "node", "left_semi").groupBy("node").agg(one.alias("s")).select("node", "s.*")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
 
 def _links(x: np.ndarray, y: np.ndarray) -> bool:
@@ -282,17 +309,21 @@ def _decided(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return util.stored(grouped.groupBy("group").cogroup(shipped.groupBy("group")).applyInPandas(decided, PAIR))
 
 
+#: A partner's code is at most this much below a set's: 3/4 of its size.
+BELOW = int(STEPS * np.log2(4 / 3)) + 1
+
+
 def _open(big: DataFrame, labels: DataFrame) -> DataFrame:
     """(block, node, label, n, most, band) of the large blocks' sets that may still link
     with a set of another component there; blocks with the same such sets are one."""
     named = big.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     blocks = named.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("block")
-    named = util.stored(named.join(blocks, "block", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int")))
+    named = util.stored(named.join(blocks, "block", "left_semi").withColumn("band", F.floor(F.col("n") / F.lit(float(STEPS * np.log2(BAND)))).cast("int")))
     # linked sizes lie in the same band or in neighbouring ones
     bands = named.groupBy("block", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("most").alias("reach"), F.min("n").alias("least"), F.max("n").alias("greatest"))
     near = bands.select("block", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "low", "high", "reach", "least", "greatest")
     near = near.groupBy("block", "band").agg(F.collect_list(F.struct("low", "high", "reach", "least", "greatest")).alias("near"))  # three at most
-    meets = lambda x: ((x["low"] != F.col("label")) | (x["high"] != F.col("label"))) & (x["reach"] >= F.col("n")) & (x["least"] <= F.col("most")) & (4 * x["greatest"] >= 3 * F.col("n"))
+    meets = lambda x: ((x["low"] != F.col("label")) | (x["high"] != F.col("label"))) & (x["reach"] >= F.col("n")) & (x["least"] <= F.col("most")) & (x["greatest"] + BELOW >= F.col("n"))
     some = named.join(near, ["block", "band"]).where(F.exists("near", meets)).drop("near")
     some = util.stored(some)
     util.dropped(named)
@@ -305,7 +336,7 @@ def _open(big: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _tiled(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that join the components within each block, found tile by tile."""
-    width = rows.groupBy("block", "band").agg(F.ceil(F.sum(8 * F.col("n") + BITS_BYTES) / TILE).alias("tiles"), F.sum(8 * F.col("n") + BITS_BYTES).alias("bytes"))
+    width = rows.groupBy("block", "band").agg(F.sum(8 * F.pow(F.lit(2.0), F.col("n") / STEPS) + BITS_BYTES).alias("bytes")).withColumn("tiles", F.ceil(F.col("bytes") / TILE))
     # a block that fits in one tile needs no bands
     whole = width.groupBy("block").agg(F.sum("bytes").alias("all")).where(F.col("all") <= TILE).select("block", F.lit(True).alias("fits"))
     width = util.stored(width.join(whole, "block", "left").where("fits IS NULL").select("block", "band", "tiles"))
@@ -333,7 +364,8 @@ def _tiled(rows: DataFrame, sets: DataFrame) -> DataFrame:
             return k
 
         rows = rows.sort_values(["n", "node"], ignore_index=True)
-        n, most, side, nodes = (rows[x].to_numpy() for x in ("n", "most", "side", "node"))
+        n, side, nodes = (rows[x].to_numpy() for x in ("n", "side", "node"))
+        most = np.ceil(2 ** ((rows["most"].to_numpy() + 1) / STEPS)).astype(np.int64)
         label, bits = rows["label"].to_numpy().copy(), _grid(rows["bits"].tolist())
         arrays = [np.frombuffer(m, U64) for m in rows["members"]]
         upto = np.searchsorted(n, most, side="right")
@@ -359,19 +391,20 @@ def _labels(docs: DataFrame, entries: int, seed: int) -> DataFrame:
     blocks = util.stored(_blocks(docs, _sketch(docs), seed, max(8, -(-entries // BUCKET))))
     big = blocks.where("kind = 1").select(F.col("a").alias("block"), F.col("b").alias("node"), "n", "most")
     pairs = util.stored(blocks.where("kind = 0").select("a", "b").union(_stars(big)).distinct())
-    sets = util.stored(_fetched(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), seed))
-    bounded = util.stored(_bounded(pairs, sets))
+    signed = util.stored(_fetched(docs, _ends(pairs), seed, arrays=False))
+    bounded = util.stored(_bounded(pairs, signed))
+    sets = util.stored(_fetched(docs, _ends(bounded), seed))
     links = _decided(bounded, sets)
     labels = graph.components(links)
-    util.dropped(pairs, sets, bounded)
+    util.dropped(pairs, signed, sets, bounded)
     rows = util.stored(_open(big, labels))
     util.dropped(blocks)
     if rows.isEmpty():
         return labels
     sets = util.stored(_fetched(docs, rows.select("node"), seed))
     more = _tiled(rows, sets)
-    whole = graph.components(links.union(more))
-    util.dropped(rows, sets, links, more, labels)
+    whole = labels if more.isEmpty() else graph.components(links.union(more))
+    util.dropped(rows, sets, links, more)
     return whole
 
 
@@ -383,7 +416,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     stay_id, stay_hash = util.free_name(df, "stay_id", "stay_hash")
     stay = ngram_components(df, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(stay_id), F.col("text_hash").alias(stay_hash)).distinct()
     stay = util.stored(stay)
-    if stay.count() <= MAX_BROADCAST:  # else both sides are shuffled
+    if stay.count() <= util.MAX_BROADCAST:  # else both sides are shuffled
         stay = F.broadcast(stay)
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(stay_id)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(stay_hash))
     return df.join(stay, same, "left_semi")
@@ -410,9 +443,13 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise RuntimeError(f"sets share names under {SEEDS} seeds")
     entries = rows.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
     labels = _labels(docs, int(entries), seed)
-    rows = rows.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    placed = rows.where("n > 0").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    full = placed.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash")
+    some = rows.where("n > 0").select("doc_id", "text_hash", "n", "node")
+    # what joins and groups need of each set, then of each component; neither is joined
+    # back to its rows by a shuffle on a hot key
+    classes = util.stored(some.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")).join(labels, "node", "left"))
+    linked = util.stored(classes.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("sets")))
+    joined = util.with_groups(classes.where("label IS NOT NULL").select("node", "label", "rows"), linked, ["label"], "sets").select("node", "component_id", "rows")
+    groups = util.stored(joined.union(classes.where("label IS NULL AND rows > 1").select("node", "least", "rows")))
+    full = util.with_groups(some, groups, ["node"], "rows").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
     none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash")
     return full.union(none)

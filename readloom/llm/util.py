@@ -83,6 +83,24 @@ def free_name(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Groups up to this many are broadcast (some 50 bytes each); of more, only the hot ones,
+#: with at least HOT_ROWS rows each, so rows / HOT_ROWS of them at most.
+MAX_BROADCAST = 500_000
+HOT_ROWS = 100_000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
+    """rows joined (left) to groups, one row for each key with `size` rows at most, so
+    that no key gathers its rows in one task. groups should be a stored table."""
+    if groups.count() <= MAX_BROADCAST:
+        return rows.join(F.broadcast(groups), key, "left")
+    (mark,) = free_name(rows, "is_hot")
+    hot, cold = groups.where(F.col(size) >= HOT_ROWS), groups.where(F.col(size) < HOT_ROWS)
+    marked = rows.join(F.broadcast(hot.select(*key, F.lit(True).alias(mark))), key, "left")
+    some = marked.where(F.col(mark)).drop(mark).join(F.broadcast(hot), key)
+    return some.unionByName(marked.where(F.col(mark).isNull()).drop(mark).join(cold, key, "left"))
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
