@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from readloom.llm import query_substring, util
@@ -43,9 +44,26 @@ def made(seed):
 EDGE = [(900, None), (901, ""), (902, "a " * 300), (903, "b " * 36), (904, "c " * 35), (905, "d " * 34), (906, "e f " * 18), (907, "x y z"), (907, "x y z"), (None, "q " * 7), (908, "u v w " * 20_000)]
 
 
-@pytest.mark.parametrize("width", [2, 5, 35])
-def test_equals_brute_force(spark, monkeypatch, width):
+def test_factors_are_the_longest_and_greedy():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        size = int(rng.integers(1, 40))
+        h, block = rng.integers(0, 4, size).astype(np.uint64), np.sort(rng.integers(0, 5, size))
+        ends = np.searchsorted(block, block, side="right")
+        longest = [max([0, *[next((k for k in range(min(ends[i] - i, ends[j] - j)) if h[i + k] != h[j + k]), min(ends[i] - i, ends[j] - j)) for j in range(size) if j != i]]) for i in range(size)]
+        want, at = [], 0
+        while at < size:
+            if longest[at]:
+                want.append((at, at + longest[at] - 1))
+            at += max(longest[at], 1)
+        first, last = x.factors(block, h, np.zeros(size, np.uint32), np.zeros(0, np.uint64))
+        assert list(zip(first.tolist(), last.tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize(("width", "hot"), [(2, 3), (5, 10**6), (5, 3), (35, 2), (35, 10**6)])
+def test_equals_brute_force(spark, monkeypatch, width, hot):
     monkeypatch.setattr(x, "HELD", 500)
+    monkeypatch.setattr(x, "HOT", hot)
     rows = made(width) + EDGE
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as k1", "'a' as found", "2 as spans").repartition(5)
     out = x.substring_dedup(df, width=width)
