@@ -6,18 +6,21 @@
 2. A query searches its own block and the neighbouring ones on every curve; the lists
    merge and are reranked on the original vectors in double precision.
 3. Blocks of the first curve that can still hold a nearer vector, by centre and radius,
-   are searched too, for a bounded number of queries at a time. In data without clusters
-   this reaches most blocks, and without it recall is low; see the README.
+   are searched too (complete=True): the stated query set against the blocks, AT_ONCE
+   queries at a time, each pass written before the next. In data without clusters this
+   reaches most blocks, and without it recall is low; the README gives figures.
 
 Of equal vectors only the k + 1 smallest ids can be among a query's k nearest, so no
-others enter a block: a very common vector fills none.
+others enter a block: a very common vector fills none. They are found in two steps, the
+first over salted parts of the rows.
 """
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +35,8 @@ BLOCK = 512
 #: Queries that are broadcast at a time: a fixed bound.
 AT_ONCE = 4096
 SEED = 20
+#: Parts of the rows of one vector in the first of two steps.
+SALTS = 64
 
 
 def hilbert(cells: np.ndarray, depth: int) -> np.ndarray:
@@ -120,9 +125,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     vec = F.col(f"`{vector_col}`")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), vec.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & valid(F.col("v"))).distinct()
     rows = util.stored(rows)
-    lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().limit(1001).collect())
-    if len(lengths) > 1000:
-        raise ValueError("more than 1000 different vector lengths")
+    lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())  # one job for each
     parts = [_of_length(rows.where(F.size("v") == n), n, k, curves, complete) for n in lengths]
     if not parts:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -139,8 +142,13 @@ def _of_length(rows: DataFrame, dim: int, k: int, curves: int, complete: bool) -
     spark = rows.sparkSession
     maps, shifts = projections(dim, curves)
     axes = maps.shape[2]
-    order = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    some = rows.withColumn("order", order).where((F.col("order") <= k + 1) | F.col("asks"))
+    least = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    for part in (["v", "salt"], ["v"]):
+        order = F.row_number().over(Window.partitionBy(*part).orderBy("id"))
+        least = least.withColumn("order", order).where(F.col("order") <= k + 1)
+    least = util.stored(least.select("id", "v", "asks", "order"))
+    others = rows.where("asks").join(least.select("id", "v"), ["id", "v"], "left_anti")
+    some = least.union(others.select("id", "v", "asks", F.lit(k + 2)))
     wide = T.ArrayType(T.DoubleType())
 
     @F.arrow_udf(wide)
@@ -220,17 +228,25 @@ def _of_length(rows: DataFrame, dim: int, k: int, curves: int, complete: bool) -
     asked = table.where("asks").select("id", F.col("v").cast(wide).alias("v")).join(first.select(F.col("query_id").alias("id"), floor.alias("floor")), "id", "left")
     asked = util.stored(asked.select("id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")))
     one_curve = blocks.where("curve = 0").select("ids", "vectors", "centre", "radius")
-    done, held = [], []
+    out = first.select("query_id", F.transform("top", lambda x: x["vec_id"]).alias("ids"), F.transform("top", lambda x: -x["away"]).alias("scores"))
+    # the driver holds one pass of queries, and the plan does not grow with their number
+    place, held = f"{util.shared_dir(spark)}/table-{uuid.uuid4().hex}", []
+
+    def passed() -> None:
+        if held:
+            hits, sent = _rest(one_curve, held, dim, k)
+            hits.write.mode("append").parquet(place)
+            sent.destroy()
+            held.clear()
+
     for row in asked.toLocalIterator():
         held.append(row)
         if len(held) == AT_ONCE:
-            done.append(_rest(one_curve, held, dim, k))
-            held = []
-    if held:
-        done.append(_rest(one_curve, held, dim, k))
-    out = first.select("query_id", F.transform("top", lambda x: x["vec_id"]).alias("ids"), F.transform("top", lambda x: -x["away"]).alias("scores"))
-    for more in done:
-        out = out.union(more)
+            passed()
+    passed()
+    more = [spark.read.schema(HITS).parquet(place)] if not asked.isEmpty() else []
+    for hits in more:
+        out = out.union(hits)
     return _merged(out, k)
 
 
@@ -238,8 +254,9 @@ def _packed_hits(found: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([x[2] for x in found], pa.list_(pa.float64()))], HITS.names)
 
 
-def _rest(blocks: DataFrame, asked: list, dim: int, k: int) -> DataFrame:
-    """The best of all blocks that can hold a vector as near as a query's k-th so far."""
+def _rest(blocks: DataFrame, asked: list, dim: int, k: int) -> tuple[DataFrame, Broadcast]:
+    """The best of all blocks that can hold a vector as near as a query's k-th so far, and
+    the broadcast that holds the queries."""
     sent = blocks.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in asked], np.int64), np.array([r["v"] for r in asked], np.float64).reshape(-1, dim), np.array([r["floor"] for r in asked])))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,4 +284,4 @@ def _rest(blocks: DataFrame, asked: list, dim: int, k: int) -> DataFrame:
                         floor[n] = max(floor[n], -have[-1][0])
         yield _packed_hits([(int(q_ids[n]), [i for _, i in x], [-s for s, _ in x]) for n, x in kept.items()])
 
-    return blocks.mapInArrow(searched, HITS)
+    return blocks.mapInArrow(searched, HITS), sent

@@ -61,7 +61,7 @@ def mix_sources(
     border all are taken. An empty table gives an empty result. A column named epoch is
     replaced.
     """
-    src, tok, h, ident = util.free_name(df, "mix_source", "mix_tokens", "mix_hash", "mix_id")
+    src, tok, h, ident, mix_cut = util.free_name(df, "mix_source", "mix_tokens", "mix_hash", "mix_id", "mix_cut")
     columns = [c for c in df.columns if c != "epoch"]
     tokens = F.coalesce(F.col(f"`{tokens_col}`").cast("long"), F.lit(0)) if tokens_col else n_words(F.col(f"`{text_col}`"))
     text_id = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
@@ -102,12 +102,12 @@ def mix_sources(
     c3 = border(in2, [h, ident], "c3", [])
     cuts = util.stored(sums.select(src, "whole").join(c1.drop("left"), src, "left").join(c2.drop("left"), src, "left").join(c3.drop("left"), src, "left"))
 
-    p1 = _permuted(seed, F.col("mix_cut.whole"), F.substr(h, F.lit(1), F.lit(3)))
-    p2 = _permuted(seed, F.col("mix_cut.whole"), F.substr(h, F.lit(4), F.lit(3)))
+    p1 = _permuted(seed, F.col(f"{mix_cut}.whole"), F.substr(h, F.lit(1), F.lit(3)))
+    p2 = _permuted(seed, F.col(f"{mix_cut}.whole"), F.substr(h, F.lit(4), F.lit(3)))
     here = F.struct(p1.alias("a"), p2.alias("b"), F.col(h).alias("c"), F.col(ident).alias("d"))
-    edge = F.struct(F.col("mix_cut.c1.p1").alias("a"), F.col("mix_cut.c2.p2").alias("b"), F.col(f"mix_cut.c3.{h}").alias("c"), F.col(f"mix_cut.c3.{ident}").alias("d"))
-    part = F.col("mix_cut.c3").isNotNull() & (here <= edge)
-    times = F.col("mix_cut.whole") + F.when(part, 1).otherwise(0)
+    edge = F.struct(F.col(f"{mix_cut}.c1.p1").alias("a"), F.col(f"{mix_cut}.c2.p2").alias("b"), F.col(f"{mix_cut}.c3.{h}").alias("c"), F.col(f"{mix_cut}.c3.{ident}").alias("d"))
+    part = F.col(f"{mix_cut}.c3").isNotNull() & (here <= edge)
+    times = F.col(f"{mix_cut}.whole") + F.when(part, 1).otherwise(0)
     epochs = F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))
-    packed = cuts.select(F.col(src), F.struct("whole", "c1", "c2", "c3").alias("mix_cut"))
+    packed = cuts.select(F.col(src), F.struct("whole", "c1", "c2", "c3").alias(mix_cut))
     return named.join(small(packed), src).select(*[F.col(f"`{c}`") for c in columns], F.explode(epochs).alias("epoch"))

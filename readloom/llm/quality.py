@@ -21,6 +21,8 @@ from . import util
 DIMENSIONS = 4096
 #: Rows on which the scorer is fitted, at most about; a bound, not a share.
 FIT_ROWS = 20_000
+#: What a byte pair's share counts for, against a bin.
+PAIR_WEIGHT = 5.0
 #: Documents below this score are rejected.
 THRESHOLD = 0.3
 
@@ -129,8 +131,20 @@ def votes(found: dict[str, np.ndarray], count: np.ndarray) -> np.ndarray:
     return code
 
 
-def hashed(found: dict[str, np.ndarray], count: np.ndarray, doc: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse features (text, dimension, value): binned statistics, and shares of word shapes."""
+def pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, pair, share): pairs of neighbouring bytes of a text, of which letters are
+    lower-cased, and each pair's share of all of them."""
+    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.int64)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    inside = text[1:] == text[:-1]
+    pair, times = np.unique((text[1:] << 16 | low[:-1] << 8 | low[1:])[inside], return_counts=True)
+    row = pair >> 16
+    return row, pair & 0xFFFF, times / np.maximum(np.diff(offsets) - 1, 1)[row]
+
+
+def hashed(found: dict[str, np.ndarray], count: np.ndarray, doc: np.ndarray, shape: np.ndarray, bytes_: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse features (text, dimension, value): binned statistics, shares of word shapes,
+    and, of what no labeller looks at, shares of byte pairs."""
     n = len(count)
     rows, dims, values = [], [], []
 
@@ -146,34 +160,47 @@ def hashed(found: dict[str, np.ndarray], count: np.ndarray, doc: np.ndarray, sha
     pair, times = np.unique(doc.astype(np.int64) << 32 | shape, return_counts=True)
     row = pair >> 32
     add(row, pair & 0xFFFFFFFF, times / (count[row] + MIN_WORDS))  # a few words weigh less
+    of, name, share = bytes_
+    add(of, (98 << 40) + name, share * PAIR_WEIGHT)
     return np.concatenate(rows), np.concatenate(dims).astype(np.int64), np.concatenate(values)
 
 
+#: The prior of how often a labeller says bad, in either class: uniform between these.
+#: Each looks for one defect of several, so it misses at least half of the bad documents.
+SAYS_BAD = (1e-3, 0.5)
+
+
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior of good for each pattern (rows of votes), P(vote | class) of each
-    labeller as (labeller, bad/good, vote), and the share of good. Votes are taken as
-    independent given the class; each labeller starts out as right in 4 of 5 votes. Each
-    looks for one defect of several, so on a bad document it is held to say good, or
-    nothing, at least half of the time."""
+    labeller as (labeller, bad/good, vote), and the share of good.
+
+    The model: votes are independent given the class. A labeller says bad with a rate of
+    its own in each class; where it does not, it says good or nothing at one rate, which
+    does not depend on the class, as a labeller that sees no defect knows no more. The
+    M-step maximises the expected log likelihood under the uniform prior SAYS_BAD: it is
+    concave in each rate, so the maximum is the expected frequency, moved to the nearer
+    end where it lies outside; the rate of good among votes that are not bad is pooled over
+    the classes. Each labeller starts out as right in 4 of 5 votes."""
     k = patterns.shape[1]
-    says = np.full((k, 2, 3), 1 / 3)
-    says[:, 1] = [0.2, 0.64, 0.16]
-    says[:, 0] = [0.2, 0.16, 0.64]
-    good, weight = 0.7, counts.astype(float)
+    bad = np.tile([0.5, 0.16], (k, 1))  # P(says bad | class), class 0 is bad
+    weight = counts.astype(float)
+    says_good = np.array([(weight[patterns[:, j] == 1].sum() + 1) / (weight[patterns[:, j] != 2].sum() + 2) for j in range(k)])
+    good = 0.7
+
+    def table() -> np.ndarray:
+        rest = 1 - bad
+        return np.stack([rest * (1 - says_good)[:, None], rest * says_good[:, None], bad], axis=2)
+
     for _ in range(rounds):
-        like = [np.log(1 - good), np.log(good)]
-        like = [like[c] + sum(np.log(says[j, c, patterns[:, j]]) for j in range(k)) for c in (0, 1)]
+        says = np.log(table())
+        like = [np.log(share) + sum(says[j, c, patterns[:, j]] for j in range(k)) for c, share in ((0, 1 - good), (1, good))]
         posterior = 1 / (1 + np.exp(np.clip(like[0] - like[1], -500, 500)))
         for c, p in ((1, posterior), (0, 1 - posterior)):
             mass = weight * p
-            for j in range(k):
-                says[j, c] = (np.bincount(patterns[:, j], mass, 3) + 1) / (mass.sum() + 3)
-            says[:, c, 2] = np.clip(says[:, c, 2], 1e-3, 0.5)
-            rest = says[:, c, :2]
-            says[:, c, :2] = rest / rest.sum(axis=1, keepdims=True) * (1 - says[:, c, 2:])
-        says[:, 0, :2] = says[:, 1, :2] / says[:, 1, :2].sum(axis=1, keepdims=True) * (1 - says[:, 0, 2:])
+            frequency = [mass[patterns[:, j] == 2].sum() / max(mass.sum(), 1e-9) for j in range(k)]
+            bad[:, c] = np.clip(frequency, *SAYS_BAD)
         good = float(np.clip((weight * posterior).sum() / weight.sum(), 0.01, 0.99))
-    return posterior, says, good
+    return posterior, table(), good
 
 
 def fit(rows: np.ndarray, dims: np.ndarray, values: np.ndarray, target: np.ndarray, passes: int = 300, step: float = 2.0, decay: float = 1e-4) -> np.ndarray:
@@ -193,7 +220,8 @@ def fit(rows: np.ndarray, dims: np.ndarray, values: np.ndarray, target: np.ndarr
 def scores(data: np.ndarray, offsets: np.ndarray, w: np.ndarray) -> np.ndarray:
     n, out = len(offsets) - 1, []
     for a, b in util.slabs(data, offsets):
-        rows, dims, values = hashed(*statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+        part = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        rows, dims, values = hashed(*statistics(*part), pairs(*part))
         z = np.bincount(rows, values * w[dims], b - a) + w[-1]
         out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
     return np.concatenate(out) if n else np.zeros(0)
@@ -213,7 +241,7 @@ _SPARSE = T.StructType([T.StructField("dims", T.ArrayType(T.IntegerType())), T.S
 def _features(texts: pa.Array) -> pa.Array:
     data, offsets = util.utf8(texts)
     n = len(offsets) - 1
-    rows, dims, values = hashed(*statistics(data, offsets)) if n else (np.zeros(0, np.int64),) * 3
+    rows, dims, values = hashed(*statistics(data, offsets), pairs(data, offsets)) if n else (np.zeros(0, np.int64),) * 3
     order = np.argsort(rows, kind="stable")
     edge = pa.array(np.searchsorted(rows[order], np.arange(n + 1)).astype(np.int32))
     return pa.StructArray.from_arrays([pa.ListArray.from_arrays(edge, pa.array(x[order].astype(t))) for x, t in ((dims, np.int32), (values, np.float64))], ["dims", "values"])

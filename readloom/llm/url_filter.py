@@ -98,7 +98,7 @@ def judged(df: DataFrame, rules: list[Rule], url_col: str = "url", default: str
 
 
 def _by_trie(df: DataFrame, rules: list[Rule], url_col: str, default: str) -> DataFrame:
-    util.small_batches(df.sparkSession, 5000)
+    util.small_batches(df.sparkSession, 5000)  # urls are short; a lower bound holds
     sent = df.sparkSession.sparkContext.broadcast((Trie(rules), [r.host + r.path for r in rules], [r.verdict for r in rules]))
     kind = T.StructType([T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
 
@@ -118,20 +118,25 @@ def _by_trie(df: DataFrame, rules: list[Rule], url_col: str, default: str) -> Da
 
 def judged_by_join(df: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """As judged(), for a rule table (verdict, host, path) of any size. Distinct urls meet
-    the rules by an equi-join on (host suffix, path prefix); Spark picks the join."""
-    url, host, path = util.free_name(df, "url_in", "host", "path")
-    named = df.withColumn(url, F.col(f"`{url_col}`"))
-    urls = named.select(url).distinct().withColumns({"h": host_of(F.col(url)), "p": path_of(F.col(url))})
+    the rules of their host's suffixes by an equi-join: with each suffix come the lengths
+    of its rules' paths (a few, collected by host), and only path prefixes of these
+    lengths meet the rules themselves. Columns named host, path, rule or verdict are
+    replaced, others kept, whatever their names."""
+    url, best, h, p = util.free_name(df, "url_in", "best", "host_in", "path_in")
+    one = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block over allow
+    lengths = one.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))
+    urls = df.select(F.col(f"`{url_col}`").alias(url)).distinct().select(url, host_of(F.col(url)).alias("h"), path_of(F.col(url)).alias("p"))
     labels = F.split("h", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.sequence(F.lit(0), F.length("p")), lambda i: F.substr(F.col("p"), F.lit(1), i))
-    # only prefixes as long as some rule's path
-    keys = urls.where("h != ''").select(url, F.explode(suffixes).alias("host"), F.col("p")).select(url, "host", F.explode(F.array_distinct(prefixes)).alias("path"))
-    one = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block over allow
+    hosts = urls.where("h != ''").select(url, "p", F.explode(suffixes).alias("host")).join(lengths, "host")
+    some = F.filter("lengths", lambda n: n <= F.length("p"))
+    keys = hosts.select(url, "host", F.explode(F.transform(some, lambda n: F.substr(F.col("p"), F.lit(1), n))).alias("path"))
     fits = keys.join(one, ["host", "path"])
-    best = fits.groupBy(url).agg(F.max_by(F.struct(F.concat("host", "path").alias("rule"), "verdict"), F.struct(F.length("host"), F.length("path"))).alias("best"))
+    most = F.max_by(F.struct(F.concat("host", "path").alias("rule"), "verdict"), F.struct(F.length("host"), F.length("path")))
+    found = fits.groupBy(F.col(url).alias(h)).agg(most.alias(best))
     keep = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    joined = named.alias("d").join(best.alias("b"), F.col(f"d.{url}").eqNullSafe(F.col(f"b.{url}")), "left")
+    named = df.withColumn(url, F.col(f"`{url_col}`"))
+    joined = named.join(found, F.col(url).eqNullSafe(F.col(h)), "left")
     return joined.select(
-        *[F.col(f"d.`{c}`") for c in keep], host_of(F.col(f"d.{url}")).alias("host"), path_of(F.col(f"d.{url}")).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
+        *[F.col(f"`{c}`") for c in keep], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(f"{best}.rule").alias("rule"), F.coalesce(f"{best}.verdict", F.lit(default)).alias("verdict")
     )
