@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and
 returns a DataFrame; it is written as Parquet and read again for the next stage.
+
+All stages bear nulls in any column, texts of any length, repeated rows and empty tables
+(which give empty results), and keep extra columns whatever their names, but for the last
+one, which returns its own.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,27 +24,31 @@ MAX_REPEATS = 1.25
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on docs, rejects go."""
+    """Documents that the classifier, trained on docs, rejects go. A null text is judged as
+    an empty one; equal texts are judged alike."""
     return judged(docs).where("quality_kept").select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays."""
+    """Of equal texts one row stays, the one with the smallest id; null texts equal empty
+    ones, null ids come last, and of repeated rows one stays."""
     return exact_dedup(docs).where("kept").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies one document stays."""
+    """Of each component of near copies the document with the smallest id stays. Null,
+    empty and wordless texts have no near copies and stay."""
     return one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's budget takes them."""
+    """Documents as often as their source's budget takes them. A null source is one of its
+    own; rows without words fill no budget and go; ties on a border are broken by id."""
     return mix_sources(docs, max_repeats=MAX_REPEATS).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and whether they decode to the text."""
+    """Token ids, and whether they decode to the text; a null text is an empty one."""
     coded = bpe_decode(bpe_encode(docs, ranks_path()), ranks_path())
     return coded.select(
         "doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
