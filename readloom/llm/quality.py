@@ -24,6 +24,8 @@ DIMENSIONS = 4096
 FIT_ROWS = 8_000
 #: What a byte pair's share counts for, against a bin.
 PAIR_WEIGHT = 5.0
+#: Bytes of text that are looked at together.
+SLAB = 1 << 18
 #: Documents below this score are rejected.
 THRESHOLD = 0.3
 
@@ -220,7 +222,7 @@ def fit(rows: np.ndarray, dims: np.ndarray, values: np.ndarray, target: np.ndarr
 
 def scores(data: np.ndarray, offsets: np.ndarray, w: np.ndarray) -> np.ndarray:
     n, out = len(offsets) - 1, []
-    for a, b in util.slabs(data, offsets):
+    for a, b in util.slabs(data, offsets, SLAB):
         part = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         rows, dims, values = hashed(*statistics(*part), pairs(*part))
         z = np.bincount(rows, values * w[dims], b - a) + w[-1]
@@ -231,7 +233,7 @@ def scores(data: np.ndarray, offsets: np.ndarray, w: np.ndarray) -> np.ndarray:
 @F.arrow_udf(T.LongType())
 def _pattern(texts: pa.Array) -> pa.Array:
     data, offsets = util.utf8(texts)
-    parts = [votes(*statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[:2]) for a, b in util.slabs(data, offsets)]
+    parts = [votes(*statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[:2]) for a, b in util.slabs(data, offsets, SLAB)]
     return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
 
 
@@ -243,7 +245,7 @@ def _features(texts: pa.Array) -> pa.Array:
     """Packed arrays of two and four bytes an entry."""
     data, offsets = util.utf8(texts)
     out = []
-    for a, b in util.slabs(data, offsets):
+    for a, b in util.slabs(data, offsets, SLAB):
         part = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         rows, dims, values = hashed(*statistics(*part), pairs(*part))
         order = np.argsort(rows, kind="stable")
