@@ -55,6 +55,17 @@ class Node:
         """Trimmed pieces of text, joined."""
         return between.join(x for x in (s.strip() for s in self.strings()) if x)
 
+    def head(self, limit: int) -> str:
+        """The first characters of text(); no more of the tree is walked than they need."""
+        out, size = [], 0
+        for x in self.strings():
+            if x := x.strip():
+                out.append(x)
+                size += len(x) + 1
+                if size > limit:
+                    break
+        return " ".join(out)[:limit]
+
     def raw_text(self) -> str:
         return "".join(self.strings())
 

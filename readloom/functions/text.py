@@ -1,5 +1,8 @@
 """Text functions as Column expressions."""
 
+import functools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,11 +72,22 @@ NOT_AUTHORS = ["authors", "author", "about", "archive", "subscribe"]
 VAGUE_AUTHORS = ["admin", "administrator", "wordpress", "unknown", "staff", "editor"]
 
 
+#: What is taken off a name, in order: blanks, bars and commas around it, a leading `by`,
+#: blanks again.
+NAME_TRIMS = [r"^[ \t\r\n|,]+|[ \t\r\n|,]+$", r"(?i)^(?:words\s+by|by|author)\s+", r"^ +| +$"]
+LONGEST_NAME = 120
+
+
 def clean_author(name: Column) -> Column:
-    """Without blanks, bars and commas around it and a leading `by`; null for no name."""
-    bare = F.regexp_replace(F.regexp_replace(name, r"(?U)\s+", " "), r"^[ \t\r\n|,]+|[ \t\r\n|,]+$", "")
-    bare = F.trim(F.regexp_replace(bare, r"(?i)^(?:words\s+by|by|author)\s+", ""))
-    return F.when((bare != "") & ~F.lower(bare).isin(NOT_AUTHORS) & (F.length(bare) <= 120), bare)
+    """The name without NAME_TRIMS, its blanks single; null for no name."""
+    bare = functools.reduce(lambda x, trim: F.regexp_replace(x, trim, ""), NAME_TRIMS, F.regexp_replace(name, r"(?U)\s+", " "))
+    return F.when((bare != "") & ~F.lower(bare).isin(NOT_AUTHORS) & (F.length(bare) <= LONGEST_NAME), bare)
+
+
+def author_name(name: str | None) -> str | None:
+    """clean_author for one value, inside a function of a whole page."""
+    bare = functools.reduce(lambda x, trim: re.sub(trim, "", x), NAME_TRIMS, " ".join((name or "").split()))
+    return bare if bare and bare.lower() not in NOT_AUTHORS and len(bare) <= LONGEST_NAME else None
 
 
 def is_low_quality_author(name: Column) -> Column:
@@ -81,11 +95,22 @@ def is_low_quality_author(name: Column) -> Column:
     return low.isNull() | low.isin(VAGUE_AUTHORS) | low.contains("admin")
 
 
+#: A candidate with its width or density; it ends there, so commas in its url survive.
+SRCSET_PART = r"(\S+)\s+(\d+)[wx](?=\s*,|\s*$)"
+
+
+def srcset_urls(srcset: str | None) -> list[str]:
+    """Urls of srcset_candidates for one value, inside a function of a whole page."""
+    named = [(int(w), u.lstrip(",")) for u, w in re.findall(SRCSET_PART, (srcset or "").strip())]
+    found = named or [(0, p.split()[0]) for p in (srcset or "").split(",") if p.strip()]
+    return [u for _, u in sorted(found, key=lambda x: -x[0])]
+
+
 def srcset_candidates(srcset: Column) -> Column:
     """Array of (width, url), widest first, ties in order. Parts end at a width or density,
     so that commas in urls survive; without any, at commas, with width 0."""
     text = F.regexp_replace(F.coalesce(srcset, F.lit("")), r"^\s+|\s+$", "")
-    pattern = F.lit(r"(\S+)\s+(\d+)[wx](?=\s*,|\s*$)")
+    pattern = F.lit(SRCSET_PART)
     named = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), lambda u, w: F.struct(F.coalesce(w.try_cast("int"), F.lit(0)).alias("width"), F.regexp_replace(u, "^,+", "").alias("url")))
     parts = F.filter(F.transform(F.split(text, ","), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
     plain = F.transform(parts, lambda p: F.struct(F.coalesce(F.regexp_extract(p, r"^\S+\s+(\d+)w(?:\s|$)", 1).try_cast("int"), F.lit(0)).alias("width"), F.regexp_extract(p, r"^\S+", 0).alias("url")))

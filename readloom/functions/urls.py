@@ -42,20 +42,23 @@ def query_value(url: Column, key: str) -> Column:
 
 # Query keys that may hold the real image url, in order.
 EMBEDDED_KEYS = ["url", "src", "original", "image", "img"]
-_LEVELS = 3
 
 
 def url_match_key(url: Column) -> Column:
-    """Comparison key of a url. An http(s) url in one of EMBEDDED_KEYS stands for the whole
-    (three levels). Every scheme and one leading www. go, so do query, fragment and final
+    """Comparison key of a url. An http(s) url in one of EMBEDDED_KEYS stands for the whole,
+    at any depth. Every scheme and one leading www. go, so do query, fragment and final
     slashes; the rest is lower-cased. Null gives ''."""
 
     def inside(u: Column, _: Column) -> Column:
         again = [decoded(F.replace(query_value(u, k), F.lit("+"), F.lit("%2B"))) for k in EMBEDDED_KEYS]
         return F.coalesce(*[F.nullif(F.regexp_extract(v, "(?s)^https?://.*$", 0), F.lit("")) for v in again], u)
 
-    # a loop inside one expression; nesting it three times would blow up the plan
-    inner = F.aggregate(F.array(*[F.lit(i) for i in range(_LEVELS)]), _text(url), inside)
+    # a loop inside one expression, only for urls with such a key; every level has its own
+    # = sign, encoded as often as it lies deep (=, %3D, %253D ..), so there are no more turns
+    text = _text(url)
+    keyed = text.rlike(rf"[?&](?:{'|'.join(EMBEDDED_KEYS)})=")
+    turns = F.when(keyed, F.sequence(F.lit(1), F.regexp_count(text, F.lit("=|3[dD]")))).otherwise(F.array().cast("array<int>"))
+    inner = F.aggregate(turns, text, inside)
     bare = F.regexp_replace(F.regexp_replace(inner, "https://", ""), "http://", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"^www\.", ""), r"(?s)[?#].*$", "")
     return F.lower(F.regexp_replace(bare, "/+$", ""))
@@ -185,26 +188,3 @@ def image_origin_url(url: Column, proxy_pattern: Column | None = None) -> Column
         return out
     named = F.coalesce((proxy_pattern != "") & path.contains(proxy_pattern), F.lit(False))
     return F.when(named, src_first).otherwise(out)
-
-
-def join_url(base: Column, ref: Column) -> Column:
-    """ref as seen from base: whole urls stay, //, /, ? and # forms and relative paths are
-    resolved; ./ and ../ steps are removed."""
-    scheme, netloc, path = part(base, "scheme"), part(base, "netloc"), F.regexp_extract(_text(base), _SPLIT, 3)
-    root = F.concat(scheme, F.lit("://"), netloc)
-    folder = F.regexp_replace(F.when(path == "", F.lit("/")).otherwise(path), "[^/]*$", "")
-    query = part(base, "query")
-    own_query = F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
-    whole = (
-        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
-        .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(root, ref))
-        .when(ref.startswith("?"), F.concat(root, path, ref))
-        .when(ref.startswith("#") | (ref == ""), F.concat(root, path, own_query, ref))
-        .otherwise(F.concat(root, folder, ref))
-    )
-    # each pass removes one step down and up; paths with more of them are rare
-    out = F.regexp_replace(whole, r"(?<=/)\./", "")
-    for _ in range(3):
-        out = F.regexp_replace(out, r"(?<![:/])/(?!\.\./)[^/?#]+/\.\./", "/")
-    return F.regexp_replace(out, r"^([^:/?#]+://[^/]+)/(?:\.\./)+", "$1/")

@@ -62,10 +62,6 @@ def test_image_origin(spark):
     assert values(spark, urls.image_origin_url, ["https://a.com/img/x?url=u"], F.lit("/img/")) == ["u"]
 
 
-def test_join_url(spark):
-    check(spark, lambda x: urls.join_url(F.lit("http://a.com/b/c?q"), x), {"d": "http://a.com/b/d", "/d": "http://a.com/d", "../d": "http://a.com/d", "//e.com/f": "http://e.com/f", "?z": "http://a.com/b/c?z", "https://g.com": "https://g.com", "./d/../e": "http://a.com/b/e"})
-
-
 def test_dates(spark):
     check(spark, dates.parse_date_text, {
         "18th June 2026": D(2026, 6, 18), "June 18, 2026": D(2026, 6, 18), "Thursday, Jun 18, 2026": D(2026, 6, 18), "Jun 16": D(2026, 6, 16), "2025-08-15T12:30:00Z": D(2025, 8, 15), "2025.08.15": D(2025, 8, 15),
@@ -143,3 +139,32 @@ def test_image_classes(spark):
     df = spark.createDataFrame([("http://a/spacer.gif", ""), ("data:x", ""), (None, None), ("http://a/p.jpg?blur=3", "ok"), ("http://f/styles/x.png", "Site logo"), ("http://a/reactions/emojione/1.png", "")], "src string, alt string")
     got = [tuple(r)[2:] for r in classify.classify_image_url(df).collect()]
     assert got == [(True, False, True, False, False), (True, False, True, False, True), (True, False, True, True, True), (False, True, False, False, False), (False, False, False, True, True), (False, False, True, True, True)]
+
+
+def test_nested_proxies_at_any_depth(spark):
+    from urllib.parse import quote
+
+    nested = {}
+    for depth in range(1, 7):
+        url = "https://real.org/pic?x=1"
+        for k in range(depth):
+            url = f"https://p{k}.com/i?url={quote(url, safe='')}&w=1"
+        nested[url] = "real.org/pic"
+    check(spark, urls.url_match_key, nested)
+
+
+def test_one_srcset_parser_for_columns_and_pages(spark):
+    for value in ["https://x.com/w_1280,c_limit/a.jpg 1280w, https://x.com/w_640,c_limit/a.jpg 640w", "a.jpg 1x, b.jpg 2x", "a.jpg, b.jpg", "", "x.jpg 100w"]:
+        got = spark.createDataFrame([(value,)], "v string").select(F.transform(text.srcset_candidates(F.col("v")), lambda x: x["url"]).alias("u")).first().u
+        assert got == text.srcset_urls(value)
+    assert text.srcset_urls("https://x.com/w_640,c/a.jpg 640w, https://x.com/w_1280,c/a.jpg 1280w") == ["https://x.com/w_1280,c/a.jpg", "https://x.com/w_640,c/a.jpg"]
+
+
+def test_paragraphs_by_rule():
+    from readloom.operators.transcripts import paragraphs_of
+
+    calm = [(k * 2.0, 2.0, t) for k, t in enumerate(["hello there", "[music]", "we go on", "and on", "a >> b >> b >> c", "d"])]
+    assert paragraphs_of(calm, False) == ["Hello there", "[music] we go on and on", "A", ">> b", ">> b", ">> c d"]
+    assert paragraphs_of([(0.0, 1.0, "one"), (3.0, 1.0, "two"), (4.4, 1.0, "so three")], True) == ["One.", "Two.", "So three."]
+    assert paragraphs_of([(0.0, 1.0, "x" * 700), (1.0, 1.0, "y"), (2.6, 1.0, "z")], False) == ["X" + "x" * 699 + " y", "Z"]
+    assert paragraphs_of([(0.0, 1.0, None), (1.0, 1.0, " ")], True) == []
