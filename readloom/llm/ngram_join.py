@@ -55,10 +55,10 @@ def _sketch(docs: DataFrame) -> np.ndarray:
     part = SLOTS // 64
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             _, h = shingles.of_batch(*util.utf8(batch.column(0)))
-            total += np.bincount((h & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+            np.add.at(total, (h & U64(SLOTS - 1)).astype(np.int64), np.uint32(1))
         small = np.minimum(total, 65535).astype(np.uint16)
         yield pa.record_batch([pa.array(range(64), pa.int32()), pa.array([x.tobytes() for x in small.reshape(64, part)], pa.binary())], ["part", "counts"])
 
@@ -142,7 +142,7 @@ def _blocks(docs: DataFrame, level: np.ndarray, seed: int, buckets: int) -> Data
             at, most = shingles.prefixes(doc, h, n, level)
             held.append((h[at], node[doc[at]], _code(shingles.sizes(doc, n))[doc[at]], _code(most)))
             size += len(at)
-            if size > 1_000_000:
+            if size > 500_000:
                 yield packed(level, held)
                 held, size = [], 0
         if size:

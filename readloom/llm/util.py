@@ -185,7 +185,7 @@ def grams(word: np.ndarray, k: int) -> np.ndarray:
     return mixed((total[k:] - total[:-k]) * _powers("down", _INVERSE, m))
 
 
-def slabs(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20):
+def slabs(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 18):
     """Cut a batch at text borders into parts of about `size` bytes: (from, to) texts."""
     a = 0
     while a < len(offsets) - 1:
