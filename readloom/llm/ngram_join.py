@@ -163,6 +163,7 @@ def _blocks(docs: DataFrame, level: np.ndarray, seed: int, buckets: int) -> Data
         return pa.record_batch([pa.array(key[cut] // 2), pa.array(key[cut] % 2 == 1), *arrays], ["bucket", "hot", *ENTRY])
 
     def met(rows: pd.DataFrame) -> pd.DataFrame:
+        util.memory_returned()
         out = []
         for hot, part in rows.groupby("hot"):
             h, node, n, most = _entries(part)
@@ -302,6 +303,7 @@ def _decided(pairs: DataFrame, members: DataFrame) -> DataFrame:
     shipped = members.join(wanted, "node").select(*[F.col(c).alias(c) for c in ("group", "node", "members")])
 
     def decided(todo: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        util.memory_returned()
         arrays = {k: np.frombuffer(x, U64) for k, x in zip(have["node"], have["members"], strict=True)}
         out = [(a, b) for a, b in zip(todo["a"], todo["b"], strict=True) if _links(arrays[a], arrays[b])]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
@@ -356,6 +358,7 @@ def _tiled(rows: DataFrame, sets: DataFrame) -> DataFrame:
     todo = once.union(cut).join(sets, "node").select(*[F.col(c).alias(c) for c in ("task", "side", "node", "label", "most", "n", "bits", "members")])
 
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        util.memory_returned()
         out, parent = [], {}
 
         def root(k: int) -> int:

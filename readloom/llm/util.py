@@ -4,6 +4,7 @@ Text reaches Python as Arrow buffers; the helpers here give numpy views of the
 UTF-8 bytes, so that no Python string is made for a whole text.
 """
 
+import ctypes
 import tempfile
 import uuid
 
@@ -105,8 +106,20 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def memory_returned() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, beside those
+    of other stages. Where the C library has no such call, only Arrow's pool is cleared."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, end to end, and len(texts) + 1 offsets. Null is empty."""
+    memory_returned()
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
