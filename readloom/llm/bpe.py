@@ -156,22 +156,25 @@ def _settle(symbols: np.ndarray, begin: np.ndarray, edge: np.ndarray, at: np.nda
 
 
 class Vocabulary:
-    """Ranks of a tiktoken file; merged slices are kept, up to a bound."""
+    """Ranks of a tiktoken file; merged slices are kept, up to a bound: when the newer half
+    is full, the older one is let go, so that frequent slices stay."""
 
-    KEPT = 1 << 20
+    KEPT = 1 << 18
 
     def __init__(self, lines: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines.splitlines() if x)}
         self.pieces = {i: x for x, i in self.ranks.items()}
         self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """Merge the pair of lowest rank, the leftmost first, until none is left."""
         if (found := self.cache.get(piece)) is not None:
             return found
-        ids = (self.ranks[piece],) if piece in self.ranks else self._merge(piece)
-        if len(self.cache) >= self.KEPT:
-            self.cache.clear()
+        if (ids := self.older.get(piece)) is None:
+            ids = (self.ranks[piece],) if piece in self.ranks else self._merge(piece)
+        if len(self.cache) >= self.KEPT // 2:
+            self.cache, self.older = {}, self.cache
         self.cache[piece] = ids
         return ids
 
@@ -211,7 +214,7 @@ def vocabulary(lines: bytes) -> Vocabulary:
 
 def encode_batch(data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary) -> Iterator[list[int]]:
     """Token ids of each text."""
-    for a, b in util.slabs(data, offsets, 1 << 21):
+    for a, b in util.slabs(data, offsets):
         part = data[offsets[a] : offsets[b]]
         rel = offsets[a : b + 1] - offsets[a]
         cut = borders(part, rel)
