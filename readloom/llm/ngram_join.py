@@ -44,7 +44,7 @@ HOT = 200_000
 TILE = 8_000_000
 #: Ratio of the sizes of a band, and bytes of a signature.
 BAND, BITS_BYTES = 1.34, shingles.BITS // 8
-#: Bits of the filter that names the sets to be fetched, 8 a set: at most 16 MB.
+#: Bits of the filter that names the rows to be fetched, 16 a set: at most 16 MB.
 LEAST_FILTER, MOST_FILTER = 1 << 20, 1 << 27
 #: Seeds tried for names of sets that do not collide.
 SEEDS = 100
@@ -133,13 +133,19 @@ def _blocks(docs: DataFrame, level: np.ndarray, seed: int, buckets: int) -> Data
     hot_level = int(min(8 * np.log2(1 + HOT), 254))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, held, size = sent.value, [], 0
+        level, held, size, seen = sent.value, [], 0, set()
         for batch in batches:
             data, offsets = util.utf8(batch.column(0))
             n = len(offsets) - 1
             doc, h = shingles.of_batch(data, offsets)
             node, _ = shingles.names(doc, h, n, seed)
             at, most = shingles.prefixes(doc, h, n, level)
+            new = np.zeros(n, bool)
+            for i, name in enumerate(node.tolist()):  # equal sets of a task are dealt once
+                if name not in seen:
+                    seen.add(name)
+                    new[i] = True
+            at, most = at[new[doc[at]]], most[new[doc[at]]]
             held.append((h[at], node[doc[at]], _code(shingles.sizes(doc, n))[doc[at]], _code(most)))
             size += len(at)
             if size > 500_000:
@@ -239,13 +245,20 @@ PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Long
 FETCHED = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("members", T.BinaryType())])
 
 
-def _fetched(docs: DataFrame, nodes: DataFrame, seed: int, arrays: bool = True) -> DataFrame:
+def _places(key: np.ndarray, size: int) -> list[np.ndarray]:
+    """Two places of a row's key in a filter of that many bits."""
+    return [np.mod(key, size), np.mod(key >> 32, size)]
+
+
+def _fetched(docs: DataFrame, rows: DataFrame, nodes: DataFrame, seed: int, arrays: bool = True) -> DataFrame:
     """(node, n, bits, members) of the sets named in nodes (node), once each, from the
-    texts; without arrays, members are null. A filter, broadcast, spares most other sets;
+    texts; without arrays, members are null. rows (node, row_key) names one row of each
+    set. A filter of these rows' keys, broadcast, spares most other rows, the copies too;
     the join is exact."""
-    wanted = util.stored(nodes.distinct())
-    size = 1 << int(np.clip(np.ceil(np.log2(8 * max(wanted.count(), 1))), np.log2(LEAST_FILTER), np.log2(MOST_FILTER)))
-    marks = wanted.select(F.expr(f"cast(shiftright(pmod(node, {size}), 6) AS int)").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(node, {size}) % 64 AS int))").alias("bit"))
+    wanted = util.stored(rows.join(nodes.distinct(), "node", "left_semi"))
+    size = 1 << int(np.clip(np.ceil(np.log2(16 * max(wanted.count(), 1))), np.log2(LEAST_FILTER), np.log2(MOST_FILTER)))
+    place = F.explode(F.array(F.expr(f"pmod(row_key, {size})"), F.expr(f"pmod(shiftright(row_key, 32), {size})")))
+    marks = wanted.select(place.alias("place")).select(F.expr("cast(shiftright(place, 6) AS int)").alias("at"), F.expr("shiftleft(1L, cast(place % 64 AS int))").alias("bit"))
     words = np.zeros(size // 64, np.int64)
     for r in marks.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # at most size / 64 rows
         words[r["at"]] = r["bits"]
@@ -254,15 +267,14 @@ def _fetched(docs: DataFrame, nodes: DataFrame, seed: int, arrays: bool = True)
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, seen = sent.value, set()
         for batch in batches:
-            data, offsets = util.utf8(batch.column(0))
+            both = [(mask[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool) for at in _places(batch.column(0).to_numpy(), size)]
+            data, offsets = util.utf8(batch.column(1).filter(pa.array(both[0] & both[1])))
             n = len(offsets) - 1
             doc, h = shingles.of_batch(data, offsets)
             node, _ = shingles.names(doc, h, n, seed)
-            at = np.mod(node, size)
-            keep = (mask[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool)
             edge = np.searchsorted(doc, np.arange(n + 1))
             found = []
-            for i in np.flatnonzero(keep & (edge[1:] > edge[:-1])).tolist():
+            for i in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
                 name = int(node[i])
                 if name not in seen:
                     seen.add(name)
@@ -271,9 +283,9 @@ def _fetched(docs: DataFrame, nodes: DataFrame, seed: int, arrays: bool = True)
             columns = list(zip(*found, strict=True)) or [[]] * 4
             yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], FETCHED.names)
 
-    sets = docs.select("text").mapInArrow(fetched, FETCHED)
+    sets = docs.select("row_key", "text").mapInArrow(fetched, FETCHED)
     one = F.first(F.struct("n", "bits", "members"))
-    return sets.join(wanted, "node", "left_semi").groupBy("node").agg(one.alias("s")).select("node", "s.*")
+    return sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(one.alias("s")).select("node", "s.*")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -289,18 +301,18 @@ def _links(x: np.ndarray, y: np.ndarray) -> bool:
     return shingles.linked(both, len(x), len(y))
 
 
-def _decided(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by intersecting sorted arrays of hashes."""
-    pairs = util.stored(pairs)
+def _decided(pairs: DataFrame, docs: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
+    """The pairs (a, b) that link, by intersecting sorted arrays of hashes. The arrays are
+    shuffled by set, where they meet the groups that want them, and then by group."""
     n_pairs = pairs.count()
     if not n_pairs:
-        return pairs
+        return pairs.sparkSession.createDataFrame([], PAIR)
     # pairs of one set stay together, up to 256 of them; a group holds about 256 pairs
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
     chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / 256))
     grouped = util.stored(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("a", chunk), F.lit(-(-n_pairs // 256))).alias("group")))
     wanted = grouped.select("group", F.col("a").alias("node")).union(grouped.select("group", "b")).distinct()
-    shipped = members.join(wanted, "node").select(*[F.col(c).alias(c) for c in ("group", "node", "members")])
+    shipped = _fetched(docs, rows, _ends(pairs), seed).join(wanted, "node").select(*[F.col(c).alias(c) for c in ("group", "node", "members")])
 
     def decided(todo: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         util.memory_returned()
@@ -389,25 +401,25 @@ def _tiled(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return links
 
 
-def _labels(docs: DataFrame, entries: int, seed: int) -> DataFrame:
+def _labels(docs: DataFrame, described: DataFrame, entries: int, seed: int) -> DataFrame:
     """(node, label) of all sets that have a link."""
+    one = util.stored(described.where("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key")))
     blocks = util.stored(_blocks(docs, _sketch(docs), seed, max(8, -(-entries // BUCKET))))
     big = blocks.where("kind = 1").select(F.col("a").alias("block"), F.col("b").alias("node"), "n", "most")
     pairs = util.stored(blocks.where("kind = 0").select("a", "b").union(_stars(big)).distinct())
-    signed = util.stored(_fetched(docs, _ends(pairs), seed, arrays=False))
+    signed = util.stored(_fetched(docs, one, _ends(pairs), seed, arrays=False))
     bounded = util.stored(_bounded(pairs, signed))
-    sets = util.stored(_fetched(docs, _ends(bounded), seed))
-    links = _decided(bounded, sets)
+    links = _decided(bounded, docs, one, seed)
     labels = graph.components(links)
-    util.dropped(pairs, signed, sets, bounded)
+    util.dropped(pairs, signed, bounded)
     rows = util.stored(_open(big, labels))
     util.dropped(blocks)
     if rows.isEmpty():
         return labels
-    sets = util.stored(_fetched(docs, rows.select("node"), seed))
+    sets = util.stored(_fetched(docs, one, rows.select("node"), seed))
     more = _tiled(rows, sets)
     whole = labels if more.isEmpty() else graph.components(links.union(more))
-    util.dropped(rows, sets, links, more)
+    util.dropped(rows, sets, links, more, one)
     return whole
 
 
@@ -435,7 +447,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Repeated rows are equal sets and so linked. An empty table gives an empty result.
     """
     util.small_batches(df.sparkSession)
-    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("text_hash", F.xxhash64("text")).withColumn("row_key", F.xxhash64("doc_id", "text_hash"))
     for seed in range(SEEDS):
         rows = util.stored(_described(docs, seed))
         named = rows.where("n > 0").groupBy("node").agg(F.min(F.struct("check", "n")).alias("x"), F.max(F.struct("check", "n")).alias("y"))
@@ -445,7 +457,7 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         raise RuntimeError(f"sets share names under {SEEDS} seeds")
     entries = rows.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
-    labels = _labels(docs, int(entries), seed)
+    labels = _labels(docs, rows, int(entries), seed)
     some = rows.where("n > 0").select("doc_id", "text_hash", "n", "node")
     # what joins and groups need of each set, then of each component; neither is joined
     # back to its rows by a shuffle on a hot key
