@@ -307,10 +307,14 @@ def _decided(pairs: DataFrame, docs: DataFrame, rows: DataFrame, seed: int) -> D
     n_pairs = pairs.count()
     if not n_pairs:
         return pairs.sparkSession.createDataFrame([], PAIR)
-    # pairs of one set stay together, up to 256 of them; a group holds about 256 pairs
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / 256))
-    grouped = util.stored(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("a", chunk), F.lit(-(-n_pairs // 256))).alias("group")))
+    # pairs stay with their end that has most, up to 256 of them, so that few arrays are
+    # sent to several groups; a group holds about 256 pairs
+    degree = _ends(pairs).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    side = lambda x: degree.select(F.col("node").alias(x), F.col("degree").alias(f"degree_{x}"))
+    first = F.col("degree_a") >= F.col("degree_b")
+    hub, other = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    chunk = F.pmod(F.xxhash64(other), F.ceil(F.greatest("degree_a", "degree_b") / 256))
+    grouped = util.stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.pmod(F.xxhash64(hub, chunk), F.lit(-(-n_pairs // 256))).alias("group")))
     wanted = grouped.select("group", F.col("a").alias("node")).union(grouped.select("group", "b")).distinct()
     shipped = _fetched(docs, rows, _ends(pairs), seed).join(wanted, "node").select(*[F.col(c).alias(c) for c in ("group", "node", "members")])
 
