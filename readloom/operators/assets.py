@@ -89,29 +89,50 @@ def dedupe_thread_assets(assets: DataFrame) -> DataFrame:
 
 def assign_filenames(assets: DataFrame) -> DataFrame:
     """assets with new_filename, unique in their bundle: images/{root}{ext} if free, else
-    src{book}_{root}{ext}, then _2, _3 ... The names of one bundle pass through one task."""
+    src{book}_{root}{ext}, then _2, _3 ... book_idx is an integer. Names are counted by
+    windows of one book; only roots that differ just in such prefixes and numbers, and so
+    may meet (`a`, `src1_a`, `a_2`), are named in order, in one task for each such root."""
     path = F.regexp_replace(F.coalesce("filename", F.lit("")), r"(?s)[?#].*$", "")
     folder = F.when(path.startswith("images"), F.regexp_extract(path, r"^(images[^/]*(?:/.*)?)/[^/]*$", 1)).otherwise("images")
     base = F.regexp_extract(path, r"([^/]*)$", 1)
     ext = F.regexp_extract(base, r"(?<=.)(\.[^.]*)$", 1)
     root = text.safe_filename(F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""))
-    parts = assets.select("bundle_id", "book_idx", "asset_idx", F.when(folder == "", "images").otherwise(folder).alias("folder"), F.when(root.isin("", "untitled"), "image").otherwise(root).alias("root"), F.when(ext == "", ".img").otherwise(ext).alias("ext"))
+    full = F.when(folder == "", "images").otherwise(folder)
+    parts = assets.select("bundle_id", "book_idx", "asset_idx", full.alias("folder"), F.when(root.isin("", "untitled"), "image").otherwise(root).alias("root"), F.when(ext == "", ".img").otherwise(ext).alias("ext"))
+    # names can only meet where roots are alike but for prefixes and numbers of this kind
+    parts = stored(parts.withColumn("core", F.regexp_replace(F.regexp_replace("root", r"^(?:src-?\d+(?:_|$))+", ""), r"(?:(?:^|_)\d+)+$", "")))
+    key = ["bundle_id", "folder", "core", "ext"]
+    mixed = stored(parts.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(key))
+    alike = lambda how: parts.join(mixed, [parts[c].eqNullSafe(mixed[c]) for c in key], how)
+
+    # of one root: the first has the plain name, the others count within their book
+    one = alike("left_anti")
+    same = ["bundle_id", "folder", "root", "ext"]
+    first = one.groupBy(same).agg(F.min(F.struct("book_idx", "asset_idx")).alias("first")).select(*[F.col(c).alias(f"of_{c}") for c in same], "first")
+    place = F.row_number().over(Window.partitionBy(*same, "book_idx").orderBy("asset_idx"))
+    held = one.withColumn("place", place).join(first, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in same])
+    in_first = F.col("book_idx").eqNullSafe(F.col("first.book_idx"))
+    n = F.col("place") - F.when(in_first, 1).otherwise(0)
+    taken = F.concat("folder", F.lit("/src"), F.col("book_idx").cast("string"), F.lit("_"), "root", F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), "ext")
+    plain = F.concat("folder", F.lit("/"), "root", "ext")
+    easy = held.select("bundle_id", "book_idx", "asset_idx", F.when(in_first & (F.col("place") == 1), plain).otherwise(taken).alias("new_filename"))
 
     def named(part: pd.DataFrame) -> pd.DataFrame:
-        part, taken, out = part.sort_values(["book_idx", "asset_idx"]), set(), []
+        part, used, out = part.sort_values(["book_idx", "asset_idx"]), set(), []
         for book, folder, root, ext in zip(part["book_idx"], part["folder"], part["root"], part["ext"], strict=True):
-            name, n = f"{folder}/{root}{ext}", 1
-            if name in taken:
+            name, k = f"{folder}/{root}{ext}", 1
+            if name in used:
                 name = f"{folder}/src{book}_{root}{ext}"
-            while name in taken:
-                n += 1
-                name = f"{folder}/src{book}_{root}_{n}{ext}"
-            taken.add(name)
+            while name in used:
+                k += 1
+                name = f"{folder}/src{book}_{root}_{k}{ext}"
+            used.add(name)
             out.append(name)
         return part[["bundle_id", "book_idx", "asset_idx"]].assign(new_filename=out)
 
     kind = T.StructType([assets.schema["bundle_id"], assets.schema["book_idx"], assets.schema["asset_idx"], T.StructField("new_filename", T.StringType())])
-    return assets.join(parts.groupBy("bundle_id").applyInPandas(named, kind), ["bundle_id", "book_idx", "asset_idx"])
+    hard = alike("left_semi").groupBy(key).applyInPandas(named, kind)
+    return assets.join(easy.union(hard), ["bundle_id", "book_idx", "asset_idx"])
 
 
 def _remapped(html: str | None, entries: list | None) -> str | None:

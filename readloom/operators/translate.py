@@ -100,10 +100,12 @@ def upsert_memory(memory: DataFrame, new: DataFrame) -> DataFrame:
     return every.withColumn("k", last).where("k = 1").drop("k", "batch")
 
 
-def batch_texts(missing: DataFrame, most: int = 20, chars: int = 9000, buckets: int = 1) -> DataFrame:
+def batch_texts(missing: DataFrame, most: int = 20, chars: int = 9000, buckets: int = 1, bucket: Column | None = None) -> DataFrame:
     """missing (first_seen, text) with bucket and batch: in order, a batch closes at `most`
     texts or where the next would pass `chars`. Each bucket is batched by one task; with
-    more than one the borders depend on the bucket."""
+    more than one the borders depend on the bucket. Texts are dealt to `buckets` by hash, or
+    by `bucket`, a bigint expression over missing, such as a range of first_seen; large
+    tables need either."""
 
     def grouped(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["at"], kind="stable")
@@ -115,7 +117,7 @@ def batch_texts(missing: DataFrame, most: int = 20, chars: int = 9000, buckets:
             out.append(batch)
         return part.drop(columns=["size", "at"]).assign(batch=out)
 
-    rows = missing.select(F.pmod(F.xxhash64("text"), F.lit(buckets)).alias("bucket"), "text", F.length("text").cast("long").alias("size"), F.format_string("%s %012d %012d", F.col("first_seen.book_id").cast("string"), F.col("first_seen.chapter_idx"), F.col("first_seen.unit_idx")).alias("at"))
+    rows = missing.select((F.pmod(F.xxhash64("text"), F.lit(buckets)) if bucket is None else bucket.cast("long")).alias("bucket"), "text", F.length("text").cast("long").alias("size"), F.format_string("%s %012d %012d", F.col("first_seen.book_id").cast("string"), F.col("first_seen.chapter_idx"), F.col("first_seen.unit_idx")).alias("at"))
     kind = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("text", T.StringType()), T.StructField("batch", T.LongType())])
     return rows.groupBy("bucket").applyInPandas(grouped, kind)
 

@@ -39,6 +39,8 @@ def _id():
 _CANON = rf"""lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || {_HOST} ||
     CASE WHEN {_PATH} IN ('', '/') THEN '/' ELSE regexp_replace(regexp_replace({_PATH}, '/+', '/', 'g'), '/$', '') END"""
 _TEXT = r"""trim(regexp_replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))"""
+_SOLID = r"""replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', '', 'g'), '\s*\n\s*', '', 'g'), '&quot;', '"'), '&amp;', '&')"""
+_AD = r"""trim(regexp_replace(replace(replace(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))"""
 _BUNDLE_SQL = rf"""
     WITH c AS (SELECT *, {_CANON} AS canonical, {_HOST} AS host, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS raw FROM pages),
     f AS (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY page_id) AS k FROM c)
@@ -59,9 +61,17 @@ def site_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 plan("w1_site_bundles", _BUNDLE_SQL)(site_bundles)
 
 
-@plan("x1_extract_articles", rf"SELECT page_id, true AS success, {_HOST} AS sitename, {_TEXT} AS text FROM pages WHERE length({_TEXT}) > 400")
+def _body(added: int = 0) -> str:
+    """The text of each page in SQL. An article of 200 characters or fewer, counting those
+    added to it, gives its body's text: what its <div class="ad"> has comes first."""
+    return rf"""
+    WITH t AS (SELECT page_id, url, {_TEXT} AS text, length({_SOLID}) AS solid, {_AD} AS ad FROM pages)
+    SELECT page_id, url, CASE WHEN solid + {added} > 200 THEN text ELSE trim(ad || ' ' || text) END AS text FROM t"""
+
+
+@plan("x1_extract_articles", rf"SELECT page_id, true AS success, {_HOST} AS sitename, text FROM ({_body()})")
 def _(spark, d):
-    out = extract.extract_articles(pages(spark, d)).where("length(text) > 400")  # shorter ones give their body's text
+    out = extract.extract_articles(pages(spark, d))
     return out.select("page_id", "success", "sitename", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
 
 
@@ -72,11 +82,11 @@ def _(spark, d):
     return extract.extract_articles(twin).select("page_id", F.coalesce(F.col("text").startswith("chosen"), F.lit(False)).alias("by_selector"))
 
 
-@plan("x3_strip_boilerplate", rf"SELECT page_id, {_TEXT} AS text FROM pages WHERE length({_TEXT}) > 400")
+@plan("x3_strip_boilerplate", rf"SELECT page_id, text FROM ({_body(len('ShareRelated storiesgoxf'))})")
 def _(spark, d):
     junk = '<article><div class="social-share">Share</div><p>Related stories</p><nav>go</nav><script>x</script><form>f</form>'
     rows = pages(spark, d).withColumn("html", F.replace("html", F.lit("<article>"), F.lit(junk)))
-    return extract.extract_articles(rows).where("length(text) > 400").select("page_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    return extract.extract_articles(rows).select("page_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
 
 
 @plan("x4_extract_author", "SELECT page_id, 'Writer ' || (page_id % 9) || CASE WHEN page_id % 2 = 0 THEN '' ELSE ' & Second' END AS author FROM pages")
@@ -200,12 +210,17 @@ def forum_posts(spark, d):
     return extract.extract_forum_posts(forum_pages(spark, d).select("conv_id", "thread_url", "page", "url", "html"))
 
 
-@plan("x17_extract_blog_comments", "SELECT 'https://b.ex.com/' || conv_id AS thread_id, 'c' || turn AS id, CASE WHEN turn % 2 = 1 THEN 'c' || (turn - 1) END AS parent_id, role AS author FROM conversations WHERE turn < 2")
+@plan("x17_extract_blog_comments", "SELECT 'https://b.ex.com/' || conv_id AS thread_id, 'c' || turn AS id, CASE WHEN turn % 4 > 0 THEN 'c' || (turn - 1) END AS parent_id, role AS author FROM conversations")
 def _(spark, d):
-    two = table(spark, d, "conversations").where("turn < 2").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("role"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("role"))).alias("b"))
-    li = lambda n, who, rest: F.concat(F.lit(f'<li class="comment" id="c{n}"><div class="comment-author"><cite>'), who, F.lit('</cite></div><div class="comment-content">x</div>'), rest, F.lit("</li>"))
-    inner = F.when(F.col("b").isNotNull(), F.concat(F.lit('<ol class="children">'), li(1, F.col("b"), F.lit("")), F.lit("</ol>"))).otherwise("")
-    made = two.select(F.concat(F.lit("https://b.ex.com/"), F.col("conv_id").cast("string")).alias("url"), F.concat(F.lit('<ol class="comment-list">'), li(0, F.col("a"), inner), F.lit("</ol>")).alias("html"))
+    """Turns in fours: each but the first is the reply to the one before it, a level deeper."""
+    turn = F.col("turn").cast("string")
+    opened = F.concat(F.when(F.col("turn") % 4 > 0, '<ol class="children">').otherwise(""), F.lit('<li class="comment" id="c'), turn, F.lit('"><div class="comment-author"><cite>'), "role", F.lit('</cite></div><div class="comment-content">x</div>'))
+    closed = F.when(F.col("turn") % 4 > 0, "</li></ol>").otherwise("</li>")
+    said = table(spark, d, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 4).alias("four"), opened.alias("opened"), closed.alias("closed"))
+    parts = F.array_sort(F.collect_list(F.struct("turn", "opened", "closed")))
+    fours = said.groupBy("conv_id", "four").agg(F.concat(F.array_join(F.transform(parts, lambda x: x["opened"]), ""), F.array_join(F.transform(F.reverse(parts), lambda x: x["closed"]), "")).alias("html"))
+    lists = fours.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("four", "html"))), lambda x: x["html"]), "").alias("html"))
+    made = lists.select(F.concat(F.lit("https://b.ex.com/"), F.col("conv_id").cast("string")).alias("url"), F.concat(F.lit('<ol class="comment-list">'), "html", F.lit("</ol>")).alias("html"))
     return extract.extract_blog_comments(made).select("thread_id", "id", "parent_id", "author")
 
 

@@ -278,14 +278,18 @@ def _(spark, d):
     return out.groupBy("book_idx").agg(F.count(F.when(F.col("is_article"), F.col("saved_at"))).alias("saved"), F.count(F.lit(1)).alias("chapters"))
 
 
-@plan("s5_write_bundle", "SELECT count(*) AS chapters FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey < 20")
+@plan("s5_write_bundle", """
+    SELECT o_custkey AS bundle_id, count(*) AS chapters, count(DISTINCT l_orderkey) AS books, count(DISTINCT 'images/' || (l_orderkey % 5) || '.png') AS assets, min(l_orderkey % 5) AS low
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
 def _(spark, d):
+    """Every bundle is written, then counted from what was written."""
     chapters, toc = bundle.build_bundle(*_books(spark, d))
-    few = chapters.where("bundle_id < 20")
-    path = _shared(spark)
-    own = few.select("bundle_id", F.lit("images/a.png").alias("filename"), F.col("spine").alias("asset_no"))
-    sinks.write_bundle(few, own, toc.where("bundle_id < 20"), path)
-    return spark.read.parquet(f"{path}/chapters").agg(F.count(F.lit(1)).alias("chapters"))
+    path, n = _shared(spark), F.col("book_idx") % 5
+    own = chapters.select("bundle_id", F.concat(F.lit("images/"), n.cast("string"), F.lit(".png")).alias("filename"), F.col("spine").alias("asset_no"), n.alias("n"))
+    sinks.write_bundle(chapters, own, toc, path, parts=spark.sparkContext.defaultParallelism)
+    read = lambda name, *counts: spark.read.parquet(f"{path}/{name}").groupBy("bundle_id").agg(*counts)
+    one = F.count(F.lit(1))
+    return read("chapters", one.alias("chapters")).join(read("toc", one.alias("books")), "bundle_id").join(read("assets", one.alias("assets"), F.min("n").alias("low")), "bundle_id")
 
 
 # Translation: documents as units, those with an even id already translated
@@ -329,10 +333,10 @@ def _(spark, d):
     return translate.upsert_memory(rows.where("created_at % 3 != 0"), rows.where("created_at % 3 = 0")).select("cache_key", "created_at")
 
 
-@plan("l5_batch_texts", "SELECT ((row_number() OVER (ORDER BY doc_id) - 1) // 20)::BIGINT AS batch, doc_id AS id FROM documents")
+@plan("l5_batch_texts", "SELECT doc_id // 1000 AS bucket, ((row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) - 1) // 20)::BIGINT AS batch, doc_id AS id FROM documents")
 def _(spark, d):
     rows = table(spark, d, "documents").select(F.concat(F.lit("id "), F.col("doc_id").cast("string")).alias("text"), F.struct(F.lit("b").alias("book_id"), F.lit(0).alias("chapter_idx"), F.col("doc_id").cast("int").alias("unit_idx")).alias("first_seen"))
-    return translate.batch_texts(rows).select("batch", F.substring_index("text", " ", -1).cast("long").alias("id"))
+    return translate.batch_texts(rows, bucket=F.floor(F.col("first_seen.unit_idx") / 1000)).select("bucket", "batch", F.substring_index("text", " ", -1).cast("long").alias("id"))
 
 
 @plan("l6_protect_terms", "SELECT doc_id, replace(text, ' the ', ' THE ') AS text FROM documents")

@@ -117,6 +117,32 @@ def test_asset_dedupe_is_greedy(spark):
     assert got == greedy(data)
 
 
+def test_filenames_equal_naming_in_order(spark):
+    import random
+
+    rng, data = random.Random(5), []
+    for n in range(300):
+        name = rng.choice(["a", "src1_a", "a_2", "src1_a_2", "src2_src1_a", "b", "", "c_d", "src_e", "src1", "2", "src1_2"]) + rng.choice([".png", ".jpg"])
+        data.append((rng.choice(["x", "y"]), rng.randrange(4), n, rng.choice(["images/", "", "images/deep/"]) + name, b"1", None, None))
+    data.append(("y", 1, 300, None, None, None, None))
+    got = {(r.bundle_id, r.book_idx, r.asset_idx): r.new_filename for r in assets.assign_filenames(spark.createDataFrame(data, ASSET).repartition(5)).collect()}
+    assert len(got) == len(data) == len({(k[0], v) for k, v in got.items()})
+    used = set()
+    for bundle_id, book, n, path, *_ in sorted(data, key=lambda r: (r[0], r[1], r[2])):
+        folder, _, base = (path or "").rpartition("/")
+        dot = base.rfind(".")
+        root, ext = (base[:dot], base[dot:]) if dot > 0 else (base, "")
+        if base.startswith("."):
+            root, ext = base, ""
+        want = got[bundle_id, book, n]
+        head, tail = want.rpartition("/")[::2]
+        assert head == (folder or "images")
+        if ext and root:
+            tries = [f"{root}{ext}", f"src{book}_{root}{ext}", *[f"src{book}_{root}_{k}{ext}" for k in range(2, 400)]]
+            assert tail == next(t for t in tries if (bundle_id, head, t) not in used)
+        used.add((bundle_id, head, tail))
+
+
 def test_assets(spark):
     data = [("x", 1, 0, "images/a.png", b"1", "https://a.com/photo-final.jpg", None), ("x", 2, 0, "images/a.png", b"22", None, None), ("x", 2, 1, "images/a.png", b"", None, None), ("x", 2, 2, "b", b"1", None, None)]
     df = spark.createDataFrame(data, ASSET)
