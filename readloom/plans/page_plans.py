@@ -244,6 +244,25 @@ def _(spark, d):
     return extract.summary_input(rows)
 
 
+@plan("x20_forum_summary", r"""
+    SELECT 't' || conv_id AS thread_url, string_agg('Post by ' || role || ': ' || trim(regexp_replace(text, '\s+', ' ', 'g')), chr(10) || chr(10) ORDER BY turn) AS summary_text FROM conversations WHERE turn < 5 GROUP BY 1""")
+def _(spark, d):
+    """The first five posts of each thread, as the summary has them."""
+    return extract.forum_summary_input(forum_posts(spark, d).withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))))
+
+
+@plan("x15_linked_tables", f"""
+    WITH p AS (SELECT page_id, {_HOST} AS host, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) AS n FROM pages)
+    SELECT b.page_id, a.page_id AS table_page_id, 0::INTEGER AS table_idx, 'Scores' AS heading FROM p a JOIN p b ON a.host = b.host AND a.n % 2 = 1 AND b.n = a.n + 1""")
+def _(spark, d):
+    """Pages of each site in twos: the first has a table, the second links to it."""
+    host = urls.host(F.col("url"))
+    n = F.row_number().over(Window.partitionBy(host).orderBy("page_id"))
+    rows = pages(spark, d).select("page_id", F.concat(F.lit("https://"), host, F.lit("/p-"), n.cast("string")).alias("url"), n.alias("n"), F.concat(F.lit("https://"), host, F.lit("/p-"), (n - 1).cast("string")).alias("before"))
+    html = F.when(F.col("n") % 2 == 1, F.concat(*[_id() if isinstance(x, str) else x for x in _table_html()])).otherwise(F.concat(F.lit('<p><a href="'), F.col("before"), F.lit('">All statistics and results</a></p>')))
+    return extract.linked_tables(rows.select("page_id", "url", html.alias("html"))).select("page_id", "table_page_id", "table_idx", "heading")
+
+
 @plan("p7_detect_paywall", "SELECT page_id FROM pages WHERE page_id % 5 = 0")
 def _(spark, d):
     return extract.detect_paywall(with_html(spark, d, F.when(F.col("page_id") % 5 == 0, '<div id="gateway-content"></div>').otherwise(""))).select("page_id")

@@ -105,12 +105,19 @@ def _(spark, d):
     return threads.comment_navigation(threads.build_comment_forest(items, items.where("id = 0"))).select("thread_id", "id", *[F.col(c).cast("string").alias(c) for c in ("root_id", "next_sibling_id", "next_root_id")])
 
 
-@plan("c4_render_threads", "SELECT conv_id AS thread_id, count(*) AS comments, 0 AS unclosed FROM conversations GROUP BY 1")
+@plan("c4_render_threads", """
+    WITH RECURSIVE s AS (SELECT conv_id, count(*) AS size FROM conversations GROUP BY 1),
+    t AS (SELECT conv_id, turn, 0 AS depth, '' AS path FROM conversations WHERE turn = 0
+          UNION ALL SELECT c.conv_id, c.turn, depth + 1, path || (2 - c.turn % 2) FROM conversations c JOIN t ON c.conv_id = t.conv_id AND (c.turn = 2 * t.turn + 1 OR c.turn = 2 * t.turn + 2))
+    SELECT conv_id AS thread_id, string_agg('c_' || turn || '" style="margin-left:' || least(depth, 5) * 10, ',' ORDER BY path) AS comments, 0 AS unclosed,
+           count(*) FILTER (depth > 1) AS to_root, count(*) FILTER (turn % 2 = 1 AND turn + 1 < size) AS to_next
+    FROM t JOIN s USING (conv_id) GROUP BY 1""")
 def _(spark, d):
     items = _items(spark, d).withColumn("text", F.lit("<p>x</p>"))
     out = threads.render_threads(threads.comment_navigation(threads.build_comment_forest(items, items.where("id = 0"))))
     n = lambda x: F.regexp_count("html", F.lit(x))
-    return out.select("thread_id", n('class="comment"').cast("long").alias("comments"), (n("<div") - n("</div>")).alias("unclosed"))
+    shown = F.regexp_extract_all("html", F.lit('id="(c_[0-9]+" style="margin-left:[0-9]+)px'), F.lit(1))
+    return out.select("thread_id", F.array_join(shown, ",").alias("comments"), (n("<div") - n("</div>")).alias("unclosed"), n(">root</a>").cast("long").alias("to_root"), n(">next</a>").cast("long").alias("to_next"))
 
 
 @plan("c5_top_roots_with_replies", """
@@ -308,11 +315,19 @@ def _memory(spark, d):
 _COMPACT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 
-@plan("l1_extract_translation_units", "SELECT page_id AS book_id, count(*) AS units FROM (SELECT page_id, unnest(['a', 'b']) FROM pages) GROUP BY 1")
+@plan("l1_extract_translation_units", """
+    WITH w AS (SELECT conv_id, turn, role || ' says ' || trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS words FROM conversations WHERE turn % 3 = 0)
+    SELECT conv_id AS book_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS unit_idx, trim(words) AS text FROM w""")
 def _(spark, d):
-    html = F.concat(F.lit("<article><h1>Head of "), F.col("page_id").cast("string"), F.lit("</h1><p>A line of text</p><p>12</p><pre><p>code</p></pre><div class='post-meta'><p>meta</p></div><ul><li><p>"), F.lit("!</p></li></ul></article>"))
-    ch = table(spark, d, "pages").select(F.col("page_id").alias("book_id"), F.lit(0).alias("chapter_idx"), html.alias("content_html"), F.lit(True).alias("is_article"), F.lit(False).alias("is_comments"))
-    return translate.extract_translation_units(ch).groupBy("book_id").agg(F.count(F.lit(1)).alias("units"))
+    """Of three turns one is text, one is code and one is a block of metadata."""
+    words = F.concat("role", F.lit(" says\n "), F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")))
+    kind = (F.col("turn") % 3).cast("int")
+    around = lambda *x: F.get(F.array(*map(F.lit, x)), kind)
+    line = F.concat(around("<p>", "<pre><p>", "<div class='post-meta'><p>"), words, around("</p><p>12</p>", "</p></pre>", "</p></div>"))
+    said = table(spark, d, "conversations").select(F.col("conv_id").alias("book_id"), "turn", line.alias("line"))
+    html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "")
+    ch = said.groupBy("book_id").agg(html.alias("content_html")).withColumns({"chapter_idx": F.lit(0), "is_article": F.lit(True), "is_comments": F.lit(False)})
+    return translate.extract_translation_units(ch).select("book_id", "unit_idx", "text")
 
 
 @plan("l2_translation_key", rf"SELECT doc_id, sha256('llm' || chr(10) || 'auto:m' || chr(10) || 'auto' || chr(10) || 'de' || chr(10) || {_COMPACT}) AS cache_key FROM documents")
