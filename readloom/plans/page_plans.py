@@ -75,11 +75,20 @@ def _(spark, d):
     return out.select("page_id", "success", "sitename", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
 
 
-@plan("x2_select_content", "SELECT page_id, page_id % 2 = 0 AS by_selector FROM pages")
+def _plain(spark, d):
+    """documents with the letters of their text, words one space apart."""
+    return table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " ")).alias("words"))
+
+
+_WORDS = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'))"
+
+
+@plan("x2_select_content", f"SELECT doc_id, length({_WORDS}) > 200 AS by_selector FROM documents")
 def _(spark, d):
-    inner = F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)
-    twin = pages(spark, d).withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<div class="post-content"><p>'), F.repeat(F.lit("chosen "), 60), F.lit("</p></div><div>"), inner, F.lit("</div>"))).otherwise(F.concat(F.lit("<section>"), inner, inner, F.lit("</section>"))))
-    return extract.extract_articles(twin).select("page_id", F.coalesce(F.col("text").startswith("chosen"), F.lit(False)).alias("by_selector"))
+    """A content block is taken if it has more than 200 characters."""
+    html = F.concat(F.lit('<body><div class="post-content"><p>'), "words", F.lit("</p></div><div><p>"), F.repeat(F.lit("other "), 90), F.lit("</p></div></body>"))
+    out = extract.extract_articles(_plain(spark, d).select("doc_id", F.lit("https://ex.com/a").alias("url"), html.alias("html"), "words"))
+    return out.select("doc_id", F.coalesce(F.trim(F.regexp_replace("text", r"\s+", " ")) == F.col("words"), F.lit(False)).alias("by_selector"))
 
 
 @plan("x3_strip_boilerplate", rf"SELECT page_id, text FROM ({_body(len('ShareRelated storiesgoxf'))})")
@@ -231,11 +240,18 @@ def _(spark, d):
     return extract.extract_newsletter_ids(with_html(spark, d, F.when(F.col("page_id") % 2 == 0, preload).otherwise(tag))).select("page_id", "post_id", "subdomain")
 
 
-@plan("x19_clean_chapters", "SELECT page_id, false AS menu, false AS share, true AS body FROM pages")
+@plan("x19_clean_chapters", f"""
+    SELECT doc_id, false AS nav, length({_WORDS}) > 360 AS menu, length({_WORDS}) > 360 AS bar, length({_WORDS}) > 500 AS cluster, true AS body FROM documents""")
 def _(spark, d):
-    rows = with_html(spark, d, '<div class="social-bar"><a>Share</a></div><div class="menu">Menu entry</div>').select("page_id", F.col("html").alias("content_html"), F.lit(None).cast("string").alias("title"))
+    """Menus and social bars of at most 360 characters go, longer ones are the body; so do
+    clusters where links are most of at most 900 characters and words tell of a footer."""
+    block = lambda name, inner: F.concat(F.lit(f'<div class="{name}" id="is-{name}"><p>'), inner, F.lit("</p></div>"))
+    # 390 linked characters and 10 more: 65 % of up to 600
+    links = F.concat(*[F.lit(f'<a href="/{k}">{"x" * 130}</a> ') for k in range(3)], F.lit("read more "), F.when(F.length("words") > 500, F.col("words")).otherwise(""))
+    rows = _plain(spark, d).select("doc_id", F.concat(F.lit("<nav>Go</nav><div id='is-body'><p>kept</p></div>"), block("menu", F.col("words")), block("social-bar", F.col("words")), block("plain", links)).alias("content_html"), F.lit(None).cast("string").alias("title"))
     out = clean.clean_chapters(rows)
-    return out.select("page_id", F.col("content_html").contains("Menu entry").alias("menu"), F.col("content_html").contains(">Share<").alias("share"), F.col("content_html").contains("<article>").alias("body"))
+    has = lambda x: F.col("content_html").contains(x)
+    return out.select("doc_id", has("<nav").alias("nav"), has("is-menu").alias("menu"), has("is-social-bar").alias("bar"), has("is-plain").alias("cluster"), has("is-body").alias("body"))
 
 
 @plan("x20_summary_input", "SELECT doc_id // 10 AS book_id, left(string_agg(text, chr(10) ORDER BY doc_id), 25000) AS summary_text FROM documents GROUP BY 1")
