@@ -163,16 +163,17 @@ def _powers(name: str, base: int, n: int) -> np.ndarray:
 _BYTE = mixed(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All words `[^\\x20\\x09-\\x0D]+` of a batch: 64-bit hashes, start and end bytes,
-    and for each text the index of its first word (len + 1 values)."""
+    and for each text the index of its first word (len + 1 values). With letters (256 flags),
+    words are the longest runs of such bytes instead."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, U64), z, z, np.zeros(len(offsets), np.int64)
     if lower:
         data = data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    solid = ~((data == 32) | ((data >= 9) & (data <= 13))) if letters is None else letters[data]
     # a word also ends where its text ends
     first = np.zeros(n + 1, bool)
     first[offsets[:-1]] = True
