@@ -245,8 +245,10 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str =
 
     Null and termless texts match nothing, as documents and as items. Rows that repeat an id
     are documents, or items, of their own. Empty tables give an empty result; extra columns
-    take no part.
+    take no part. The two id columns have different names in the result.
     """
+    if id_col == item_id_col:
+        raise ValueError("name the id of documents and that of items differently")
     spark = docs.sparkSession
     util.small_batches(spark)
     col = lambda name: F.col(f"`{name}`")

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from readloom.llm import ann, bpe, exact_dedup, lm_score, mixing, ngram_join, quality, secret_scan, substring_dedup, url_filter
+from readloom.llm import ann, bpe, exact_dedup, lexical, lm_score, merkle, mixing, ngram_join, quality, secret_scan, substring_dedup, topk, url_filter
 from readloom.llm.query_bpe import ranks_path
 
 RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/")]
@@ -27,6 +27,9 @@ OPERATORS = {
     "substring_dedup": (substring_dedup, lambda s, d: substring_dedup.substring_dedup(d, width=5), True),
     "bpe": (bpe, lambda s, d: bpe.bpe_decode(bpe.bpe_encode(d, ranks_path()), ranks_path()), True),
     "judged": (quality, lambda s, d: quality.judged(d), True),
+    "merkle_manifest": (merkle, lambda s, d: merkle.merkle_manifest(d, ["doc_id", "source", "text"], group_col="source"), False),
+    "ranked_search": (lexical, lambda s, d: lexical.ranked_search(d, d.selectExpr("doc_id AS benchmark_id", "text"), k=3, item_id_col="benchmark_id"), False),
+    "top_k": (topk, lambda s, d: topk.top_k(d, d["doc_id"] == 1, k=2, id_col="doc_id"), False),
     "one_of_each": (ngram_join, lambda s, d: ngram_join.one_of_each(d), True),
 }
 ROWS = [(i, f"a b c d e f g h {i // 2} token = abcdefgh{i // 3}", "s", "http://www.example.net/en/x", [1.0, float(i)]) for i in range(9)] + [(None, None, None, None, None), (3, "", "s", "x", [1.0, 2.0])]
