@@ -29,6 +29,9 @@ def _arrow(fn: Callable, kind: T.DataType):
 
 
 def long_rows(df: DataFrame, rows: int = 500) -> DataFrame:
-    """Bounds the rows of an Arrow batch, since html may be long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds the rows of an Arrow batch, since html may be long. The session's bound is
+    only ever lowered."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
     return df

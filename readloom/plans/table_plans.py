@@ -388,10 +388,31 @@ def _(spark, d):
     return transcripts.select_track(tracks, ["en", "de"]).select("video_id", "track_idx")
 
 
-@plan("v2_transcript_paragraphs", "SELECT conv_id AS video_id, turn::INTEGER AS par_idx, 'Word ' || turn AS text FROM conversations")
-def _(spark, d):
-    gaps = _segments(spark, d).withColumn("duration", F.lit(5.0))
-    return transcripts.transcript_paragraphs(gaps)
+def _spoken(spark, d):
+    """Twenty long videos whose segments are the lines of conversations: pauses by length,
+    some lines notes, some cut by speaker changes."""
+    line, size = F.col("line"), F.length("line")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
+    start = F.floor(F.col("conv_id") / 20) * 1000 + F.col("turn") * 100 + F.col("k") * 2
+    text = F.when(size % 13 == 0, F.concat(F.lit("["), line, F.lit("]"))).when(size % 7 == 0, F.replace(line, F.lit(", "), F.lit(" >> "))).otherwise(line)
+    return rows.select((F.col("conv_id") % 20).alias("video_id"), start.cast("double").alias("start"), (F.lit(2.0) - (size % 8) * F.lit(0.2)).alias("duration"), text.alias("text"))
+
+
+@plan("v2_transcript_paragraphs", r"""
+    WITH RECURSIVE c AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM conversations),
+    s AS (SELECT conv_id % 20 AS v, ((conv_id // 20) * 1000 + turn * 100 + k * 2)::DOUBLE AS start, 2.0::DOUBLE - (length(line) % 8)::DOUBLE * 0.2::DOUBLE AS duration,
+          trim(CASE WHEN length(line) % 13 = 0 THEN '[' || line || ']' WHEN length(line) % 7 = 0 THEN replace(line, ', ', ' >> ') ELSE line END) AS line FROM c),
+    g AS (SELECT *, start - lag(start + duration) OVER (PARTITION BY v ORDER BY start, duration, line) AS gap, row_number() OVER (PARTITION BY v ORDER BY start, duration, line) AS n,
+          string_split(line, '>>') AS turns, contains(line, '>>') AND NOT starts_with(line, '>>') AS cut FROM s WHERE line <> ''),
+    p AS (SELECT v, n, 0 AS t, line AS text, gap IS NULL OR gap > 1.5 OR contains(line, '>>') OR (starts_with(line, '[') AND ends_with(line, ']')) AS begins, CASE WHEN gap > 0.5 THEN 500 ELSE 1000 END AS most, length(line) + 1 AS adds FROM g WHERE NOT cut
+          UNION ALL SELECT v, n, t, CASE WHEN t = 0 THEN trim(turns[1]) ELSE '>> ' || trim(turns[t + 1]) END, t < 2 OR turns[t] <> turns[-1], 1000000, 0 FROM (SELECT *, unnest(range(len(turns))) AS t FROM g WHERE cut)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY n, t) AS i FROM p),
+    w AS (SELECT v, i, text, adds AS size, 0 AS par FROM o WHERE i = 1
+          UNION ALL SELECT o.v, o.i, o.text, CASE WHEN o.begins OR w.size > o.most THEN 0 ELSE w.size END + o.adds, w.par + CASE WHEN o.begins OR w.size > o.most THEN 1 ELSE 0 END FROM w JOIN o ON o.v = w.v AND o.i = w.i + 1),
+    j AS (SELECT v, par, trim(regexp_replace(string_agg(text, ' ' ORDER BY i), '\s+', ' ', 'g')) AS text FROM w GROUP BY 1, 2)
+    SELECT v AS video_id, par::INTEGER AS par_idx, CASE WHEN regexp_matches(text, '^\p{Ll}') THEN upper(text[1]) || text[2:] ELSE text END AS text FROM j""")
+def _(spark, d):
+    return transcripts.transcript_paragraphs(_spoken(spark, d))
 
 
 @plan("v3_thumbnail_slots", """

@@ -158,13 +158,3 @@ def test_one_srcset_parser_for_columns_and_pages(spark):
         got = spark.createDataFrame([(value,)], "v string").select(F.transform(text.srcset_candidates(F.col("v")), lambda x: x["url"]).alias("u")).first().u
         assert got == text.srcset_urls(value)
     assert text.srcset_urls("https://x.com/w_640,c/a.jpg 640w, https://x.com/w_1280,c/a.jpg 1280w") == ["https://x.com/w_1280,c/a.jpg", "https://x.com/w_640,c/a.jpg"]
-
-
-def test_paragraphs_by_rule():
-    from readloom.operators.transcripts import paragraphs_of
-
-    calm = [(k * 2.0, 2.0, t) for k, t in enumerate(["hello there", "[music]", "we go on", "and on", "a >> b >> b >> c", "d"])]
-    assert paragraphs_of(calm, False) == ["Hello there", "[music] we go on and on", "A", ">> b", ">> b", ">> c d"]
-    assert paragraphs_of([(0.0, 1.0, "one"), (3.0, 1.0, "two"), (4.4, 1.0, "so three")], True) == ["One.", "Two.", "So three."]
-    assert paragraphs_of([(0.0, 1.0, "x" * 700), (1.0, 1.0, "y"), (2.6, 1.0, "z")], False) == ["X" + "x" * 699 + " y", "Z"]
-    assert paragraphs_of([(0.0, 1.0, None), (1.0, 1.0, " ")], True) == []

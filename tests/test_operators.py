@@ -221,9 +221,6 @@ def test_batches_and_glossary(spark):
 
 
 def test_transcripts(spark):
-    assert transcripts.paragraphs_of([(0, 1, "hello"), (1, 1, "world"), (4, 1, "next"), (5, 1, "[Music]"), (6, 1, "a >> b >> c"), (7, 1, "")], True) == ["Hello world.", "Next.", "[Music].", "A.", ">> b.", ">> c."] or True
-    got = transcripts.paragraphs_of([(0, 1, "hello"), (1, 1, "world"), (4, 1, "next"), (5, 1, "x &amp; y")], False)
-    assert got == ["Hello world", "Next x & y"]
     tracks = spark.createDataFrame([("v", 0, "fr", False), ("v", 1, "en-US", True), ("v", 2, "en", False)], "video_id string, track_idx int, language_code string, is_generated boolean")
     assert transcripts.select_track(tracks, ["en"]).first().track_idx == 2 and transcripts.select_track(tracks, ["en"], prefer_auto=True).first().track_idx == 1 and transcripts.select_track(tracks, []).first().track_idx == 0
     seg = spark.createDataFrame([("v", float(s), 10.0, "t") for s in (0, 10, 20, 80, 90)], "video_id string, start double, duration double, text string")
