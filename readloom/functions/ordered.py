@@ -127,7 +127,7 @@ def grouped(rows: DataFrame, machine: Machine, then: list[str] | None = None) ->
     wide = F.broadcast(parts(rows).withColumn("of", F.count(F.lit(1)).over(spread)).where("of > 1").select("key", "part"))
     lined = lambda df: df.repartition("key", "part").sortWithinPartitions(*order)
     summaries = lined(rows.select(*order, *machine.columns).join(wide, ["key", "part"], "left_semi")).mapInArrow(partial(_summed_up, machine=machine), "key string, part long, summary binary")
-    states = stored(summaries.groupBy("key").applyInPandas(partial(_composed, machine=machine), "key string, part long, state binary, begun long"))
+    states = stored(summaries.groupBy("key").applyInPandas(lambda part: _composed(part, machine), "key string, part long, state binary, begun long"))
     kind = T.StructType([*rows.schema.fields, T.StructField("group", T.LongType())])
     given = rows.join(F.broadcast(states), ["key", "part"], "left").select(*rows.columns, "state", "begun")
     return lined(given).mapInArrow(partial(_run, machine=machine), kind)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from readloom.functions import text, urls
 from readloom.functions.dom import parse
 from readloom.functions.helpers import long_rows, per_row
-from readloom.functions.tables import stored
+from readloom.functions.tables import dropped, stored
 
 
 def content_hash(content: Column) -> Column:
@@ -26,65 +26,106 @@ def url_keys(original: Column, alternatives: Column) -> Column:
     return F.array_distinct(F.filter(both, lambda u: u != ""))
 
 
-def _components(members: DataFrame) -> DataFrame:
-    """(bundle_id, set_id, component) of sets that share keys, by spreading least ids; each
-    round is written out."""
-    labels = stored(members.select("bundle_id", "set_id").distinct().withColumn("component", F.col("set_id")))
+def _key_sets(assets: DataFrame) -> DataFrame:
+    """(bundle_id, book_idx, asset_idx, filename, hash, keys): keys has the hash, then the url
+    keys. The contents are read, but only their hashes go on."""
+    keyed = assets.select("bundle_id", "book_idx", "asset_idx", "filename", content_hash(F.col("content")).alias("hash"), url_keys(F.col("original_url"), F.col("alt_urls")).alias("ukeys"))
+    own = F.when(F.col("hash").isNotNull(), F.array(F.concat(F.lit("h:"), "hash"))).otherwise(F.array().cast("array<string>"))
+    return keyed.select("bundle_id", "book_idx", "asset_idx", "filename", F.concat(own, F.transform("ukeys", lambda u: F.concat(F.lit("u:"), u))).alias("keys"))
+
+
+_SET = ["bundle_id", "set"]
+
+
+def _kept_sets(members: DataFrame) -> DataFrame:
+    """The sets (bundle_id, set) that register their keys, of members (bundle_id, set, key),
+    where a set is (book_idx, asset_idx), its rank. By rank, a set registers its keys unless
+    one of them is registered.
+
+    Parallel peeling: a set that has the least rank under each of its keys is kept, sets that
+    share a key with it are not; the rest goes round again. Each round decides the first set
+    of every group of sets that share keys, and all sets next to it."""
+    kept, left = [], members
     while True:
-        by_key = members.join(labels, ["bundle_id", "set_id"]).groupBy("bundle_id", "key").agg(F.min("component").alias("least"))
-        near = members.join(by_key, ["bundle_id", "key"]).groupBy("bundle_id", "set_id").agg(F.min("least").alias("least"))
-        step = near.join(labels.select("bundle_id", F.col("set_id").alias("least"), F.col("component").alias("far")), ["bundle_id", "least"])
-        new = stored(step.join(labels, ["bundle_id", "set_id"]).select("bundle_id", "set_id", F.least("least", "far").alias("component"), (F.least("least", "far") < F.col("component")).alias("moved")))
-        labels = new.drop("moved")
-        if new.where("moved").isEmpty():
-            return labels
+        least = left.groupBy("bundle_id", "key").agg(F.min("set").alias("least"))
+        seen = left.join(least, ["bundle_id", "key"])
+        # one row for each set and each first of its keys
+        meets = stored(seen.groupBy(*_SET, "least").agg(F.lit(1).alias("one")).drop("one"))
+        won = meets.groupBy(_SET).agg(F.min("least").alias("first")).where(F.col("first") == F.col("set")).select(_SET)
+        won = stored(won)
+        kept.append(won)
+        lost = meets.join(won.select("bundle_id", F.col("set").alias("least")), ["bundle_id", "least"], "left_semi").select(_SET).distinct()
+        rest = stored(left.join(lost, _SET, "left_anti"))  # what won has lost to itself
+        dropped(meets)
+        if left is not members:
+            dropped(left)
+        left = rest
+        if left.isEmpty():
+            dropped(left)
+            out = kept[0]
+            for more in kept[1:]:
+                out = out.union(more)
+            return out
+
+
+def asset_duplicates(assets: DataFrame) -> DataFrame:
+    """(bundle_id, book_idx, asset_idx, filename, kept, kept_filename) of assets, in bundle
+    order (book_idx, asset_idx). An asset is a duplicate if its content's hash is registered,
+    else if one of its url keys is; a duplicate registers nothing, and takes the name of the
+    asset that registered its hash before it, else its first such url key.
+
+    Only keys that several sets hold can make duplicates: the others go first, and equal
+    key sets are one. Contents are never shuffled. An asset without content and urls is kept;
+    a null bundle is one of its own."""
+    bundle = F.coalesce(F.concat(F.lit("+"), F.col("bundle_id").cast("string")), F.lit(""))
+    rows = stored(_key_sets(assets).withColumn("bundle", F.col("bundle_id")).withColumn("bundle_id", bundle).withColumn("set", F.struct("book_idx", "asset_idx")))
+    sets = rows.where(F.size("keys") > 0).groupBy("bundle_id", F.xxhash64("keys").alias("mark"), "keys").agg(F.min("set").alias("set"))
+    # a key that one set holds in one row decides nothing
+    held = rows.select("bundle_id", "set", F.explode("keys").alias("key"))
+    common = stored(held.groupBy("bundle_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bundle_id", "key"))
+    asked = stored(held.join(common, ["bundle_id", "key"], "left_semi"))
+    members = stored(sets.select("bundle_id", "set", F.explode("keys").alias("key")).join(common, ["bundle_id", "key"], "left_semi"))
+    kept = stored(_kept_sets(members))
+    owners = stored(members.join(kept, _SET, "left_semi"))
+    files = kept.join(rows.select("bundle_id", "set", "filename"), _SET).select("bundle_id", F.col("set").alias("owner"), "filename")
+    hit = asked.join(owners.withColumnRenamed("set", "owner"), ["bundle_id", "key"]).where(F.col("owner") < F.col("set"))
+    place = F.array_position(F.col("keys"), F.col("key"))
+    first = hit.join(rows.select("bundle_id", "set", "keys"), _SET).groupBy(_SET).agg(F.min_by("owner", place).alias("owner"))
+    target = stored(first.join(files, ["bundle_id", "owner"]).select("bundle_id", "set", F.col("filename").alias("target")))
+    dropped(common, asked, members, kept, owners)
+    out = rows.join(target, _SET, "left")
+    return out.select(F.col("bundle").alias("bundle_id"), "book_idx", "asset_idx", "filename", F.col("target").isNull().alias("kept"), F.coalesce("target", "filename").alias("kept_filename"))
+
+
+def _with(assets: DataFrame, found: DataFrame, ids: list[str]) -> DataFrame:
+    """assets with the other columns of found, whose rows ids name. Contents stay where they
+    are if found is small enough for Spark to broadcast it."""
+    found = found.select(*[F.col(c).alias(f"of_{c}") for c in ids], *[c for c in found.columns if c not in ids])
+    return assets.join(found, [assets[c].eqNullSafe(found[f"of_{c}"]) for c in ids]).drop(*[f"of_{c}" for c in ids])
 
 
 def dedupe_assets(assets: DataFrame) -> DataFrame:
-    """assets with kept and kept_filename, in bundle order (book_idx, asset_idx). An asset is
-    a duplicate if its content's hash is registered, else if one of its url keys is; a
-    duplicate registers nothing. Equal key sets after the first are always duplicates, so
-    the order-dependent pass sees each key set once, within its component."""
-    order = F.struct("book_idx", "asset_idx")
-    keyed = assets.withColumn("hash", content_hash(F.col("content"))).withColumn("ukeys", url_keys(F.col("original_url"), F.col("alt_urls")))
-    rows = stored(keyed.select("bundle_id", "book_idx", "asset_idx", "filename", "hash", "ukeys", F.sha2(F.to_json(F.struct("hash", "ukeys")), 256).alias("signature")))
-    bare = (F.size("ukeys") == 0) & F.col("hash").isNull()
-    sets = rows.where(~bare).groupBy("bundle_id", "signature", "hash", "ukeys").agg(F.min(order).alias("first"))
-    sets = stored(sets.withColumn("set_id", F.format_string("%010d-%010d", "first.book_idx", "first.asset_idx")))
-    prefixed = F.concat(F.when(F.col("hash").isNotNull(), F.array(F.concat(F.lit("h:"), "hash"))).otherwise(F.array().cast("array<string>")), F.transform("ukeys", lambda u: F.concat(F.lit("u:"), u)))
-    members = stored(sets.select("bundle_id", "set_id", F.explode(prefixed).alias("key")))
-    placed = sets.join(_components(members), ["bundle_id", "set_id"]).select("bundle_id", "component", "set_id", "hash", "ukeys")
-
-    def greedy(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("set_id")
-        hashes, keys, kept = set(), set(), []
-        for h, u in zip(part["hash"], part["ukeys"], strict=True):
-            ok = not ((h is not None and h in hashes) or any(k in keys for k in u))
-            kept.append(ok)
-            if ok:
-                keys.update(u)
-                if h is not None:
-                    hashes.add(h)
-        return part[["bundle_id", "set_id"]].assign(owner=kept)
-
-    kind = T.StructType([rows.schema["bundle_id"], T.StructField("set_id", T.StringType()), T.StructField("owner", T.BooleanType())])
-    owners = placed.groupBy("bundle_id", "component").applyInPandas(greedy, kind).where("owner")
-    owned = stored(owners.join(sets, ["bundle_id", "set_id"]).join(rows.withColumn("first", order).select("bundle_id", "first", F.col("filename").alias("owner_file")), ["bundle_id", "first"]))
-    # the owner of an asset's hash, if registered before it, else of its first such url key
-    want = rows.where(~bare).withColumn("at", order)
-    ask = want.select("bundle_id", "book_idx", "asset_idx", "at", F.posexplode(F.concat(F.array(F.concat(F.lit("h:"), F.coalesce("hash", F.lit("?")))), F.transform("ukeys", lambda u: F.concat(F.lit("u:"), u)))).alias("rank", "key"))
-    have = owned.select("bundle_id", "first", "owner_file", F.explode(prefixed).alias("key"))
-    hit = ask.join(have, ["bundle_id", "key"]).where(F.col("first") < F.col("at"))
-    target = hit.groupBy("bundle_id", "book_idx", "asset_idx").agg(F.min_by("owner_file", "rank").alias("target"))
-    return assets.join(target, ["bundle_id", "book_idx", "asset_idx"], "left").withColumn("kept", F.col("target").isNull()).withColumn("kept_filename", F.coalesce("target", "filename")).drop("target")
+    """assets with kept and kept_filename, as asset_duplicates finds them; (bundle_id,
+    book_idx, asset_idx) names an asset."""
+    return _with(assets, stored(asset_duplicates(assets).drop("filename")), ["bundle_id", "book_idx", "asset_idx"])
+
+
+def thread_duplicates(assets: DataFrame) -> DataFrame:
+    """(thread_url, asset_idx, filename, kept, kept_filename) of the assets of threads: the
+    first of each content in a thread is kept, as is all empty content. Hashes are grouped
+    with partial sums, contents are not shuffled."""
+    rows = stored(assets.select("thread_url", "asset_idx", "filename", content_hash(F.col("content")).alias("hash")))
+    first = rows.where("hash IS NOT NULL").groupBy("thread_url", "hash").agg(F.min(F.struct("asset_idx", "filename")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = first.select(F.col("thread_url").alias("of"), F.col("hash").alias("same"), "first")
+    found = rows.join(first, rows["thread_url"].eqNullSafe(first["of"]) & (rows["hash"] == first["same"]), "left")
+    kept = F.coalesce(F.col("first.asset_idx") == F.col("asset_idx"), F.lit(True))
+    return found.select("thread_url", "asset_idx", "filename", kept.alias("kept"), F.when(kept, F.col("filename")).otherwise(F.col("first.filename")).alias("kept_filename"))
 
 
 def dedupe_thread_assets(assets: DataFrame) -> DataFrame:
     """assets of threads (thread_url, asset_idx, filename, content) with kept and
-    kept_filename: the first of each content in a thread; empty content is always kept."""
-    mark = F.coalesce(content_hash(F.col("content")), F.concat(F.lit("none "), F.col("asset_idx").cast("string")))
-    w = Window.partitionBy("thread_url", "mark").orderBy("asset_idx")
-    return assets.withColumn("mark", mark).withColumn("kept", F.row_number().over(w) == 1).withColumn("kept_filename", F.first("filename").over(w)).drop("mark")
+    kept_filename, as thread_duplicates finds them."""
+    return _with(assets, stored(thread_duplicates(assets).drop("filename")), ["thread_url", "asset_idx"])
 
 
 def assign_filenames(assets: DataFrame) -> DataFrame:

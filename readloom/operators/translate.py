@@ -3,12 +3,13 @@
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from readloom.functions import text
+from readloom.functions import ordered, text
 from readloom.functions.dom import Node, parse
 from readloom.functions.helpers import long_rows, per_row
 
@@ -100,32 +101,80 @@ def upsert_memory(memory: DataFrame, new: DataFrame) -> DataFrame:
     return every.withColumn("k", last).where("k = 1").drop("k", "batch")
 
 
+class Packing:
+    """Cuts texts into batches, greedily: one closes at `most` texts or where the next would
+    pass `chars`. The state is the open batch's texts and characters."""
+
+    columns = ["size"]
+
+    def __init__(self, most: int, chars: int):
+        self.most, self.chars = most, chars
+
+    def _next(self, size: np.ndarray) -> np.ndarray:
+        """Where the batch that starts at each text ends: found in the running sums."""
+        total = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(len(size))
+        full = np.searchsorted(total, total[:-1] + self.chars, side="right") - 1
+        return np.minimum(at + self.most, np.maximum(full, at + 1))
+
+    def _first(self, state: tuple[int, int], size: np.ndarray) -> int:
+        """The first text that does not fit an open batch; len(size) if all fit."""
+        n, held = state
+        return min(max(self.most - n, 0), int(np.searchsorted(np.cumsum(size), self.chars - held, side="right")))
+
+    def run(self, state: tuple[int, int] | None, size: np.ndarray) -> tuple[np.ndarray, tuple[int, int]]:
+        begins, after = np.zeros(len(size), bool), self._next(size)
+        i, start = (0, None) if state is None else (self._first(state, size), state)
+        while i < len(size):
+            begins[i], start, last = True, None, i
+            i = int(after[i])
+        if start is not None:  # no batch began
+            return begins, (start[0] + len(size), start[1] + int(size.sum()))
+        return begins, (len(size) - last, int(size[last:].sum()))
+
+    def summary(self, size: np.ndarray) -> tuple:
+        """Sizes of the first texts, one of which begins the part's first batch; for each, the
+        state and the batches if it does; and what is added if none does. As a batch has
+        `most` texts at most, so has the summary."""
+        head, after = size[: self.most], self._next(size)
+        known: dict[int, tuple[tuple[int, int], int]] = {}
+        for first in range(len(head)):
+            path = [first]
+            while (i := int(after[path[-1]])) < len(size) and i not in known:
+                path.append(i)
+            end = known[i] if i < len(size) else ((len(size) - path[-1], int(size[path[-1] :].sum())), 0)
+            for k, p in enumerate(reversed(path)):
+                known[p] = (end[0], end[1] + k + 1)
+        return head, [known[i] for i in range(len(head))], len(size), int(size.sum())
+
+    def after(self, state: tuple[int, int] | None, summary: tuple) -> tuple[tuple[int, int], int]:
+        head, ends, n, total = summary
+        first = 0 if state is None else self._first(state, head)
+        return ends[first] if first < len(head) else ((state[0] + n, state[1] + total), 0)
+
+
+def _by_place(missing: DataFrame, bucket: Column) -> DataFrame:
+    """missing dealt in order of bucket, book, chapter and unit."""
+    at = F.col("first_seen")
+    rows = missing.withColumns({"key": bucket.cast("string"), "size": F.coalesce(F.length("text"), F.lit(0)).cast("long"), "book": at["book_id"], "chapter": at["chapter_idx"], "unit": at["unit_idx"]})
+    return ordered.dealt(rows, ["book", "chapter", "unit"])
+
+
 def batch_texts(missing: DataFrame, most: int = 20, chars: int = 9000, buckets: int = 1, bucket: Column | None = None) -> DataFrame:
-    """missing (first_seen, text) with bucket and batch: in order, a batch closes at `most`
-    texts or where the next would pass `chars`. Each bucket is batched by one task; with
-    more than one the borders depend on the bucket. Texts are dealt to `buckets` by hash, or
-    by `bucket`, a bigint expression over missing, such as a range of first_seen; large
-    tables need either."""
-
-    def grouped(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["at"], kind="stable")
-        out, n, size, batch = [], 0, 0, 0
-        for w in part["size"]:
-            if n and (n >= most or size + w > chars):
-                batch, n, size = batch + 1, 0, 0
-            n, size = n + 1, size + w
-            out.append(batch)
-        return part.drop(columns=["size", "at"]).assign(batch=out)
-
-    rows = missing.select((F.pmod(F.xxhash64("text"), F.lit(buckets)) if bucket is None else bucket.cast("long")).alias("bucket"), "text", F.length("text").cast("long").alias("size"), F.format_string("%s %012d %012d", F.col("first_seen.book_id").cast("string"), F.col("first_seen.chapter_idx"), F.col("first_seen.unit_idx")).alias("at"))
-    kind = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("text", T.StringType()), T.StructField("batch", T.LongType())])
-    return rows.groupBy("bucket").applyInPandas(grouped, kind)
+    """(bucket, text, batch) of missing (first_seen, text): in order, a batch closes at `most`
+    texts or where the next would pass `chars`; a longer text is a batch of its own. Texts
+    are dealt to `buckets` by hash, or by `bucket`, a bigint expression over missing; each
+    is batched by itself. Buckets of any size are cut by many tasks: parts of a bucket sum
+    up where its batches end for any batch that is open before them."""
+    of = F.pmod(F.xxhash64("text"), F.lit(buckets)) if bucket is None else bucket.cast("long")
+    cut = ordered.grouped(_by_place(missing.select("first_seen", "text"), F.coalesce(of, F.lit(0))).select("key", "part", "at", "size", "text"), Packing(most, chars))
+    return cut.select(F.col("key").cast("long").alias("bucket"), "text", F.col("group").alias("batch"))
 
 
 def chunk_texts(missing: DataFrame, size: int = 5) -> DataFrame:
     """missing with batch: fixed numbers of texts, in order of first_seen."""
-    # the order is global: for the few texts of one provider call at a time
-    return missing.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("first_seen")) - 1) / size))
+    placed = ordered.numbered(_by_place(missing, F.lit("")))
+    return placed.select(*missing.columns, F.floor(F.col("place") / size).alias("batch"))
 
 
 def parse_glossary(raw: str | None) -> list[tuple[str, str]]:

@@ -184,13 +184,13 @@ def _assets(spark, d):
 
 @plan("a1_dedupe_assets", "SELECT doc_id::INTEGER AS asset_idx, doc_id = min(doc_id) OVER (PARTITION BY text) AS kept, 'images/' || (min(doc_id) OVER (PARTITION BY text) % 7) || '.png' AS kept_filename FROM documents")
 def _(spark, d):
-    return A.dedupe_assets(_assets(spark, d)).select("asset_idx", "kept", "kept_filename")
+    return A.asset_duplicates(_assets(spark, d)).select("asset_idx", "kept", "kept_filename")
 
 
 @plan("a2_dedupe_thread_assets", "SELECT doc_id::INTEGER AS asset_idx, doc_id = min(doc_id) OVER (PARTITION BY lang, text) AS kept FROM documents")
 def _(spark, d):
     rows = _assets(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("asset_idx"), F.col("lang").alias("thread_url")), "asset_idx")
-    return A.dedupe_thread_assets(rows).select("asset_idx", "kept")
+    return A.thread_duplicates(rows).select("asset_idx", "kept")
 
 
 @plan("a3_assign_filenames", """
@@ -348,10 +348,15 @@ def _(spark, d):
     return translate.upsert_memory(rows.where("created_at % 3 != 0"), rows.where("created_at % 3 = 0")).select("cache_key", "created_at")
 
 
-@plan("l5_batch_texts", "SELECT doc_id // 1000 AS bucket, ((row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) - 1) // 20)::BIGINT AS batch, doc_id AS id FROM documents")
+@plan("l5_batch_texts", """
+    WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, text, length(text) AS size FROM documents WHERE text IS NOT NULL),
+    w AS (SELECT i, text, 0::BIGINT AS batch, 1 AS n, size FROM d WHERE i = 1
+          UNION ALL SELECT d.i, d.text, w.batch + closes::BIGINT, CASE WHEN closes THEN 1 ELSE w.n + 1 END, CASE WHEN closes THEN d.size ELSE w.size + d.size END
+          FROM w JOIN (SELECT * FROM d) d ON d.i = w.i + 1, LATERAL (SELECT w.n >= 20 OR w.size + d.size > 9000 AS closes))
+    SELECT 0::BIGINT AS bucket, batch, sha256(text) AS h FROM w""")
 def _(spark, d):
-    rows = table(spark, d, "documents").select(F.concat(F.lit("id "), F.col("doc_id").cast("string")).alias("text"), F.struct(F.lit("b").alias("book_id"), F.lit(0).alias("chapter_idx"), F.col("doc_id").cast("int").alias("unit_idx")).alias("first_seen"))
-    return translate.batch_texts(rows, bucket=F.floor(F.col("first_seen.unit_idx") / 1000)).select("bucket", "batch", F.substring_index("text", " ", -1).cast("long").alias("id"))
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("text", F.struct(F.lit("b").alias("book_id"), F.lit(0).alias("chapter_idx"), F.col("doc_id").cast("int").alias("unit_idx")).alias("first_seen"))
+    return translate.batch_texts(rows).select("bucket", "batch", F.sha2("text", 256).alias("h"))
 
 
 @plan("l6_protect_terms", "SELECT doc_id, replace(text, ' the ', ' THE ') AS text FROM documents")

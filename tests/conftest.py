@@ -1,3 +1,4 @@
+import contextlib
 import os
 import sys
 import tempfile
@@ -10,6 +11,20 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
+@contextlib.contextmanager
+def parts_of(spark, n: int):
+    """Shuffles into n parts that are not put together."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset(key)
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (

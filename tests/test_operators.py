@@ -1,6 +1,9 @@
 import datetime
+import random
 
+import numpy as np
 import pytest
+from conftest import parts_of
 from pyspark.sql import functions as F
 
 from readloom.operators import assets, bundle, discovery, forum, jobs, threads, transcripts, translate
@@ -197,6 +200,46 @@ def test_translation(spark):
         translate.apply_translations(ch, units, done.limit(0)).collect()
 
 
+def packed(sizes, most, chars):
+    """Batch numbers, text by text."""
+    out, n, held, batch = [], 0, 0, 0
+    for w in sizes:
+        if n and (n >= most or held + w > chars):
+            batch, n, held = batch + 1, 0, 0
+        n, held = n + 1, held + w
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize(("most", "chars"), [(20, 9000), (4, 50), (1, 10), (500, 700)])
+def test_one_bucket_over_many_parts(spark, most, chars):
+    rng = random.Random(most)
+    sizes = [rng.choice([1, 3, 17, 60, rng.randrange(1, 400)]) for _ in range(3000)]
+    data = [(("b", i // 100, i % 100), f"{i:04d}" + "x" * n) for i, n in enumerate(sizes)]
+    want = packed([n + 4 for n in sizes], most, chars)
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "first_seen struct<book_id:string,chapter_idx:int,unit_idx:int>, text string").repartition(3)
+    with parts_of(spark, 11):
+        got = {int(r.text[:4]): r.batch for r in translate.batch_texts(df, most, chars).collect()}
+        chunks = {int(r.text[:4]): r.batch for r in translate.chunk_texts(df, 7).collect()}
+    assert [got[i] for i in range(3000)] == want
+    assert [chunks[i] for i in range(3000)] == [i // 7 for i in range(3000)]
+
+
+def test_batches_of_parts_compose():
+    rng = np.random.default_rng(2)
+    for most, chars in ((20, 300), (3, 1000), (50, 90)):
+        machine = translate.Packing(most, chars)
+        for n in (1, 2, 19, 300):
+            sizes = rng.integers(0, 80, n)
+            flags, after = machine.run(None, sizes)
+            assert np.cumsum(flags).tolist() == [b + 1 for b in packed(sizes.tolist(), most, chars)]
+            assert machine.after(None, machine.summary(sizes)) == (after, flags.sum())
+            for state in ((1, 5), (most, 40), (1, 5000), (min(2, most), chars)):
+                flags, after = machine.run(state, sizes)
+                assert machine.after(state, machine.summary(sizes)) == (after, flags.sum())
+
+
 def test_batches_and_glossary(spark):
     df = spark.createDataFrame([(("b", 0, i), "x" * n) for i, n in enumerate([5, 5, 5, 9, 1])], "first_seen struct<book_id:string,chapter_idx:int,unit_idx:int>, text string")
     got = translate.batch_texts(df, most=2, chars=10).groupBy("batch").count().orderBy("batch").collect()

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from conftest import parts_of
 
 from readloom.operators import transcripts
 from readloom.operators.transcripts import STARTERS, Lengths
@@ -74,15 +75,10 @@ def test_one_long_video_over_many_parts(spark, auto):
     rows = [(v, *s) for v, segments in videos.items() for s in segments]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as key", "2 as part", "3 as at").repartition(4)
-    spark.conf.set("spark.sql.shuffle.partitions", "9")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = {}
+    got = {}
+    with parts_of(spark, 9):
         for r in transcripts.transcript_paragraphs(df, auto).collect():
             got.setdefault(r.video_id, []).append((r.par_idx, r.text))
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = {v: list(enumerate(x)) for v, s in videos.items() if (x := walked(s, auto))}
     assert {v: sorted(x) for v, x in got.items()} == want
     assert len(want["long"]) > 40
