@@ -3,7 +3,6 @@
 assets: bundle_id, book_idx, asset_idx, filename, content, original_url, alt_urls."""
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,52 +127,104 @@ def dedupe_thread_assets(assets: DataFrame) -> DataFrame:
     return _with(assets, stored(thread_duplicates(assets).drop("filename")), ["thread_url", "asset_idx"])
 
 
-def assign_filenames(assets: DataFrame) -> DataFrame:
-    """assets with new_filename, unique in their bundle: images/{root}{ext} if free, else
-    src{book}_{root}{ext}, then _2, _3 ... book_idx is an integer. Names are counted by
-    windows of one book; only roots that differ just in such prefixes and numbers, and so
-    may meet (`a`, `src1_a`, `a_2`), are named in order, in one task for each such root."""
+_SPACE = ["bundle", "folder", "core", "ext"]
+_ROOT = [*_SPACE, "root"]
+_FAMILY = [*_ROOT, "book_idx"]
+
+
+def _stem(root: Column, book: Column, number: Column) -> Column:
+    """The name that a root gives: itself (number 0), or the book's first, second ... of it."""
+    return F.when(number == 0, root).otherwise(F.concat(F.lit("src"), book.cast("string"), F.lit("_"), root, F.when(number > 1, F.concat(F.lit("_"), number.cast("string"))).otherwise("")))
+
+
+def _allotted(rows: DataFrame, no_plain: DataFrame | None = None, gaps: DataFrame | None = None) -> DataFrame:
+    """rows with number. The first row of a root has the plain name (unless it is among
+    no_plain); the others count within their book, past the numbers that others hold. gaps
+    (family, gap) has for each of those the place of the first row that it moves on."""
+    first = rows.groupBy(_ROOT).agg(F.min("at").alias("first"))
+    if no_plain is not None:
+        first = first.join(no_plain, _ROOT, "left_anti")
+    named = rows.join(first, _ROOT, "left")
+    is_first = F.coalesce(F.col("first") == F.col("at"), F.lit(False))
+    in_book = Window.partitionBy(_FAMILY).orderBy("at")
+    counted = named.withColumn("plain", is_first).withColumn("place", F.row_number().over(in_book) - F.when(F.col("first.book_idx") == F.col("book_idx"), 1).otherwise(0)).drop("first")
+    number = F.when(F.col("plain"), 0).otherwise(F.col("place"))
+    if gaps is None:
+        return counted.select(*rows.columns, number.cast("long").alias("number"))
+    both = counted.withColumn("kind", F.lit(1)).unionByName(gaps.select(*_FAMILY, F.col("gap").alias("place"), F.lit(0).alias("kind")), allowMissingColumns=True)
+    moved = F.sum(1 - F.col("kind")).over(Window.partitionBy(_FAMILY).orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("moved", moved).where("kind = 1").select(*rows.columns, F.when(F.col("plain"), 0).otherwise(F.col("place") + F.col("moved")).cast("long").alias("number"))
+
+
+def _held(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What numbered rows take from other roots, as (root, since) and (family, number, since)."""
+    stem = _stem(F.col("root"), F.col("book_idx"), F.col("number"))
+    names = rows.select(*_SPACE, F.col("root").alias("of_root"), F.col("book_idx").alias("of_book"), F.col("number").alias("of_number"), F.col("at").alias("since"), stem.alias("stem"))
+    plain = names.where("of_number > 0").select(*_SPACE, F.col("stem").alias("root"), "since")
+    no_plain = plain.groupBy(_ROOT).agg(F.min("since").alias("since")).join(rows.groupBy(_ROOT).agg(F.min("at").alias("first")), _ROOT).where(F.col("since") < F.col("first")).select(_ROOT)
+    book, rest = (F.regexp_extract("stem", r"(?s)^src(-?(?:0|[1-9]\d{0,8}))_(.+)$", i) for i in (1, 2))
+    parsed = names.withColumns({"book_idx": F.when(book != "", book).cast("int"), "rest": rest}).where("book_idx IS NOT NULL")
+    root, n = F.regexp_extract("rest", r"(?s)^(.+)_([1-9]\d{0,8})$", 1), F.regexp_extract("rest", r"(?s)^(.+)_([1-9]\d{0,8})$", 2)
+    readings = F.array(F.struct(F.col("rest").alias("root"), F.lit(1).cast("long").alias("number")), F.struct(root.alias("root"), F.when(n != "", n).cast("long").alias("number")))
+    told = parsed.withColumn("as", F.explode(readings)).select(*_SPACE, F.col("as.root").alias("root"), "book_idx", F.col("as.number").alias("number"), "since", "of_root", "of_book", "of_number")
+    own = (F.col("root") == F.col("of_root")) & (F.col("book_idx") == F.col("of_book")) & (F.col("of_number") > 0)
+    told = told.where((F.col("number") > 0) & ~own)
+    taken = told.groupBy(*_FAMILY, "number").agg(F.min("since").alias("since")).join(rows.select(_FAMILY).distinct(), _FAMILY, "left_semi")
+    return no_plain, taken
+
+
+def _gaps(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """(family, gap) of the numbers taken before a row of the family came to them."""
+    both = rows.where("number > 0").select(*_FAMILY, "number", F.col("at").alias("came"), F.lit(None).cast(taken.schema["since"].dataType).alias("since"), F.lit(1).alias("kind")).unionByName(taken.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    after = Window.partitionBy(_FAMILY).orderBy("number", "kind").rowsBetween(0, Window.unboundedFollowing)
+    real = both.withColumn("came", F.first("came", ignorenulls=True).over(after)).where((F.col("kind") == 0) & (F.col("since") < F.col("came")))
+    return real.select(*_FAMILY, (F.col("number") - F.row_number().over(Window.partitionBy(_FAMILY).orderBy("number")) + 1).alias("gap"))
+
+
+def new_filenames(assets: DataFrame) -> DataFrame:
+    """(bundle_id, book_idx, asset_idx, new_filename), unique in their bundle, in order of
+    (book_idx, asset_idx): images/{root}{ext} if free, else src{book}_{root}{ext}, then _2,
+    _3 ... book_idx is an integer.
+
+    Every root of a book is numbered in a window of its own. Where no two rows get one name,
+    that is what naming in order gives. Only roots that could have made a doubled name (they
+    differ in such prefixes and numbers alone, as src1_a, a and a_2 do) are looked at again:
+    a number that another root took earlier is left out and the places after it move on,
+    until nothing changes. Each round settles at least the first row that was wrong, so the
+    rounds are as many as names that displace each other in a row, not as rows."""
     path = F.regexp_replace(F.coalesce("filename", F.lit("")), r"(?s)[?#].*$", "")
     folder = F.when(path.startswith("images"), F.regexp_extract(path, r"^(images[^/]*(?:/.*)?)/[^/]*$", 1)).otherwise("images")
     base = F.regexp_extract(path, r"([^/]*)$", 1)
     ext = F.regexp_extract(base, r"(?<=.)(\.[^.]*)$", 1)
     root = text.safe_filename(F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""))
     full = F.when(folder == "", "images").otherwise(folder)
-    parts = assets.select("bundle_id", "book_idx", "asset_idx", full.alias("folder"), F.when(root.isin("", "untitled"), "image").otherwise(root).alias("root"), F.when(ext == "", ".img").otherwise(ext).alias("ext"))
+    bundle = F.coalesce(F.concat(F.lit("+"), F.col("bundle_id").cast("string")), F.lit(""))
+    rows = assets.select("bundle_id", bundle.alias("bundle"), "book_idx", "asset_idx", full.alias("folder"), F.when(root.isin("", "untitled"), "image").otherwise(root).alias("root"), F.when(ext == "", ".img").otherwise(ext).alias("ext"), F.struct("book_idx", "asset_idx").alias("at"))
     # names can only meet where roots are alike but for prefixes and numbers of this kind
-    parts = stored(parts.withColumn("core", F.regexp_replace(F.regexp_replace("root", r"^(?:src-?\d+(?:_|$))+", ""), r"(?:(?:^|_)\d+)+$", "")))
-    key = ["bundle_id", "folder", "core", "ext"]
-    mixed = stored(parts.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(key))
-    alike = lambda how: parts.join(mixed, [parts[c].eqNullSafe(mixed[c]) for c in key], how)
-
-    # of one root: the first has the plain name, the others count within their book
-    one = alike("left_anti")
-    same = ["bundle_id", "folder", "root", "ext"]
-    first = one.groupBy(same).agg(F.min(F.struct("book_idx", "asset_idx")).alias("first")).select(*[F.col(c).alias(f"of_{c}") for c in same], "first")
-    place = F.row_number().over(Window.partitionBy(*same, "book_idx").orderBy("asset_idx"))
-    held = one.withColumn("place", place).join(first, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in same])
-    in_first = F.col("book_idx").eqNullSafe(F.col("first.book_idx"))
-    n = F.col("place") - F.when(in_first, 1).otherwise(0)
-    taken = F.concat("folder", F.lit("/src"), F.col("book_idx").cast("string"), F.lit("_"), "root", F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), "ext")
-    plain = F.concat("folder", F.lit("/"), "root", "ext")
-    easy = held.select("bundle_id", "book_idx", "asset_idx", F.when(in_first & (F.col("place") == 1), plain).otherwise(taken).alias("new_filename"))
-
-    def named(part: pd.DataFrame) -> pd.DataFrame:
-        part, used, out = part.sort_values(["book_idx", "asset_idx"]), set(), []
-        for book, folder, root, ext in zip(part["book_idx"], part["folder"], part["root"], part["ext"], strict=True):
-            name, k = f"{folder}/{root}{ext}", 1
-            if name in used:
-                name = f"{folder}/src{book}_{root}{ext}"
-            while name in used:
-                k += 1
-                name = f"{folder}/src{book}_{root}_{k}{ext}"
-            used.add(name)
-            out.append(name)
-        return part[["bundle_id", "book_idx", "asset_idx"]].assign(new_filename=out)
-
-    kind = T.StructType([assets.schema["bundle_id"], assets.schema["book_idx"], assets.schema["asset_idx"], T.StructField("new_filename", T.StringType())])
-    hard = alike("left_semi").groupBy(key).applyInPandas(named, kind)
-    return assets.join(easy.union(hard), ["bundle_id", "book_idx", "asset_idx"])
+    rows = rows.withColumn("core", F.regexp_replace(F.regexp_replace("root", r"^(?:src-?\d+(?:_|$))+", ""), r"(?:(?:^|_)\d+)+$", ""))
+    named = stored(_allotted(rows))
+    stem = _stem(F.col("root"), F.col("book_idx"), F.col("number"))
+    doubled = stored(named.groupBy(*_SPACE, stem.alias("stem")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_SPACE).distinct())
+    done = named
+    if not doubled.isEmpty():
+        now = stored(named.join(doubled, _SPACE, "left_semi"))
+        while True:
+            no_plain, taken = _held(now)
+            # what a root has lost or taken is known from the last round's names alone
+            new = stored(_allotted(now.drop("number"), no_plain, _gaps(now, taken)))
+            same = [*_FAMILY, "asset_idx", "number"]
+            settled = new.select(same).exceptAll(now.select(same)).isEmpty()
+            dropped(now)
+            now = new
+            if settled:
+                break
+        done = named.join(doubled, _SPACE, "left_anti").unionByName(now)
+    return done.select("bundle_id", "book_idx", "asset_idx", F.concat("folder", F.lit("/"), stem, "ext").alias("new_filename"))
+
+
+def assign_filenames(assets: DataFrame) -> DataFrame:
+    """assets with new_filename, as new_filenames gives it."""
+    return _with(assets, stored(new_filenames(assets)), ["bundle_id", "book_idx", "asset_idx"])
 
 
 def _remapped(html: str | None, entries: list | None) -> str | None:

@@ -194,10 +194,15 @@ def _(spark, d):
 
 
 @plan("a3_assign_filenames", """
-    WITH d AS (SELECT doc_id, doc_id % 7 AS r, doc_id // 10 AS book, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) AS k, row_number() OVER (PARTITION BY doc_id % 7, doc_id // 10 ORDER BY doc_id) AS j FROM documents)
-    SELECT doc_id::INTEGER AS asset_idx, CASE WHEN k = 1 THEN 'images/' || r || '.png' ELSE 'images/src' || book || '_' || r || CASE WHEN (CASE WHEN book = 0 THEN j - 1 ELSE j END) = 1 THEN '' ELSE '_' || (CASE WHEN book = 0 THEN j - 1 ELSE j END) END || '.png' END AS new_filename FROM d""")
-def _(spark, d):
-    return A.assign_filenames(_assets(spark, d)).select("asset_idx", "new_filename")
+    WITH d AS (SELECT doc_id, doc_id % 7 AS r, doc_id // 10 AS book, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) AS k, row_number() OVER (PARTITION BY doc_id % 7, doc_id // 10 ORDER BY doc_id) AS j, min(doc_id // 10) OVER (PARTITION BY doc_id % 7) AS first FROM documents WHERE doc_id % 10 > 3),
+    n AS (SELECT *, CASE WHEN book = first THEN j - 1 ELSE j END AS i FROM d),
+    p AS (SELECT doc_id, doc_id // 10 AS book, doc_id % 10 AS i FROM documents WHERE doc_id % 10 <= 3)
+    SELECT doc_id::INTEGER AS asset_idx, CASE WHEN k = 1 THEN 'images/' || r || '.png' ELSE 'images/src' || book || '_' || r || CASE WHEN i = 1 THEN '' ELSE '_' || i END || '.png' END AS new_filename FROM n
+    UNION ALL SELECT doc_id, 'images/' || CASE WHEN book = 0 THEN ['p', 'src0_p', 'src0_p_2', 'p_2'][i + 1] ELSE 'src' || book || ['_p', '_p_2', '_p_3', '_p_2_2'][i + 1] END || '.png' FROM p""")
+def _(spark, d):
+    """Of ten in a book, three are named p and one p_2, which finds its numbered name taken."""
+    name = F.when(F.col("asset_idx") % 10 < 3, F.lit("images/p.png")).when(F.col("asset_idx") % 10 == 3, F.lit("images/p_2.png")).otherwise(F.col("filename"))
+    return A.new_filenames(_assets(spark, d).withColumn("filename", name)).select("asset_idx", "new_filename")
 
 
 @plan("a4_remap_image_refs", "SELECT page_id AS book_id, CASE WHEN page_id % 2 = 0 THEN 'images/new.png' ELSE 'images/old.png' END AS src FROM pages")
