@@ -2,12 +2,13 @@
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import urls
+from .helpers import per_row
+from .tables import stored
 
 # Aliases of drivers in site profiles.
 ALIASES = {"forum": "forum", "xenforo": "forum", "wordpress": "wordpress", "substack": "substack", "hn": "hn", "hackernews": "hn", "reddit": "reddit", "youtube": "youtube", "generic": "generic"}
@@ -40,26 +41,62 @@ def route_pages(pages: DataFrame, alias_col: str | None = None) -> DataFrame:
     return pages.withColumn("driver", driver(F.col("url"), F.col("html"), F.col("is_forum"), F.col(alias_col) if alias_col else None))
 
 
+#: Characters of the longest literal part that is looked up.
+GRAM = 4
+
+
+def required_part(pattern: str | None) -> str | None:
+    """Characters, GRAM at most, that stand in a row in every match of a pattern; empty if
+    the pattern asks for none, null if it is no pattern. Letters and digits are preferred,
+    as points and slashes stand in every url."""
+    try:
+        tree = re._parser.parse(pattern)
+    except (re.error, TypeError, OverflowError, RecursionError):
+        return None
+    runs, now = [], ""
+    if not tree.state.flags & (re.IGNORECASE | re.LOCALE):
+        for kind, what in [*tree, (None, None)]:
+            # a plain group continues the run; what may be absent or differ ends it
+            inner = what[3] if kind is re._constants.SUBPATTERN and not what[1] else [(kind, what)]
+            for k, x in inner:
+                if k is re._constants.LITERAL:
+                    now += chr(x)
+                elif k is not re._constants.AT:
+                    runs, now = [*runs, now], ""
+    grams = [r[i : i + GRAM] for r in runs for i in range(max(1, len(r) - GRAM + 1))]
+    return max(grams, key=lambda g: (len(g), sum(c.isalnum() for c in g) - 2 * (g in ("http", "ttps"))), default="")
+
+
+def _searched(pattern: str | None, url: str | None) -> bool:
+    return url is not None and re.search(pattern, url) is not None
+
+
+def profile_matches(pages: DataFrame, profiles: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, profile) of the pages that some profile's domain pattern is found in: the last
+    loaded such profile, as a struct. Only keys and urls are read. Patterns that are no
+    regular expressions are left out.
+
+    Each pattern is looked up by a part that it requires: the pieces of a url of that size
+    are joined to the parts by equality, and the pattern is tried on the urls that have its
+    part. A pattern that requires none has the empty part, which every url has."""
+    of = {c: F.col(c) for c in profiles.columns}
+    parts = profiles.select(F.struct(*of.values()).alias("p"), F.explode("domains").alias("pattern")).withColumn("part", per_row(required_part, T.StringType(), F.col("pattern"))).where("part IS NOT NULL")
+    parts = stored(parts)
+    sizes = sorted(r[0] for r in parts.select(F.length("part")).distinct().collect())  # 0 to GRAM
+    url = F.col("url")
+    none = F.array().cast("array<string>")
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(url) - n + 1), lambda i: F.substring(url, i, F.lit(n)))
+    pieces = [none, *[F.when(F.length(url) >= n, cut(n)).otherwise(none) if n else F.array(F.lit("")) for n in sizes]]
+    split = pages.where("url IS NOT NULL").select(key, "url", F.explode(F.array_distinct(F.concat(*pieces))).alias("part"))
+    met = split.join(parts, "part").where(per_row(_searched, T.BooleanType(), F.col("pattern"), F.col("url")))
+    return met.groupBy(key).agg(F.max_by("p", F.col("p.priority")).alias("profile"))
+
+
 def match_site_profile(pages: DataFrame, profiles: DataFrame, key: str = "page_id") -> DataFrame:
-    """pages with the last loaded profile one of whose domain patterns is found in the url,
-    as a struct column `profile`, else null. Patterns that are no regular expressions are
-    left out. The patterns come from a few files; Spark broadcasts them while small."""
-    patterns = profiles.select(F.explode("domains").alias("pattern"), F.struct(*profiles.columns).alias("p"))
-    good = patterns.where(_is_pattern(F.col("pattern")))
-    hits = pages.select(key, "url").join(good, F.expr("url RLIKE pattern"))
-    best = hits.groupBy(key).agg(F.max_by("p", F.col("p.priority")).alias("profile"))
-    return pages.join(best, key, "left")
-
-
-@F.arrow_udf(T.BooleanType())
-def _is_pattern(patterns: pa.Array) -> pa.Array:
-    def ok(x: str | None) -> bool:
-        try:
-            return x is not None and re.compile(x) is not None
-        except re.error:
-            return False
-
-    return pa.array([ok(x) for x in patterns.to_pylist()])
+    """pages with profile, as profile_matches finds it, else null. Spark broadcasts the
+    matches if they are small; key and profile alone answer without moving a page."""
+    found = stored(profile_matches(pages, profiles, key)).withColumnRenamed(key, "of_page")
+    return pages.join(found, pages[key] == found["of_page"], "left").drop("of_page")
 
 
 # Marks of pages that hold a challenge instead of content, in order.

@@ -9,15 +9,38 @@ from readloom.functions.tables import stored
 from . import extract
 
 
+#: Pages that are asked for by their ids, which reach the scan; more are joined.
+FETCH = 1000
+
+
+def _fetched(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pages that wanted (page_id) names."""
+    ids = [r[0] for r in wanted.limit(FETCH + 1).collect()]
+    return pages.where(F.col("page_id").isin(ids)) if len(ids) <= FETCH else pages.join(wanted, "page_id", "left_semi")
+
+
 def follow_listing_pages(seeds: DataFrame, pages: DataFrame, max_pages: int = 20) -> DataFrame:
     """(seed_idx, page_idx, url, page_id): each seed (seed_idx, url) and the pages after it,
-    over pages (page_id, url, next_url). It stops at a page seen before, a missing one, or
-    max_pages. One equi-join a step; what a seed has visited travels with it."""
-    known = stored(pages.select("page_id", urls.canonical_url(F.col("url")).alias("url"), "next_url").groupBy("url").agg(F.min_by(F.struct("page_id", "next_url"), "page_id").alias("p")).select("url", "p.*"))
+    over pages (page_id, url, next_url; or html in place of next_url). It stops at a page
+    seen before, a missing one, or max_pages. What a seed has visited travels with it.
+
+    The urls of all pages are keyed once; each step joins the few pages that seeds stand on
+    to these keys, and only those pages are fetched by id and parsed for the next url: at
+    most one for each seed and step."""
+    parsed = "next_url" in pages.columns
+    own = F.struct("page_id", "next_url") if parsed else F.struct("page_id")
+    known = stored(pages.withColumn("url", urls.canonical_url(F.col("url"))).groupBy("url").agg(F.min_by(own, "page_id").alias("p")).select("url", "p.*"))
     front = seeds.select("seed_idx", urls.canonical_url(F.col("url")).alias("url"), F.array().cast("array<string>").alias("visited"))
     out = None
     for step in range(max(1, max_pages)):
-        here = stored(front.where(~F.array_contains("visited", F.col("url"))).join(known, "url"))
+        here = front.where(~F.array_contains("visited", F.col("url"))).join(known, "url")
+        if parsed or step + 1 == max(1, max_pages):  # after the last step no page is asked for
+            here = stored(here if parsed else here.withColumn("next_url", F.lit(None).cast("string")))
+        else:
+            here = stored(here)
+            ids = stored(here.select("page_id").distinct())
+            after = extract.extract_next_page(_fetched(pages, ids).select("page_id", "url", "html")).select("page_id", "next_url")
+            here = stored(here.join(after, "page_id", "left"))
         if here.isEmpty():
             break
         rows = here.select("seed_idx", F.lit(step).alias("page_idx"), "url", "page_id")
@@ -34,10 +57,11 @@ def hydrate_dates(posts: DataFrame, pages: DataFrame, mode: str = "metadata") ->
         return posts
     if mode not in ("metadata", "auto", "full"):
         raise ValueError(f"unknown mode {mode!r}")
-    keyed = pages.withColumn("key", urls.canonical_url(F.col("url")))
     undated = posts.where("published_date IS NULL").select(F.col("url").alias("key")).distinct()
-    # only pages of undated posts are parsed
-    own = extract.with_published_date(keyed.join(undated, "key", "left_semi"), "page_date").groupBy("key").agg(F.min_by("page_date", "page_id").alias("page_date"))
+    # only pages of undated posts are fetched and parsed
+    keys = pages.select("page_id", urls.canonical_url(F.col("url")).alias("key")).join(undated, "key", "left_semi")
+    wanted = stored(keys.select("page_id").distinct())
+    own = extract.with_published_date(_fetched(pages, wanted).withColumn("key", urls.canonical_url(F.col("url"))), "page_date").groupBy("key").agg(F.min_by("page_date", "page_id").alias("page_date"))
     return posts.join(own, posts["url"] == own["key"], "left").withColumn("published_date", F.coalesce("published_date", "page_date")).drop("key", "page_date")
 
 
@@ -65,8 +89,8 @@ def discover_posts(
     max_posts; dates filled; inside the range; by date, undated last, ties in order of
     discovery. No post at all is an error, when the result is built."""
     dates.in_date_range(F.lit(None), start, end)
-    listing = follow_listing_pages(seeds, stored(extract.extract_next_page(pages).select("page_id", "url", "next_url")), max_pages)
-    links = extract.extract_post_links(pages.join(listing.select("page_id").distinct(), "page_id", "left_semi"), default_year)
+    listing = follow_listing_pages(seeds, pages.select("page_id", "url", "html"), max_pages)
+    links = extract.extract_post_links(_fetched(pages, stored(listing.select("page_id").distinct())), default_year)
     from_pages = listing.select("seed_idx", "page_idx", "page_id").join(links, "page_id").select("seed_idx", "page_idx", "link_idx", "url", "title", "published_date")
     own = seeds.withColumn("c", urls.canonical_url(F.col("url"))).where(urls.is_article_url(F.col("c"), F.col("url")))
     found = own.select("seed_idx", F.lit(-1).alias("page_idx"), F.lit(0).alias("link_idx"), F.col("c").alias("url"), F.lit(None).cast("string").alias("title"), dates.date_from_url(F.col("c")).alias("published_date")).unionByName(from_pages)

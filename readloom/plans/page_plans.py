@@ -312,7 +312,7 @@ def _(spark, d):
     k AS (SELECT * FROM f WHERE place <= 40)
     SELECT row_number() OVER (ORDER BY published_date, place)::INTEGER AS rank, url, published_date FROM k WHERE published_date >= DATE '2024-02-02'""")
 def _(spark, d):
-    chain = _chain(spark, d)
+    chain = stored(_chain(spark, d))
     seeds = chain.where("n = 0").select(F.col("page_id").alias("seed_idx"), "url")
     return discovery.discover_posts(seeds, chain.select("page_id", "url", "html"), start="2024-02-02", max_pages=3, max_posts=40, mode="shallow").select("rank", "url", "published_date")
 

@@ -167,12 +167,14 @@ def _(spark, d):
 
 @plan("p2_match_site_profile", r"""
     WITH f AS (SELECT page_id, r_name, row_number() OVER (PARTITION BY page_id ORDER BY r_regionkey DESC) AS k
-               FROM pages JOIN region ON regexp_matches(url, CASE r_regionkey % 3 WHEN 0 THEN 'example\.com' WHEN 1 THEN 'example\.(net|com)' ELSE '/de/' END))
+               FROM pages JOIN region ON regexp_matches(url, ['example\.com', 'example\.(net|com)', '/de/', '[02468]$', '(?i)ORG/FR'][r_regionkey + 1]))
     SELECT page_id, r_name AS profile FROM pages LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (page_id)""")
 def _(spark, d):
-    pattern = F.when(F.col("r_regionkey") % 3 == 0, r"example\.com").when(F.col("r_regionkey") % 3 == 1, r"example\.(net|com)").otherwise("/de/")
-    profiles = table(spark, d, "region").select(F.col("r_name").alias("name"), F.array(pattern, F.lit("(broken")).alias("domains"), F.col("r_regionkey").alias("priority"))
-    return classify.match_site_profile(table(spark, d, "pages"), profiles).select("page_id", F.col("profile.name").alias("profile"))
+    """Patterns with a part that they require, and two without."""
+    patterns = F.array(*[F.lit(x) for x in (r"example\.com", r"example\.(net|com)", "/de/", "[02468]$", "(?i)ORG/FR")])
+    profiles = table(spark, d, "region").select(F.col("r_name").alias("name"), F.array(F.get(patterns, F.col("r_regionkey")), F.lit("(broken")).alias("domains"), F.col("r_regionkey").alias("priority"))
+    urls_only = table(spark, d, "pages").select("page_id", "url")
+    return classify.match_site_profile(urls_only, profiles).select("page_id", F.col("profile.name").alias("profile"))
 
 
 @plan("p3_detect_challenge", "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'datadome' WHEN page_id % 7 = 1 THEN 'verification required' END AS marker FROM pages")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import classify, dates, text, urls
+from readloom.functions.tables import stored
 
 D = datetime.date
 
@@ -129,10 +130,25 @@ def test_routes(spark):
 
 
 def test_profiles(spark):
-    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://b.org")], "page_id int, url string")
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://b.org"), (3, None), (4, "http://A.com"), (5, "")], "page_id int, url string")
     profiles = spark.createDataFrame([("one", ["a\\.com", "("], 0), ("two", ["/x$"], 1), ("bad", ["["], 2)], "name string, domains array<string>, priority int")
-    got = {r.page_id: r.profile and r.profile.name for r in classify.match_site_profile(pages, profiles).collect()}
-    assert got == {1: "two", 2: None}
+    matched = lambda p: {r.page_id: r.profile and r.profile.name for r in classify.match_site_profile(pages, p).collect()}
+    assert matched(profiles) == {1: "two", 2: None, 3: None, 4: None, 5: None}
+    odd = spark.createDataFrame([("any", [""], 0), ("named", ["(?P<n>b)\\.o"], 1), ("any case", ["(?i)a\\.COM"], 2)], "name string, domains array<string>, priority int")
+    assert matched(odd) == {1: "any case", 2: "named", 3: None, 4: "any case", 5: "any"}
+    assert set(matched(profiles.limit(0)).values()) == {None}
+
+
+def test_profiles_join_by_parts_of_urls_alone(spark):
+    pages = stored(spark.createDataFrame([(1, "http://a.com/x", "<p>")], "page_id int, url string, html string"))
+    profiles = spark.createDataFrame([("one", ["a\\.com"], 0)], "name string, domains array<string>, priority int")
+    plan = classify.profile_matches(pages, profiles)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "html" not in plan
+
+
+@pytest.mark.parametrize(("pattern", "part"), [("washington.com", "wash"), (r"a\.com", "a.co"), ("x|y", ""), ("(?i)abcd", ""), ("ab(cd)e", "abcd"), ("a(?:b)?cd", "cd"), ("a{2}bc", "bc"), ("^/de/$", "/de/"), ("(?:ab|cd)efg", "efg"), ("[a]bc", "abc"), ("", ""), ("(", None), (None, None), ("abc*d", "ab"), ("a(?i:bc)d", "a")])
+def test_required_parts(pattern, part):
+    assert classify.required_part(pattern) == part
 
 
 def test_image_classes(spark):

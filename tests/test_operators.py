@@ -80,6 +80,23 @@ def test_quote_links(spark):
     assert 'href="#p_post-7"' in got["t", 1] and 'href="#post-7"' in got["t", 1] and "nofollow" not in got["t", 1] and "#p_" not in got["u", 0]
 
 
+def test_discovery_parses_the_frontier_alone(spark, monkeypatch):
+    """A crawl of many pages, of which only those that a seed stands on are parsed."""
+    html = lambda n: f'<a href="/list/{n}">Next</a><a href="/a-post-{n}">Post</a>'
+    data = [(n, f"https://ex.com/list/{n}", html(n + 1)) for n in range(200)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    asked = []
+    parse = discovery.extract.extract_next_page
+    monkeypatch.setattr(discovery.extract, "extract_next_page", lambda p, *a: (asked.append(p.count()), parse(p, *a))[1])
+    seeds = spark.createDataFrame([(0, "https://ex.com/list/0"), (1, "https://ex.com/list/100"), (2, "https://ex.com/none")], "seed_idx int, url string")
+    for fetch in (1000, 0):  # by ids, and joined
+        monkeypatch.setattr(discovery, "FETCH", fetch)
+        asked.clear()
+        got = discovery.follow_listing_pages(seeds, pages, max_pages=4)
+        assert sorted((r.seed_idx, r.page_idx, r.page_id) for r in got.collect()) == [(0, k, k) for k in range(4)] + [(1, k, 100 + k) for k in range(4)]
+        assert asked == [2, 2, 2]
+
+
 def test_discovery(spark):
     listing = '<p><a href="/post-b">B</a> 2025-08-16</p><p><a href="/post-a">A</a> 2025-08-15</p><p><a href="/post-c">C</a></p><a href="/list/2">Next</a>'
     pages = spark.createDataFrame([(1, "https://ex.com/list", listing), (2, "https://ex.com/list/2", '<p><a href="/post-d">D</a> 2025-08-20</p><a href="/list">Next</a>'), (3, "https://ex.com/post-c", "<time datetime='2025-08-17'>x</time>")], "page_id long, url string, html string")
