@@ -70,18 +70,36 @@ def flatten_comments(payloads: DataFrame, site: str) -> DataFrame:
     return long_rows(payloads).select("thread_id", F.explode(per_row(walk, COMMENT, F.col("payload"))).alias("c")).select("thread_id", "c.*")
 
 
-def build_comment_forest(items: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(thread_id, id, parent_id, pos, depth, path, by, text, time): a walk over items
-    (thread_id, id, by, text, time, kids, deleted, dead) from roots (thread_id, id), one
-    equi-join a level. A deleted, dead or missing item drops what hangs below it. Each id
-    comes once, at its first level (then its first parent in path order). depth counts from
-    0 and stays below max_depth. Roots are ordered by time (missing 0), then id; children
-    as their parent lists them. Levels are written to the shared folder."""
-    live = items.where(~F.coalesce("deleted", F.lit(False)) & ~F.coalesce("dead", F.lit(False))).select("thread_id", "id", "by", "text", "time", "kids")
-    live = stored(live.withColumn("k", F.row_number().over(Window.partitionBy("thread_id", "id").orderBy("time"))).where("k = 1").drop("k").repartition("thread_id", "id"))
-    order = Window.partitionBy("thread_id").orderBy(F.coalesce("time", F.lit(0)), "id")
-    level = live.join(roots.select("thread_id", "id").distinct(), ["thread_id", "id"])
-    level = level.withColumn("pos", F.row_number().over(order) - 1).select("thread_id", "id", F.lit(None).cast("long").alias("parent_id"), "pos", F.lit(0).alias("depth"), F.array("pos").alias("path"), "by", "text", "time", "kids")
+_NODE = ["thread_id", "id"]
+_FOREST = ["thread_id", "id", "parent_id", "pos", "depth", "path", "by", "text", "time"]
+
+
+def _doubled_paths(tops: DataFrame, nodes: DataFrame, max_depth: int | None) -> DataFrame:
+    """(thread_id, id, parent_id, path) of tops (path) and of the nodes (parent_id, pos) below
+    them, each of which has one parent: every round doubles the length of the paths known, so
+    a tree of depth d takes log2(d) rounds. Nodes of a loop never reach a top; when a round
+    brings none there, only such are left."""
+    reached = stored(tops.select(*_NODE, F.lit(None).cast(nodes.schema["parent_id"].dataType).alias("parent_id"), "path"))
+    open_ = stored(nodes.select(*_NODE, "parent_id", F.col("parent_id").alias("up"), F.array("pos").alias("path")))
+    size = 1
+    while max_depth is None or size < max_depth:
+        # what an open node stands on: a node that has reached a top, or another open one
+        above = reached.select("thread_id", F.col("id").alias("up"), F.lit(None).cast(nodes.schema["parent_id"].dataType).alias("next"), F.col("path").alias("before"), F.lit(True).alias("done"))
+        above = above.union(open_.select("thread_id", F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"), F.lit(False).alias("done")))
+        step = stored(open_.join(above, ["thread_id", "up"]).select(*_NODE, "parent_id", F.col("next").alias("up"), F.concat("before", "path").alias("path"), "done"))
+        new = step.where("done").select(*_NODE, "parent_id", "path")
+        if new.isEmpty():
+            break
+        reached = reached.union(new)
+        open_ = step.where(~F.col("done")).drop("done")
+        size *= 2
+    return reached
+
+
+def _by_levels(live: DataFrame, tops: DataFrame, max_depth: int | None) -> DataFrame:
+    """(thread_id, id, parent_id, path) by one equi-join a level, for threads in which an item
+    hangs below several: each id once, at its first level, then its first parent in order."""
+    level = tops.join(live.select(*_NODE, "kids"), _NODE).select(*_NODE, F.lit(None).cast("long").alias("parent_id"), "path", "kids")
     seen, depth = None, 0
     while max_depth is None or depth < max_depth:
         level = stored(level)
@@ -89,13 +107,46 @@ def build_comment_forest(items: DataFrame, roots: DataFrame, max_depth: int | No
             break
         seen = level if seen is None else seen.union(level)
         child = level.select("thread_id", F.col("id").alias("parent_id"), "path", F.posexplode("kids").alias("pos", "id"))
-        once = F.row_number().over(Window.partitionBy("thread_id", "id").orderBy(F.concat("path", F.array("pos"))))
-        new = child.withColumn("k", once).where("k = 1").join(seen.select("thread_id", "id"), ["thread_id", "id"], "left_anti")
+        once = F.row_number().over(Window.partitionBy(*_NODE).orderBy(F.concat("path", F.array("pos"))))
+        new = child.withColumn("k", once).where("k = 1").join(seen.select(_NODE), _NODE, "left_anti")
         depth += 1
-        level = new.join(live, ["thread_id", "id"]).select("thread_id", "id", "parent_id", "pos", F.lit(depth).alias("depth"), F.concat("path", F.array("pos")).alias("path"), "by", "text", "time", "kids")
-    if seen is None:
-        return level.limit(0).drop("kids")
-    return seen.drop("kids")
+        level = new.join(live.select(*_NODE, "kids"), _NODE).select(*_NODE, "parent_id", F.concat("path", F.array("pos")).alias("path"), "kids")
+    return (level.limit(0) if seen is None else seen).drop("kids")
+
+
+def build_comment_forest(items: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(thread_id, id, parent_id, pos, depth, path, by, text, time): a walk over items
+    (thread_id, id, by, text, time, kids, deleted, dead) from roots (thread_id, id). A
+    deleted, dead or missing item drops what hangs below it. Each id comes once, at its
+    first level (then its first parent in path order). depth counts from 0 and stays below
+    max_depth. Roots are ordered by time (missing 0), then id; children as their parent
+    lists them.
+
+    Threads in which each item has one parent at most, as comments have, find their paths by
+    pointer doubling; only those that share items or hang a root below another item are
+    walked level by level. Texts join in once, at the end."""
+    live = items.where(~F.coalesce("deleted", F.lit(False)) & ~F.coalesce("dead", F.lit(False))).select("thread_id", "id", "by", "text", "time", "kids")
+    live = stored(live.withColumn("k", F.row_number().over(Window.partitionBy(*_NODE).orderBy("time"))).where("k = 1").drop("k"))
+    order = Window.partitionBy("thread_id").orderBy(F.coalesce("time", F.lit(0)), "id")
+    tops = live.select(*_NODE, "time").join(roots.select(_NODE).distinct(), _NODE).withColumn("pos", F.row_number().over(order) - 1)
+    tops = stored(tops.select(*_NODE, F.array("pos").alias("path")))
+    edges = live.select("thread_id", F.col("id").alias("parent_id"), F.posexplode("kids").alias("pos", "id"))
+    parents = edges.groupBy(_NODE).agg(F.min(F.struct("parent_id", "pos")).alias("first"), F.max("parent_id").alias("last"))
+    parents = stored(parents.join(live.select(_NODE), _NODE, "left_semi"))
+    shared = parents.where(F.col("first.parent_id") != F.col("last")).select("thread_id").union(parents.join(tops, _NODE, "left_semi").select("thread_id"))
+    shared = stored(shared.distinct())
+    plain = lambda df: df.join(shared, "thread_id", "left_anti")
+    some = None
+    if max_depth is None or max_depth > 0:
+        some = _doubled_paths(plain(tops), plain(parents).select(*_NODE, "first.*"), max_depth)
+        if not shared.isEmpty():
+            some = some.unionByName(_by_levels(live.join(shared, "thread_id", "left_semi"), tops.join(shared, "thread_id", "left_semi"), max_depth))
+    else:
+        some = _doubled_paths(tops.limit(0), parents.limit(0).select(*_NODE, "first.*"), 0)
+    deep = some.withColumns({"pos": F.element_at("path", -1), "depth": F.size("path") - 1})
+    if max_depth is not None:
+        deep = deep.where(F.col("depth") < max_depth)
+    return deep.join(live.drop("kids"), _NODE).select(_FOREST)
 
 
 def comment_navigation(forest: DataFrame) -> DataFrame:

@@ -49,6 +49,55 @@ def test_forest_and_navigation(spark):
     assert len(html) == 2 and all(h.count("<div") == h.count("</div>") for *_, h in html) and html[1][2].index("c_1") < html[1][2].index("c_6")
 
 
+def walked(items, roots, max_depth):
+    """(thread, id, parent, path) by a plain walk, level by level."""
+    live = {(t, i): (time, kids or []) for t, i, _, _, time, kids, deleted, dead in items if not deleted and not dead}
+    level = []
+    for t in sorted({t for t, _ in roots}):
+        tops = sorted((live[t, i][0] or 0, i) for _, i in {r for r in roots if r[0] == t} if (t, i) in live)
+        level += [((t, i), None, [n]) for n, (_, i) in enumerate(tops)]
+    out, depth = {}, 0
+    while level and (max_depth is None or depth < max_depth):
+        new = {}
+        for node, parent, path in level:
+            out[node] = (parent, path)
+        for (t, i), _, path in sorted(level, key=lambda x: (x[0][0], x[2])):
+            for pos, kid in enumerate(live[t, i][1]):
+                if (t, kid) in live and (t, kid) not in out:
+                    new.setdefault((t, kid), ((t, kid), i, [*path, pos]))
+        level, depth = list(new.values()), depth + 1
+    return sorted((*node, *rest) for node, rest in out.items())
+
+
+@pytest.mark.parametrize("max_depth", [None, 3])
+def test_forest_equals_a_walk(spark, max_depth):
+    rng, data = random.Random(7), []
+    for t in range(12):
+        n = 30
+        kids = {i: [] for i in range(n)}
+        for i in range(1, n):  # a tree; in some threads items are shared, in some loops hang loose
+            kids[rng.randrange(i)].append(i)
+            if t % 4 == 1 and rng.random() < 0.2:
+                kids[rng.randrange(n)].append(i)
+        if t % 4 == 2:
+            kids |= {100: [101, 103], 101: [100], 103: [], 104: [104]}
+        data += [(t, i, "a", "t", rng.randrange(9), k, rng.random() < 0.05, None) for i, k in kids.items()]
+    items = spark.createDataFrame(data, ITEM)
+    roots = [(t, 0) for t in range(12)] + [(3, 5), (7, 0)]
+    got = threads.build_comment_forest(items, spark.createDataFrame(roots, "thread_id int, id long"), max_depth)
+    assert sorted((r.thread_id, r.id, r.parent_id, r.path) for r in got.collect()) == walked(data, roots, max_depth)
+
+
+def test_deep_chains_take_few_rounds(spark, monkeypatch):
+    depth, written = 3000, []
+    items = spark.createDataFrame([(1, i, "a", "t", i, [i + 1], None, None) for i in range(depth)], ITEM)
+    keep = threads.stored
+    monkeypatch.setattr(threads, "stored", lambda df: (written.append(1), keep(df))[1])
+    got = threads.build_comment_forest(items, items.where("id = 0").select("thread_id", "id"))
+    assert got.count() == depth and got.agg(F.max("depth")).first()[0] == depth - 1
+    assert len(written) < 24
+
+
 def test_flatten_comments(spark):
     reddit = '[{"data":{"children":[]}},{"data":{"children":[{"kind":"t1","data":{"id":"a","author":"x","body_html":"&lt;p&gt;hi&lt;/p&gt;","created_utc":1,"replies":{"data":{"children":[{"kind":"t1","data":{"id":"b"}}]}}}},{"kind":"more"}]}}]'
     sub = '{"comments":[{"id":1,"body":"q","children":[{"id":2,"name":"N","body":"r"}]}]}'
