@@ -5,13 +5,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readloom.functions import ordered, text
 from readloom.functions.dom import Node, parse
 from readloom.functions.helpers import long_rows, per_row
+from readloom.functions.tables import dropped, stored
 
 from .pagefacts import compact
 
@@ -101,6 +102,39 @@ def upsert_memory(memory: DataFrame, new: DataFrame) -> DataFrame:
     return every.withColumn("k", last).where("k = 1").drop("k", "batch")
 
 
+def _bucket(buckets: int) -> Column:
+    return F.concat(F.lit(f"of{buckets}_"), F.pmod(F.xxhash64("cache_key"), F.lit(buckets)).cast("string"))
+
+
+def write_memory(memory: DataFrame, path: str, buckets: int = 64) -> None:
+    """memory as a store at path: a folder for each bucket of keys, by hash, whose name tells
+    of how many it is one. A store holds a row at least."""
+    memory.withColumn("bucket", _bucket(buckets)).repartition(buckets, "bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
+
+
+def upsert_memory_store(spark: SparkSession, path: str, new: DataFrame) -> None:
+    """upsert_memory on a store that write_memory wrote. Only buckets that new rows fall into
+    are read and written again; the files of the others stay.
+
+    The merged buckets are complete in the shared folder before they replace the old ones;
+    run it again after a failure, as an upsert may be repeated. One such job may run on a
+    store at a time."""
+    some = spark.read.parquet(path).select("bucket").first()
+    buckets = int(some[0][2:].partition("_")[0])
+    coming = stored(new.withColumn("bucket", _bucket(buckets)))
+    touched = [r[0] for r in coming.select("bucket").distinct().collect()]  # as many as buckets
+    if not touched:
+        return
+    old = spark.read.schema(T.StructType([*new.schema, T.StructField("bucket", T.StringType())])).parquet(path).where(F.col("bucket").isin(touched))
+    merged = stored(upsert_memory(old.drop("bucket"), coming.drop("bucket")).withColumn("bucket", _bucket(buckets)))
+    merged.repartition(buckets, "bucket").write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    dropped(coming, merged)
+
+
+def read_memory(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
 class Packing:
     """Cuts texts into batches, greedily: one closes at `most` texts or where the next would
     pass `chars`. The state is the open batch's texts and characters."""

@@ -353,6 +353,19 @@ def _(spark, d):
     return translate.upsert_memory(rows.where("created_at % 3 != 0"), rows.where("created_at % 3 = 0")).select("cache_key", "created_at")
 
 
+@plan("l4_memory_store", """
+    SELECT k AS cache_key, coalesce(max(CASE WHEN doc_id % 3 = 0 AND k % 5 = 0 THEN doc_id END), max(CASE WHEN doc_id % 3 <> 0 THEN doc_id END))::BIGINT AS created_at FROM (SELECT doc_id, (doc_id % 500)::VARCHAR AS key, doc_id % 500 AS k FROM documents) GROUP BY 1
+    HAVING created_at IS NOT NULL""")
+def _(spark, d):
+    """A store of buckets, and an upsert that touches some of them."""
+    rows = table(spark, d, "documents").select((F.col("doc_id") % 500).alias("cache_key"), F.col("doc_id").alias("created_at"), F.lit("t").alias("translated_text"))
+    old, new = rows.where("created_at % 3 != 0"), rows.where("created_at % 3 = 0 AND cache_key % 5 = 0")
+    path = _shared(spark)
+    translate.write_memory(translate.upsert_memory(old.limit(0), old), path)
+    translate.upsert_memory_store(spark, path, new)
+    return translate.read_memory(spark, path).select("cache_key", "created_at")
+
+
 @plan("l5_batch_texts", """
     WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, text, length(text) AS size FROM documents WHERE text IS NOT NULL),
     w AS (SELECT i, text, 0::BIGINT AS batch, 1 AS n, size FROM d WHERE i = 1
@@ -446,6 +459,38 @@ def _(spark, d):
     return out.select("job_id", "total", "processed", "failed", "duration_ms", F.col("slowest")[0]["duration_ms"].alias("slowest_ms"), F.substring(F.get("failed_sources", 0)["url"], 2, 20).cast("long").alias("first_failed"))
 
 
+def _stage_events(spark, d):
+    """Three stages of each user's job: a view starts one, a click or a purchase ends one."""
+    kind = F.when(F.col("event_type") == "view", "stage_start").when(F.col("event_type").isin("click", "purchase"), "stage_done").when(F.col("event_type") == "signup", "job_start")
+    return table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("event_ts"), kind.alias("event"), F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string")).alias("stage"))
+
+
+_STAGES = """
+    WITH e AS (SELECT user_id, event_id, ts, 's' || event_id % 3 AS stage, CASE event_type WHEN 'view' THEN 0 WHEN 'signup' THEN 2 ELSE 1 END AS kind FROM events WHERE event_type <> 'error'),
+    m AS (SELECT *, max(CASE WHEN kind > 0 THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM e),
+    n AS (SELECT *, lead(kind) OVER w AS after, lead(ts) OVER w AS next, lag(kind) OVER w AS before FROM m WHERE kind < 2 WINDOW w AS (PARTITION BY user_id, stage ORDER BY ts, event_id)),
+    r AS (SELECT user_id AS job_id, stage, CASE WHEN kind = 1 THEN 'unstarted' WHEN after = 1 THEN 'closed' WHEN after = 0 THEN 'restarted' ELSE 'open' END AS state,
+          CASE WHEN kind = 0 THEN ts ELSE mark END AS started_at, CASE WHEN kind = 1 THEN ts WHEN after = 1 THEN next END AS ended_at FROM n WHERE kind = 0 OR before IS NULL OR before = 1)"""
+
+
+@plan("j1_stage_durations", _STAGES + """
+    SELECT job_id, stage, state, coalesce(epoch_us(started_at), -1)::BIGINT AS started_us, coalesce(floor((epoch_us(ended_at) - epoch_us(started_at)) / 1000), -1)::BIGINT AS duration_ms FROM r""")
+def _(spark, d):
+    out = jobs.stage_durations(_stage_events(spark, d))
+    return out.select("job_id", "stage", "state", F.coalesce(F.unix_micros("started_at"), F.lit(-1)).alias("started_us"), F.coalesce("duration_ms", F.lit(-1)).alias("duration_ms"))
+
+
+@plan("j1_stream_stages", _STAGES + """
+    SELECT job_id::VARCHAR AS job_id, stage, state, coalesce(epoch_us(started_at), -1)::BIGINT AS started_us, coalesce(floor((epoch_us(ended_at) - epoch_us(started_at)) / 1000), -1)::BIGINT AS duration_ms FROM r WHERE state IN ('closed', 'restarted')""")
+def _(spark, d):
+    """The same as a stream; what is open when it stops has not been told."""
+    raw = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    kind = F.when(F.col("event_type") == "view", "stage_start").when(F.col("event_type").isin("click", "purchase"), "stage_done").when(F.col("event_type") == "signup", "job_start")
+    feed = raw.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("event_ts"), kind.alias("event"), F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string")).alias("stage"))
+    out = _run(streams.stream_stage_durations(feed, longest="60 days"), _shared(spark))
+    return out.select("job_id", "stage", "state", F.coalesce(F.unix_micros("started_at"), F.lit(-1)).alias("started_us"), F.coalesce("duration_ms", F.lit(-1)).alias("duration_ms"))
+
+
 @plan("j2_retry_as_generic", "SELECT page_id, page_id % 4 = 1 AS retried FROM pages WHERE page_id % 2 = 0 OR page_id % 4 = 1")
 def _(spark, d):
     p = table(spark, d, "pages").withColumn("is_forum", F.col("page_id") % 4 == 1)

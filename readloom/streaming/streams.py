@@ -1,8 +1,12 @@
 """Streams of the queue and of job timings. The watermarks are ours: they bound the state,
 and rows later than them are dropped."""
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream_queue(stream: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -17,3 +21,48 @@ def stream_job_timings(stream: DataFrame, width: str = "1 hour", late: str = "10
     seen = stream.withWatermark("event_ts", late).groupBy(F.window("event_ts", width).alias("w"), "job_id")
     bad = ~F.coalesce("success", F.lit(False))
     return seen.agg(F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("failed"), F.sum("duration_ms").alias("duration_ms")).select("job_id", F.col("w.start").alias("window_start"), "total", "failed", "duration_ms")
+
+
+_STAGES = "job_id string, stage string, state string, started_at timestamp, ended_at timestamp, duration_ms long"
+
+
+def _paired(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Runs of one stage that its new events end. The state is the open start, in micros."""
+    job, stage = key
+    held = state.get[0] if state.exists else None
+    out = []
+    stamp = lambda us: pd.NaT if us is None else pd.Timestamp(us, unit="us")
+    tell = lambda name, a, b: out.append((job, stage, name, stamp(a), stamp(b), None if b is None else (b - a) // 1000))
+    if state.hasTimedOut:
+        tell("open", held, None)
+        state.remove()
+    else:
+        new = pd.concat(list(parts)).sort_values(["event_ts", "seq"], kind="stable")
+        for event, at in zip(new["event"], new["event_ts"].astype("datetime64[us]").astype("int64").tolist(), strict=True):
+            if event == "stage_start":
+                if held is not None:
+                    tell("restarted", held, None)
+                held = at
+            elif event == "stage_done" and held is not None:
+                tell("closed", held, at)
+                held = None
+        if held is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((held,))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), held // 1000) + 1)
+    if out:
+        yield pd.DataFrame(out, columns=["job_id", "stage", "state", "started_at", "ended_at", "duration_ms"]).astype({"duration_ms": "Int64", "started_at": "datetime64[us]", "ended_at": "datetime64[us]"})
+
+
+def stream_stage_durations(stream: DataFrame, late: str = "1 hour", longest: str = "1 day") -> DataFrame:
+    """(job_id, stage, state, started_at, ended_at, duration_ms) of an endless feed (job_id,
+    seq, event_ts, event, stage): a stage's start is held as keyed state until its done
+    (closed) or another start (restarted) comes; once the watermark is past it by `longest`
+    it is told as open. A done whose start is not held is left out, and events later than
+    `late` are dropped, so the state holds one start for each stage in work."""
+    rows = stream.select("job_id", "stage", "seq", "event", "event_ts").where(F.col("event").isin("stage_start", "stage_done"))
+    # the watermark lags by both: a start may wait that long for its done
+    marked = rows.withColumns({"job_id": F.col("job_id").cast("string"), "stage": F.col("stage").cast("string")}).withWatermark("event_ts", f"{late} {longest}")
+    return marked.groupBy("job_id", "stage").applyInPandasWithState(_paired, _STAGES, "held long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -345,6 +345,47 @@ def test_jobs(spark):
     assert [x.job_id for x in jobs.expire_jobs(j, now=9000.0).orderBy("job_id").collect()] == ["b", "c"]
 
 
+STAGE = "job_id string, seq int, event_ts timestamp, event string, stage string"
+
+
+def test_stages_open_repeated_and_late(spark, tmp_path):
+    from readloom.streaming import streams
+
+    at = lambda n: datetime.datetime(2025, 1, 1, 0, 0, n)
+    data = [("j", 1, at(0), "job_start", None), ("j", 2, at(1), "stage_start", "a"), ("j", 3, at(4), "stage_done", "a"), ("j", 9, at(9), "stage_start", "a"), ("j", 5, at(5), "stage_start", "a"), ("j", 6, at(6), "stage_done", "b"), ("j", 7, at(8), "stage_done", "b"), ("k", 1, at(3), "stage_done", "a"), ("k", 2, at(3), "stage_start", "a"), ("k", 3, None, "stage_done", "a"), ("k", 4, at(4), "other", "a")]
+    events = spark.createDataFrame(data, STAGE)
+    got = [(r.job_id, r.stage, r.state, r.duration_ms) for r in jobs.stage_durations(events).orderBy("job_id", "stage", "run").collect()]
+    assert got == [("j", "a", "closed", 3000), ("j", "a", "restarted", None), ("j", "a", "open", None), ("j", "b", "unstarted", 2000), ("j", "b", "unstarted", 2000), ("k", "a", "unstarted", None), ("k", "a", "open", None)]
+    t = spark.createDataFrame([("j", 0, "u", 5, True, None), ("z", 0, "u", 5, True, None)], "job_id string, seq int, url string, duration_ms long, success boolean, error_type string")
+    stages = {r.job_id: r.stages and [tuple(x) for x in r.stages] for r in jobs.job_summary(t, stages=events).collect()}
+    assert stages == {"j": [("a", 1, 3000), ("b", 2, 4000)], "z": None}
+    # as a stream, file by file: a start waits for its done, or is told as open
+    hour = lambda n, **k: datetime.datetime(2025, 1, 1 + n // 24, n % 24, **k)
+    files = [[("j", 1, hour(1), "stage_start", "a"), ("j", 2, hour(1), "stage_start", "b")], [("j", 3, hour(2), "stage_done", "a"), ("j", 4, hour(20), "stage_start", "c")], [("j", 5, hour(40), "stage_done", "c")], [("j", 7, hour(41), "stage_start", "d")], [("j", 6, hour(1), "stage_done", "b")]]
+    for n, part in enumerate(files):
+        spark.createDataFrame(part, STAGE).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    feed = spark.readStream.schema(STAGE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    streams.stream_stage_durations(feed, late="1 hour", longest="20 hours").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.stage, r.state, r.duration_ms) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", "closed", 3_600_000), ("b", "open", None), ("c", "closed", 72_000_000)]
+
+
+def test_memory_store_rewrites_touched_buckets_only(spark, tmp_path):
+    path, kind = str(tmp_path / "store"), "cache_key string, translated_text string, created_at int"
+    memory = spark.createDataFrame([(f"k{i}", "old", i) for i in range(200)], kind)
+    translate.write_memory(memory, path, 16)
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+    before = files()
+    new = spark.createDataFrame([("k3", "new", 1), ("k3", "newer", 2), ("fresh", "x", 3)], kind)
+    translate.upsert_memory_store(spark, path, new)
+    want = translate.upsert_memory(memory, new)
+    assert rows(translate.read_memory(spark, path).select(want.columns), "cache_key") == rows(want, "cache_key")
+    gone = {f.parent.name for f in before.keys() - files().keys()}
+    assert 1 <= len(gone) <= 2 and all(files()[f] == t for f, t in before.items() if f.parent.name not in gone)
+    translate.upsert_memory_store(spark, path, new.limit(0))
+    assert translate.read_memory(spark, path).count() == 201
+
+
 def test_streams_drop_late_rows_and_repeats(spark, tmp_path):
     from readloom.streaming import streams
 

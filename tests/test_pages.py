@@ -121,6 +121,8 @@ def test_summaries(spark):
     ch = spark.createDataFrame([(1, 1, "b"), (1, 0, "a")], "book_id int, chapter_idx int, text string")
     assert extract.summary_input(ch).first().summary_text == "a\nb"
     posts = spark.createDataFrame([("t", 1, i, f"A{i}", f"x{i}") for i in range(7)], "thread_url string, page int, pos int, author string, text string")
+    many = spark.createDataFrame([(1, i, c * 9) for i, c in enumerate("abcdefgh")] + [(1, 1, "b" * 9), (2, 0, None), (3, 0, "x" * 99), (None, 5, "n")], "book_id int, chapter_idx int, text string")
+    assert {r.book_id: r.summary_text for r in extract.summary_input(many, 35).collect()} == {1: "a" * 9 + "\n" + "b" * 9 + "\n" + "b" * 9 + "\n" + "c" * 5, 2: "", 3: "x" * 35, None: "n"}
     assert extract.forum_summary_input(posts).first().summary_text.split("\n\n") == [f"Post by A{i}: x{i}" for i in range(5)]
 
 
