@@ -306,7 +306,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = df.select(*[F.col(f"`{c}`") for c in columns], util.text_or_empty(F.col(f"`{text_col}`")).alias(text), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-1)).alias(k1))
     named = named.withColumn(k2, F.xxhash64(text))
     runs = repeated_windows(named.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(text).alias("text")), width)
-    spans = runs.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.collect_list(F.struct("first", (F.col("last") + width).alias("last"))).alias(found))
+    # equal rows of one id have equal spans, which all find: each counts once
+    spans = runs.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.collect_set(F.struct("first", (F.col("last") + width).alias("last"))).alias(found))
     kind = T.StructType(
         [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("kept_text", T.StringType())]
     )

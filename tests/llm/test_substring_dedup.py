@@ -71,6 +71,17 @@ def test_equals_brute_force(spark, monkeypatch, width, hot):
     assert got(out) == brute(rows, width)
 
 
+def test_many_equal_rows_of_one_id(spark, monkeypatch):
+    """Each copy finds the spans of all; they count once, so a row meets few of them."""
+    monkeypatch.setattr(x, "HELD", 2000)
+    text = " ".join(f"w{k}" for k in range(520))
+    rows = [(7, text)] * 1000 + [(None, text[5:])] * 500 + [(8, "other words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    runs = x.repeated_windows(df.selectExpr("coalesce(doc_id, -1) AS k1", "xxhash64(text) AS k2", "text"), 35)
+    assert all(r["count"] < 520 for r in runs.distinct().groupBy("k1", "k2").count().collect())
+    assert got(x.substring_dedup(df)) == brute(rows, 35)
+
+
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in util.read(spark, sf, "documents").collect()]
