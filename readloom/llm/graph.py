@@ -23,6 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         onward = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         moved = near.join(onward, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("next"))
         new = util.stored(moved.join(labels, "node").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("changed")))
+        util.dropped(labels)
         labels = new.select("node", "label")
         if new.where("changed").isEmpty():
+            util.dropped(both)
             return labels

@@ -324,7 +324,9 @@ def _decided(pairs: DataFrame, docs: DataFrame, rows: DataFrame, seed: int) -> D
         out = [(a, b) for a, b in zip(todo["a"], todo["b"], strict=True) if _links(arrays[a], arrays[b])]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return util.stored(grouped.groupBy("group").cogroup(shipped.groupBy("group")).applyInPandas(decided, PAIR))
+    out = util.stored(grouped.groupBy("group").cogroup(shipped.groupBy("group")).applyInPandas(decided, PAIR))
+    util.dropped(grouped)
+    return out
 
 
 #: A partner's code is at most this much below a set's: 3/4 of its size.
