@@ -63,7 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = util.read(spark, sf_dir, "documents")
+    docs, last = util.read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = util.stored(stage(spark, docs, sf_dir))
+        if last is not None:
+            util.dropped(last)  # the stage after it is written
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
