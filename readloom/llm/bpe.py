@@ -205,6 +205,14 @@ class Vocabulary:
 _VOCABULARIES: dict[bytes, Vocabulary] = {}
 
 
+def forgotten() -> None:
+    """Merged slices are let go when a task ends: its worker lives on beside those of later
+    stages."""
+    for vocab in _VOCABULARIES.values():
+        vocab.cache, vocab.older = {}, {}
+    util.memory_returned()
+
+
 def vocabulary(lines: bytes) -> Vocabulary:
     key = hashlib.sha256(lines).digest()
     if key not in _VOCABULARIES:
@@ -253,9 +261,13 @@ def bpe_encode(df: DataFrame, ranks_path: str, text_col: str = "text", ids_col:
     lines = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encoded(texts: pa.Array) -> pa.Array:
-        data, offsets = util.utf8(texts)
-        return pa.array([np.array(x, np.int32) for x in encode_batch(data, offsets, vocabulary(lines.value))], pa.list_(pa.int32()))
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                data, offsets = util.utf8(texts)
+                yield pa.array([np.array(x, np.int32) for x in encode_batch(data, offsets, vocabulary(lines.value))], pa.list_(pa.int32()))
+        finally:
+            forgotten()
 
     return df.withColumn(ids_col, encoded(F.col(f"`{text_col}`")))
 
@@ -268,10 +280,14 @@ def bpe_decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", text_
     kind = T.StructType([T.StructField("bytes", T.BinaryType()), T.StructField("offsets", T.ArrayType(T.LongType()))])
 
     @F.arrow_udf(kind)
-    def decoded(ids: pa.Array) -> pa.Array:
-        vocab = vocabulary(lines.value)
-        both = [decode(x or [], vocab) for x in ids.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.list_(pa.int64()))], ["bytes", "offsets"])
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for ids in batches:
+                vocab = vocabulary(lines.value)
+                both = [decode(x or [], vocab) for x in ids.to_pylist()]
+                yield pa.StructArray.from_arrays([pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.list_(pa.int64()))], ["bytes", "offsets"])
+        finally:
+            forgotten()
 
     (made,) = util.free_name(df, "made")
     return df.withColumn(made, decoded(F.col(f"`{ids_col}`"))).withColumns({text_col: F.col(f"{made}.bytes"), f"{text_col}_offsets": F.col(f"{made}.offsets")}).drop(made)
