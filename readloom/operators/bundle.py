@@ -54,11 +54,11 @@ def toc_entries(chapters: DataFrame) -> DataFrame:
 
 def apply_saved_at(books: DataFrame, chapters: DataFrame) -> DataFrame:
     """chapters where each book's saved_at has gone to its first article chapter without one
-    (the first chapter, if it has no article)."""
-    has_article = F.max(F.col("is_article").cast("int")).over(Window.partitionBy("bundle_id", "book_idx"))
-    able = F.col("saved_at").isNull() & (F.col("is_article") | (has_article == 0))
-    turn = F.row_number().over(Window.partitionBy("bundle_id", "book_idx").orderBy((~able).cast("int"), "chapter_idx"))
-    first_only = (has_article == 1) | (F.row_number().over(Window.partitionBy("bundle_id", "book_idx").orderBy("chapter_idx")) == 1)
-    marked = chapters.withColumn("takes", able & (turn == 1) & first_only)
+    (null or empty); in a book without articles, to its first chapter without one."""
+    book = Window.partitionBy("bundle_id", "book_idx")
+    article = F.coalesce("is_article", F.lit(False))
+    able = (F.coalesce("saved_at", F.lit("")) == "") & (article | ~F.max(article).over(book))
+    first = chapters.withColumn("able", able).withColumn("takes", F.col("able") & (F.row_number().over(book.orderBy(F.desc("able"), "chapter_idx")) == 1))
     own = books.select("bundle_id", "book_idx", F.col("saved_at").alias("book_saved_at"))
-    return marked.join(own, ["bundle_id", "book_idx"], "left").withColumn("saved_at", F.when(F.col("takes"), F.col("book_saved_at")).otherwise(F.col("saved_at"))).drop("takes", "book_saved_at")
+    given = first.join(own, ["bundle_id", "book_idx"], "left")
+    return given.withColumn("saved_at", F.when(F.col("takes"), F.coalesce("book_saved_at", "saved_at")).otherwise(F.col("saved_at"))).drop("able", "takes", "book_saved_at")

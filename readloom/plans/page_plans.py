@@ -179,10 +179,20 @@ def _(spark, d):
     return extract.extract_captions(_with_images(spark, d)).where("image_idx = 0").select("page_id", "caption")
 
 
-@plan("x13_text_only", "SELECT page_id, 'Seen from ' || page_id AS caption, true AS alt, 0 AS images FROM pages")
+@plan("x13_text_only", """
+    SELECT page_id, 0 AS images, concat_ws('|', CASE WHEN page_id % 4 <> 3 THEN 'Seen from ' || page_id END, CASE page_id % 4 WHEN 0 THEN '[Image: View ' || page_id || ']' WHEN 3 THEN '[Image: Map ' || page_id || ']' END,
+           CASE WHEN page_id % 3 = 1 THEN '[Image: Chart ' || page_id || ']' END) AS said FROM pages""")
 def _(spark, d):
-    out = clean.text_only(_with_images(spark, d).withColumn("content_html", F.col("html")))
-    return out.select("page_id", F.regexp_extract("content_html", "Seen from [0-9]+", 0).alias("caption"), F.col("content_html").contains("[Image: A view]").alias("alt"), F.size(F.regexp_extract_all("content_html", F.lit("<img"), F.lit(0))).alias("images"))
+    """Alt texts that say something, that say little, and that the caption holds; figures with
+    and without captions."""
+    n, text = F.col("page_id") % 4, lambda words: F.concat(F.lit(words), _id())
+    alt = F.when(n == 0, text("View ")).when(n == 1, F.lit("image")).when(n == 2, text("FROM ")).otherwise(text("Map "))
+    note = F.when(n != 3, F.concat(F.lit("<figcaption>Seen from "), _id(), F.lit("</figcaption>"))).otherwise("")
+    other = F.when(F.col("page_id") % 3 == 0, "IMG_123").when(F.col("page_id") % 3 == 1, text("Chart ")).otherwise("")
+    block = F.concat(F.lit('<article><figure><img src="/a.jpg" alt="'), alt, F.lit('">'), note, F.lit('</figure><img src="/b.jpg" alt="'), other, F.lit('">'))
+    out = clean.text_only(pages(spark, d).withColumn("content_html", F.replace("html", F.lit("<article>"), block)))
+    said = F.array_join(F.regexp_extract_all("content_html", F.lit(r"<p>(Seen from \d+|\[Image: [^\]]*\])</p>"), F.lit(1)), "|")
+    return out.select("page_id", F.size(F.regexp_extract_all("content_html", F.lit("<img"), F.lit(0))).alias("images"), said.alias("said"))
 
 
 @plan("x14_collapse_image_sequences", "SELECT p_partkey // 10 AS page_id, max(1990 + p_partkey % 10)::INTEGER AS year FROM part GROUP BY 1")

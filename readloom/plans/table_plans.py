@@ -284,10 +284,19 @@ def _(spark, d):
     return bundle.toc_entries(rows.drop("l_orderkey", "l_linenumber")).join(rows.select("bundle_id", "spine", "l_orderkey", "l_linenumber"), ["bundle_id", "spine"]).select("bundle_id", F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("n"), "anchor")
 
 
-@plan("a12_apply_saved_at", "SELECT l_orderkey AS book_idx, 1::BIGINT AS saved, count(*) AS chapters FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
-def _(spark, d):
-    out = bundle.apply_saved_at(*_books(spark, d))
-    return out.groupBy("book_idx").agg(F.count(F.when(F.col("is_article"), F.col("saved_at"))).alias("saved"), F.count(F.lit(1)).alias("chapters"))
+@plan("a12_apply_saved_at", """
+    WITH c AS (SELECT l_orderkey AS book, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS idx FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    m AS (SELECT *, book % 3 <> 0 AND idx % 2 = 1 AS article, CASE WHEN (book + idx) % 4 = 1 THEN 'own ' || idx WHEN (book + idx) % 4 = 2 THEN '' END AS saved FROM c),
+    t AS (SELECT book, min(idx) AS takes FROM (SELECT *, bool_or(article) OVER (PARTITION BY book) AS has_article FROM m) WHERE coalesce(saved, '') = '' AND (article OR NOT has_article) GROUP BY 1)
+    SELECT m.book AS book_idx, idx::INTEGER AS chapter_idx, coalesce(CASE WHEN idx = takes AND m.book % 7 <> 0 THEN 'book ' || m.book ELSE saved END, 'none') AS saved_at FROM m LEFT JOIN t USING (book)""")
+def _(spark, d):
+    """Books with and without articles and a time of their own; chapters with and without one."""
+    books, ch = _books(spark, d)
+    n, idx = F.col("book_idx"), F.col("chapter_idx")
+    books = books.withColumn("saved_at", F.when(n % 7 != 0, F.concat(F.lit("book "), n.cast("string"))))
+    own = F.when((n + idx) % 4 == 1, F.concat(F.lit("own "), idx.cast("string"))).when((n + idx) % 4 == 2, "")
+    out = bundle.apply_saved_at(books, ch.withColumns({"is_article": (n % 3 != 0) & (idx % 2 == 1), "saved_at": own}))
+    return out.select("book_idx", "chapter_idx", F.coalesce("saved_at", F.lit("none")).alias("saved_at"))
 
 
 @plan("s5_write_bundle", """
