@@ -14,9 +14,13 @@ FETCH = 1000
 
 
 def _fetched(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The pages that wanted (page_id) names."""
+    """The pages that wanted (page_id) names. As they are few and parsing them is slow, they
+    are dealt to as many tasks as a shuffle has."""
     ids = [r[0] for r in wanted.limit(FETCH + 1).collect()]
-    return pages.where(F.col("page_id").isin(ids)) if len(ids) <= FETCH else pages.join(wanted, "page_id", "left_semi")
+    if len(ids) > FETCH:
+        return pages.join(wanted, "page_id", "left_semi")
+    tasks = min(len(ids), int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return pages.where(F.col("page_id").isin(ids)).repartition(max(1, tasks), "page_id")
 
 
 def follow_listing_pages(seeds: DataFrame, pages: DataFrame, max_pages: int = 20) -> DataFrame:
