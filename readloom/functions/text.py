@@ -84,12 +84,6 @@ def clean_author(name: Column) -> Column:
     return F.when((bare != "") & ~F.lower(bare).isin(NOT_AUTHORS) & (F.length(bare) <= LONGEST_NAME), bare)
 
 
-def author_name(name: str | None) -> str | None:
-    """clean_author for one value, inside a function of a whole page."""
-    bare = functools.reduce(lambda x, trim: re.sub(trim, "", x), NAME_TRIMS, " ".join((name or "").split()))
-    return bare if bare and bare.lower() not in NOT_AUTHORS and len(bare) <= LONGEST_NAME else None
-
-
 def is_low_quality_author(name: Column) -> Column:
     low = F.lower(clean_author(name))
     return low.isNull() | low.isin(VAGUE_AUTHORS) | low.contains("admin")

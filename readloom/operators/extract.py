@@ -1,6 +1,8 @@
 """Page extraction as DataFrame jobs: one parse of each page in each job, no shuffle
 except where rows are ranked."""
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,10 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
-ARTICLE = _struct(success=_B, title=_S, author=_S, sitename=_S, html=_S, text=_S, error=_S, is_paywall=_B, content_usable=_B)
+AUTHOR_TAGS = T.ArrayType(_struct(rank=_I, href=_S, text=_S))
+READ = _struct(success=_B, title=_S, author_said=_S, author_tags=AUTHOR_TAGS, sitename=_S, html=_S, text=_S, error=_S, is_paywall=_B, content_usable=_B, date_texts=T.ArrayType(_S))
+ARTICLE = ["success", "title", "author", "sitename", "html", "text", "error", "is_paywall", "content_usable"]
+JUMP = T.ArrayType(_struct(tag=_S, rel=_S, classes=T.ArrayType(_S), href=_S, target=_S, text=_S, tight=_S))
 NEAR = T.ArrayType(_struct(kind=_S, text=_S))
 LINK = T.ArrayType(_struct(url=_S, title=_S, near=NEAR))
 IMAGE = T.ArrayType(_struct(url=_S, alt=_S, viewer_url=_S, caption=_S, container=_I, srcset=_S, filename_hint=_S))
@@ -29,17 +34,42 @@ def _date_texts(html: str | None) -> list[str]:
     return pagefacts.date_texts(pagefacts.parse(html))
 
 
+def _author_facts(html: str | None) -> dict:
+    return pagefacts.author_facts(pagefacts.parse(html))
+
+
 def extract_articles(pages: DataFrame, profile_col: str | None = None) -> DataFrame:
     """pages (url, html) with success, title, author, sitename, html, text, error,
     is_paywall, content_usable and date. profile_col: a struct with content_selector and
     remove_selectors. A null or unreadable page has success = false and an error."""
-    if profile_col:
-        profile = [F.col(f"{profile_col}.content_selector"), F.col(f"{profile_col}.remove_selectors")]
-        found = per_row(pagefacts.article, ARTICLE, F.col("html"), F.col("url"), *profile)
-    else:
-        found = per_row(lambda html, url: pagefacts.article(html, url), ARTICLE, F.col("html"), F.col("url"))
-    made = long_rows(pages).withColumn("article", found)
-    return with_published_date(made.select(*[c for c in pages.columns if c not in ARTICLE.names], "html", *[F.col(f"article.{c}").alias("article_html" if c == "html" else c) for c in ARTICLE.names]), "date").drop("html")
+    profile = [F.col(f"{profile_col}.content_selector"), F.col(f"{profile_col}.remove_selectors")] if profile_col else [F.lit(None).cast("string"), F.lit(None).cast("array<string>")]
+    made = long_rows(pages).withColumn("article", per_row(pagefacts.article, READ, F.col("html"), F.col("url"), *profile))
+    own = [c for c in pages.columns if c not in [*ARTICLE, "date"]]
+    author = author_of(F.col("article.author_said"), F.col("article.author_tags"))
+    date = F.coalesce(dates.date_from_url(F.col("url")), first_date(F.col("article.date_texts")))
+    return made.select(*own, *[author.alias(c) if c == "author" else F.col(f"article.{c}").alias("article_html" if c == "html" else c) for c in ARTICLE], date.alias("date"))
+
+
+#: The rank of the selector whose links count only if they lead to an author's page.
+LINKED_RANK = 1
+
+
+def author_of(said, tags):
+    """The meta tags' author unless it is vague and elements name others: the names that the
+    first selector with any gives, each once."""
+    real = F.filter(tags, lambda t: (t["rank"] != LINKED_RANK) | t["href"].contains("/our-authors/") | t["href"].contains("/author/"))
+    named = F.filter(F.transform(real, lambda t: F.struct(t["rank"].alias("rank"), text.clean_author(t["text"]).alias("name"))), lambda t: t["name"].isNotNull())
+    best = F.array_min(F.transform(named, lambda t: t["rank"]))
+    names = F.transform(F.filter(named, lambda t: t["rank"] == best), lambda t: t["name"])
+    low = F.transform(names, F.lower)
+    seen = F.nullif(F.array_join(F.filter(names, lambda n, i: F.array_position(low, F.lower(n)) == i + 1), " & "), F.lit(""))
+    return F.when(text.is_low_quality_author(said), F.coalesce(seen, said)).otherwise(said)
+
+
+def extract_author(pages: DataFrame) -> DataFrame:
+    """pages with author, null where nothing names one."""
+    facts = per_row(_author_facts, _struct(author_said=_S, author_tags=AUTHOR_TAGS), F.col("html"))
+    return long_rows(pages).withColumn("facts", facts).withColumn("author", author_of(F.col("facts.author_said"), F.col("facts.author_tags"))).drop("facts")
 
 
 def first_date(candidates, default_year=None):
@@ -101,10 +131,31 @@ def extract_feed_posts(feeds: DataFrame) -> DataFrame:
     return one.select("feed_url", "item_idx", "url", F.col("item.title").alias("title"), F.coalesce(dates.date_from_url(F.col("url")), dates.parse_date_text(F.col("item.date"))).alias("published_date"))
 
 
+# Texts of links to a listing's next page; classes of a forum's; the last page
+# of a thread that is followed.
+NEXT_TEXTS = ["next", "next page", "older", "older posts", "more"]
+FORUM_NEXT_TEXTS = ["next", "next >", "next>"]
+FORUM_NEXT_CLASSES = ["pageNav-jump--next", "pageNavSimple-el--next"]
+LAST_FORUM_PAGE = 500
+
+
 def extract_next_page(pages: DataFrame, forum: bool = False) -> DataFrame:
-    """pages with next_url: of a listing in canonical form, of a forum as it is."""
-    found = per_row(pagefacts.forum_next_page if forum else pagefacts.next_page, _S, F.col("html"), F.col("url"))
-    return long_rows(pages).withColumn("next_raw", found).withColumn("next_url", F.col("next_raw") if forum else urls.canonical_url(F.col("next_raw"))).drop("next_raw")
+    """pages with next_url: of a listing in canonical form, of a forum as it is. The first
+    `next` link tag, else the first link that says so; in a forum a jump link comes before
+    links by text or by the next number, and beyond page 500 there is none."""
+    jumps, low = F.col("jumps"), lambda j, part="text": F.lower(j[part])
+    rel = lambda j: F.split(F.trim(j["rel"]), r"\s+")
+    first = lambda test: F.get(F.filter(jumps, test), 0)
+    linked = first(lambda j: (j["tag"] == "link") & F.array_contains(rel(j), "next") & (j["href"] != ""))
+    if forum:
+        number = F.regexp_extract("url", r"(?i)page[-=/_]0*(\d+)", 1)
+        current = F.when(F.length(number) > 9, LAST_FORUM_PAGE + 1).otherwise(F.coalesce(number.try_cast("int"), F.lit(1)))
+        jump = first(lambda j: (j["tag"] == "a") & (j["href"] != "") & (F.arrays_overlap(j["classes"], F.array(*map(F.lit, FORUM_NEXT_CLASSES))) | (j["rel"] == "next")))
+        by_text = first(lambda j: (j["tag"] == "a") & (j["href"] != "") & (low(j, "tight").isin(FORUM_NEXT_TEXTS) | (j["tight"] == (current + 1).cast("string"))))
+        target = F.when(current <= LAST_FORUM_PAGE, F.coalesce(linked, jump, by_text)["target"])
+    else:
+        target = urls.canonical_url(F.coalesce(linked, first(lambda j: (j["tag"] == "a") & (low(j).isin(NEXT_TEXTS) | low(j, "rel").contains("next"))))["target"])
+    return long_rows(pages).withColumn("jumps", per_row(pagefacts.jumps, JUMP, F.col("html"), F.col("url"))).withColumn("next_url", target).drop("jumps")
 
 
 def extract_images(pages: DataFrame) -> DataFrame:
@@ -174,8 +225,10 @@ def extract_newsletter_ids(pages: DataFrame) -> DataFrame:
 
 
 def detect_paywall(pages: DataFrame) -> DataFrame:
-    """Pages behind a paywall, and whether their text is long enough to use."""
-    return extract_articles(pages).where("is_paywall").select("page_id", "url", "content_usable")
+    """Pages behind a paywall, and whether their text is long enough to use. Only pages that
+    have the name of a mark, or one that may hide behind a character reference, are parsed."""
+    names = [re.sub(r"^[.#]|^.*=\"|\"\]$", "", s) for s in pagefacts.PAYWALLS]
+    return extract_articles(pages.where(F.col("html").rlike("|".join(["&#", *names])))).where("is_paywall").select("page_id", "url", "content_usable")
 
 
 # Words of links that lead to tables.

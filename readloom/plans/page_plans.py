@@ -99,11 +99,37 @@ def _(spark, d):
     return extract.extract_articles(rows).select("page_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
 
 
+@plan("x8_forum_next_page", "SELECT conv_id, turn, CASE WHEN turn <= 2 THEN 'https://f.com/t/' || conv_id || '/page-' || (turn + CASE WHEN turn = 2 THEN 7 ELSE 1 END) END AS next_url FROM conversations")
+def _(spark, d):
+    """Pages of forum threads, one a turn, that go on by a link tag, by the next number and by
+    a jump link; later ones end."""
+    n, to = F.col("turn"), lambda k: F.concat(F.lit('href="/t/'), F.col("conv_id").cast("string"), F.lit("/page-"), (F.col("turn") + k).cast("string"), F.lit('"'))
+    last = F.concat(F.lit("<a "), to(9), F.lit(">Last</a>"))
+    goes = F.when(n == 0, F.concat(F.lit("<link rel='prefetch next' "), to(1), F.lit(">"))).when(n == 1, F.concat(F.lit("<a "), to(1), F.lit("> <b>2</b> </a>"))).when(n == 2, F.concat(F.lit("<a class='pageNav-jump pageNav-jump--next' "), to(7), F.lit(">on</a><a "), to(1), F.lit(">Next</a>"))).otherwise("")
+    url = F.concat(F.lit("https://f.com/t/"), F.col("conv_id").cast("string"), F.when(n > 0, F.concat(F.lit("/page-"), n.cast("string"))).otherwise(""))
+    made = table(spark, d, "conversations").select("conv_id", "turn", url.alias("url"), F.concat(last, goes).alias("html"))
+    return extract.extract_next_page(made, forum=True).select("conv_id", "turn", "next_url")
+
+
+@plan("x1_profile_articles", rf"""
+    SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Taken ' ELSE '' END || CASE WHEN page_id % 3 > 0 THEN 'Aside ' ELSE '' END || repeat('word ', 60) || 'end' || CASE WHEN page_id % 2 = 0 THEN '' ELSE ' ' || text END AS text FROM ({_body(1000)})""")
+def _(spark, d):
+    """A site profile's content selector takes its block, else the article; its removed
+    selectors go before that."""
+    words = F.concat(F.repeat(F.lit("word "), 60), F.lit("end"))
+    aside = F.lit("<p class='gone'>Aside</p>")
+    block = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<article><div id='own'><p>Taken</p>"), aside, F.lit("<p>"), words, F.lit("</p></div>"))).otherwise(F.concat(F.lit("<article>"), aside, F.lit("<p>"), words, F.lit("</p>")))
+    rows = pages(spark, d).withColumn("html", F.replace("html", F.lit("<article>"), block))
+    removed = F.when(F.col("page_id") % 3 == 0, F.array(F.lit("p.gone"))).otherwise(F.array().cast("array<string>"))
+    out = extract.extract_articles(rows.withColumn("profile", F.struct(F.lit("#own").alias("content_selector"), removed.alias("remove_selectors"))), "profile")
+    return out.select("page_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+
+
 @plan("x4_extract_author", "SELECT page_id, 'Writer ' || (page_id % 9) || CASE WHEN page_id % 2 = 0 THEN '' ELSE ' & Second' END AS author FROM pages")
 def _(spark, d):
     n = (F.col("page_id") % 9).cast("string")
     one = F.concat(F.lit('<meta name="author" content="admin"><a rel="author">By Writer '), n, F.lit("</a>"), F.when(F.col("page_id") % 2 == 1, '<a rel="author">Second</a>').otherwise(""))
-    return extract.extract_articles(with_html(spark, d, one)).select("page_id", "author")
+    return extract.extract_author(with_html(spark, d, one)).select("page_id", "author")
 
 
 @plan("x5_extract_published_date", "SELECT page_id, DATE '2024-01-01' + (page_id % 300)::INTEGER AS published_date FROM pages")
@@ -265,6 +291,23 @@ def _(spark, d):
     return out.select("doc_id", has("<nav").alias("nav"), has("is-menu").alias("menu"), has("is-social-bar").alias("bar"), has("is-plain").alias("cluster"), has("is-body").alias("body"))
 
 
+@plan("x19_chapter_titles", f"""
+    SELECT doc_id, doc_id % 3 = 2 AS subtitle, length({_WORDS}) NOT BETWEEN 1 AND 170 AS line, nullif({_WORDS}, '') AS caption, true AS own, false AS meta, false AS widget FROM documents""")
+def _(spark, d):
+    """Titles that repeat the chapter's, alone or with the site's name, or do not; lines of
+    author and day of up to 180 characters; captions, which stay whole; widgets."""
+    title = F.concat(F.lit("A report of document number "), F.col("doc_id").cast("string"))
+    second = F.get(F.array(title, F.concat(title, F.lit(" | Site")), F.concat(F.lit("More on "), title)), (F.col("doc_id") % 3).cast("int"))
+    html = F.concat(
+        F.lit("<body><h1>"), title, F.lit('</h1><div class="entry-meta">by me</div><h2>'), second, F.lit('</h2><p id="line">Posted on '), "words", F.lit('</p><figure><img src="/a.jpg"><figcaption style="x"> <b>'), "words",
+        F.lit('</b> </figcaption></figure><section id="widget"><p>Most read</p><p>Other</p></section><p>Share on Facebook Tweet</p><p>'), F.repeat(F.lit("body of the text "), 200), F.lit("</p></body>"),
+    )
+    out = clean.clean_chapters(_plain(spark, d).select("doc_id", title.alias("title"), html.alias("content_html")))
+    has = lambda x: F.col("content_html").contains(x)
+    caption = F.nullif(F.regexp_extract("content_html", '<figure><img src="/a.jpg"><p class="image-caption">([^<]*)</p></figure>', 1), F.lit(""))
+    return out.select("doc_id", has("<h2>").alias("subtitle"), has('id="line"').alias("line"), caption.alias("caption"), has("<h1>A report").alias("own"), (has("entry-meta") | has("Share")).alias("meta"), has("widget").alias("widget"))
+
+
 @plan("x20_summary_input", "SELECT doc_id // 10 AS book_id, left(string_agg(text, chr(10) ORDER BY doc_id), 25000) AS summary_text FROM documents GROUP BY 1")
 def _(spark, d):
     rows = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).alias("book_id"), F.col("doc_id").alias("chapter_idx"), "text")

@@ -42,11 +42,27 @@ def test_articles(spark):
     assert got[4].success and got[4].sitename == "ex.com"
 
 
-def test_authors():
-    assert pagefacts.author(parse('<meta name="author" content="admin"><p class="byline">By Jane Doe</p>')) == "Jane Doe"
-    assert pagefacts.author(parse('<meta name="author" content="Joe"><p class="byline">By Jane Doe</p>')) == "Joe"
-    assert pagefacts.author(parse('<a rel="author">A B</a><a rel="author">C D</a><a rel="author">a b</a>')) == "A B & C D"
-    assert pagefacts.author(parse("<p>x</p>")) is None
+def test_authors(spark):
+    df = pages(
+        spark, '<meta name="author" content="admin"><p class="byline">By Jane Doe</p>', '<meta name="author" content="Joe"><p class="byline">By Jane Doe</p>', '<a rel="author">A B</a><a rel="author">C D</a><a rel="author">a b</a>', "<p>x</p>", None,
+        '<a class="author-link" href="/tag/x">Tag</a><p class="byline">By Ann</p>', '<a class="author-link" href="/author/z">Zed</a><p class="byline">By Ann</p>', '<meta name="author" content="Staff"><p class="byline">About</p>',
+    )
+    want = ["Jane Doe", "Joe", "A B & C D", None, None, "Ann", "Zed", "Staff"]
+    assert [r.author for r in extract.extract_author(df).orderBy("page_id").collect()] == want
+    assert [r.author for r in extract.extract_articles(df).orderBy("page_id").collect()] == want
+
+
+def test_removal_of_widgets():
+    made = lambda html: pagefacts.strip_boilerplate(parse(html).find("article")).html()
+    # a heading takes the largest short block around it along, but not the article
+    assert made(f"<article><p>{LONG}</p><div><div><h3>Related stories</h3></div><ul><li>one</li></ul></div></article>") == f"<article><p>{LONG}</p></article>"
+    # a marked block that is long stays, unless what goes before it makes it short
+    long = LONG * 7
+    assert "Sentence" in made(f'<article><div class="share"><p>{long}</p></div></article>')
+    assert "Sentence" not in made(f'<article><div class="popular"><p>{LONG}</p><div class="share"><p>{LONG * 5}</p></div></div></article>')
+    # a note takes its box; labels go alone
+    assert made("<article><section><p>This audio was generated by x.</p></section><p>Play</p><p>body</p></article>") == "<article><p>body</p></article>"
+    assert made("<article>Advertisement</article>") == "<article>Advertisement</article>"
 
 
 def test_published_dates(spark):
@@ -72,6 +88,8 @@ def test_next_pages(spark):
     assert [r.next_url for r in extract.extract_next_page(df).orderBy("page_id").collect()] == ["https://ex.com/a", "https://ex.com/b", None]
     df = pages(spark, '<a href="/t/page-3">3</a>', '<a class="pageNav-jump--next" href="/t/page-9">n</a>', url="https://f.com/t/page-2")
     assert [r.next_url for r in extract.extract_next_page(df, forum=True).orderBy("page_id").collect()] == ["https://f.com/t/page-3", "https://f.com/t/page-9"]
+    last = lambda url: extract.extract_next_page(pages(spark, '<a href="/t/z">Next ></a>', None, url=url), forum=True).orderBy("page_id").collect()
+    assert [r.next_url for u in ("https://f.com/t/page-500", "https://f.com/t/page-501", "https://f.com/t/page-99999999999") for r in last(u)] == ["https://f.com/t/z", None, None, None, None, None]
 
 
 def test_images(spark):
@@ -132,6 +150,20 @@ def test_cleaning(spark):
     got = [r.content_html for r in clean.clean_chapters(df).collect()]
     assert "menu" not in got[0] and "Share" not in got[0] and "three long" not in got[0] and got[0].count("Title of this page") == 1 and got[0].count(LONG.strip()[:40]) >= 2 and "<span>" not in got[0]
     assert got[1] is None
+    tidy = lambda html, title=None: clean.cleaned(html, title)
+    body = f"<p>{LONG}</p>"
+    assert tidy(f'<section><h2>More on this story</h2><ul><li><a href="/a">Background timeline</a></li><li><a href="/b">What happens next</a></li><li><a href="/c">Analysis and reaction</a></li></ul></section>{body}') == body
+    assert tidy(f'<div data-testid="x-byline"><img src="h.jpg"></div><section><h3>Most read</h3><p>Other one</p></section><p>Share this Tweet Email</p>{body}') == f'<div data-testid="x-byline"></div>{body}'
+    assert tidy("<p>Share this with your friends, said the man.</p>") == "<p>Share this with your friends, said the man.</p>"
+    contextual = f'<ul><li><a href="/a">Texas</a> {LONG}</li><li><a href="/b">Chicago</a> {LONG}</li><li><a href="/c">Spokane</a> {LONG}</li></ul>'
+    assert tidy(contextual) == contextual
+    title = "A title of some length"
+    assert tidy(f'<body><h1>{title}</h1><div class="post-meta">Own</div><article><header class="entry-header"><h1>{title} - Site</h1><p class="byline">By X</p><img src="a"></header>{body}</article><p>Publié le 3 mai</p></body>', title) == f'<body><h1>{title}</h1><div class="post-meta">Own</div><article><header class="entry-header"><img src="a"></header>{body}</article></body>'
+    assert tidy(f'<article><header><h2>{title}</h2><p>By X</p></header>{body}</article>', title) == f"<article>{body}</article>"
+    assert tidy(f"<p>Posted by X</p>{body}") == f"<p>Posted by X</p>{body}"
+    shot = '<figure><img src="a" alt="IMG_1"><figcaption class="wp-caption-text big" style="s">Dusk <i>here</i></figcaption><p>Dusk here</p></figure><p class="caption"> </p><div class="upper-caption caption" align="x">Up</div>'
+    assert tidy(shot) == '<figure><img alt="IMG_1" src="a"><p class="image-caption big">Dusk here</p></figure><div class="upper-caption">Up</div>'
+    assert clean.without_images(tidy(shot)).startswith("<p>Dusk here</p>")
     figs = spark.createDataFrame([('<figure><img src="a.jpg" alt="A red barn"><figcaption>Barn at dusk</figcaption></figure><img src="b" alt="IMG_1234"><p><a><img src=c alt="Map of town"></a></p>',)], "content_html string")
     out = clean.text_only(figs).first().content_html
     assert "Barn at dusk" in out and "[Image: A red barn]" in out and "[Image: Map of town]" in out and "1234" not in out and "<img" not in out
