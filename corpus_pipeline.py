@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm import util
-from readloom.llm.bpe import bpe_decode, bpe_encode
+from readloom.llm.bpe import bpe_round_trip
 from readloom.llm.exact_dedup import exact_dedup
 from readloom.llm.mixing import mix_sources
 from readloom.llm.ngram_join import one_of_each
@@ -49,11 +49,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether they decode to the text; a null text is an empty one."""
-    coded = bpe_decode(bpe_encode(docs, ranks_path()), ranks_path())
-    return coded.select(
-        "doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
-        (F.col("decoded") == F.encode(util.text_or_empty(F.col("text")), "utf-8")).alias("round_trip"),
-    )
+    coded = bpe_round_trip(docs.drop("round_trip", "token_ids"), ranks_path())
+    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing sources to target weights", mix), ("byte-level BPE encoding and decoding", encode)]

@@ -293,6 +293,32 @@ def bpe_decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", text_
     return df.withColumn(made, decoded(F.col(f"`{ids_col}`"))).withColumns({text_col: F.col(f"{made}.bytes"), f"{text_col}_offsets": F.col(f"{made}.offsets")}).drop(made)
 
 
+def bpe_round_trip(df: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str = "token_ids", same_col: str = "round_trip") -> DataFrame:
+    """df with the token ids of each text and whether they decode to its bytes. The ids are
+    made and decoded in one pass, in one worker a task, and the decoded bytes stay there. A
+    null text is an empty one, without ids. Columns with these names are replaced."""
+    util.small_batches(df.sparkSession)
+    lines = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())])
+
+    @F.arrow_udf(kind)
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                vocab = vocabulary(lines.value)
+                data, offsets = util.utf8(texts)
+                made, same = [], []
+                for i, ids in enumerate(encode_batch(data, offsets, vocab)):
+                    made.append(np.array(ids, np.int32))
+                    same.append(decode(ids, vocab)[0] == data[offsets[i] : offsets[i + 1]].tobytes())
+                yield pa.StructArray.from_arrays([pa.array(made, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["ids", "same"])
+        finally:
+            forgotten()
+
+    (made,) = util.free_name(df, "made")
+    return df.withColumn(made, coded(F.col(f"`{text_col}`"))).withColumns({ids_col: F.col(f"{made}.ids"), same_col: F.col(f"{made}.same")}).drop(made)
+
+
 def bpe_digest(df: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
     """df with n_tokens, ids_sha256 and decoded_sha256, for checks and inventories:
     the ids are made and decoded in one pass and only their digests are returned."""

@@ -7,6 +7,7 @@ import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from readloom.llm import bpe, query_bpe, util
 
@@ -45,6 +46,9 @@ def test_round_trip_and_offsets(spark):
         assert bytes(r.decoded) == (r.text or "").encode()
         assert r.decoded_offsets[-1] == len(r.decoded) and len(r.decoded_offsets) == len(r.token_ids) + 1
         assert r.made == 1
+    both = bpe.bpe_round_trip(df.withColumn("token_ids", F.lit(1)), PATH).collect()
+    assert [(r.doc_id, r.text, r.made, r.token_ids) for r in both] == [(r.doc_id, r.text, r.made, r.token_ids) for r in out] and all(r.round_trip for r in both)
+    assert bpe.bpe_round_trip(df.limit(0), PATH).count() == 0
 
 
 def test_query_equals_brute_force(spark):
