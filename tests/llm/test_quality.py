@@ -50,3 +50,46 @@ def test_edge_rows(spark):
 def test_query_keeps_every_document_once(spark):
     sf = "/root/testdata/sf0.001"
     assert query_quality.op9_quality_classifier(spark, sf).count() == util.read(spark, sf, "documents").count()
+
+
+def test_query_equals_a_plain_recomputation(spark):
+    """EM and scorer redone document by document, without patterns, sparse arrays or Spark:
+    rates by sums over all documents, a dense matrix of features for the regression."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in util.read(spark, sf, "documents").collect()}
+    ids = sorted(texts)
+    own = [util.utf8(pa.array([texts[i]], pa.string())) for i in ids]
+    say = [[int(quality.votes(*quality.statistics(*x)[:2])[0]) // 3**j % 3 for j in range(len(quality.LABELLERS))] for x in own]
+    n, k = len(ids), len(quality.LABELLERS)
+    bad = [[0.5] * k, [0.16] * k]
+    pooled = [(sum(v[j] == 1 for v in say) + 1) / (sum(v[j] != 2 for v in say) + 2) for j in range(k)]
+    prior, good = 0.7, []
+    for _ in range(200):
+        good = []
+        for v in say:
+            odds = [1 - prior, prior]
+            for c in (0, 1):
+                for j in range(k):
+                    odds[c] *= bad[c][j] if v[j] == 2 else (1 - bad[c][j]) * (pooled[j] if v[j] == 1 else 1 - pooled[j])
+            good.append(odds[1] / sum(odds))
+        for c in (0, 1):
+            mass = [p if c else 1 - p for p in good]
+            bad[c] = [min(max(sum(m for m, v in zip(mass, say, strict=True) if v[j] == 2) / sum(mass), 1e-3), 0.5) for j in range(k)]
+        prior = min(max(sum(good) / n, 0.01), 0.99)
+    dense = np.zeros((n, quality.DIMENSIONS))
+    for i, x in enumerate(own):
+        _, dims, values = quality.hashed(*quality.statistics(*x), quality.pairs(*x))
+        np.add.at(dense[i], dims, values)
+    # equal texts count once in the fit, which takes all rows of a table this small
+    once = list({texts[i]: at for at, i in enumerate(ids)}.values())
+    w, g2, target = np.zeros(quality.DIMENSIONS + 1), np.full(quality.DIMENSIONS + 1, 1e-8), np.array(good)[once]
+    for _ in range(300):
+        error = 1 / (1 + np.exp(-(dense[once] @ w[:-1] + w[-1]))) - target
+        g = np.append(dense[once].T @ error, error.sum()) / len(once)
+        g[:-1] += 1e-4 * w[:-1]
+        g2 += g * g
+        w -= 0.2 * g / np.sqrt(g2)
+    want = dict(zip(ids, 1 / (1 + np.exp(-(dense @ w[:-1] + w[-1]))), strict=True))
+    out = query_quality.op9_quality_classifier(spark, sf).collect()
+    assert max(abs(r.score - want[r.doc_id]) for r in out) < 1e-3
+    assert all(r.kept == (r.score >= quality.THRESHOLD) for r in out)
