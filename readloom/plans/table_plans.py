@@ -92,6 +92,32 @@ def _(spark, d):
     return threads.flatten_comments(payloads, "youtube").select("thread_id", "id", "parent_id", "author")
 
 
+@plan("c1_nested_comments", """
+    SELECT site, conv_id AS thread_id, turn::VARCHAR AS id, CASE WHEN turn % 4 > 0 THEN (turn - 1)::VARCHAR END AS parent_id, CASE WHEN turn % 4 > 0 THEN 0 ELSE turn // 4 END::INTEGER AS pos,
+           CASE WHEN site = 'reddit' THEN 'u/' ELSE '' END || role AS author, text FROM conversations, (VALUES ('reddit'), ('substack')) AS s(site)""")
+def _(spark, d):
+    """Turns in fours, each the reply to the one before it, in the nesting of two sites."""
+
+    def nested(site, opened, between, closed):
+        said = table(spark, d, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 4).alias("four"), opened.alias("opened"))
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "opened"))), lambda x: x["opened"])
+        four = F.concat(F.array_join(parts, between), F.array_join(F.transform(parts, lambda _: F.lit(closed[1])), closed[0]))
+        fours = said.groupBy("conv_id", "four").agg(four.alias("c"))
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("four", "c"))), lambda x: x["c"]), ",")
+        return fours.groupBy(F.col("conv_id").alias("thread_id")).agg(whole.alias("payload")).select(F.lit(site).alias("site"), "thread_id", "payload")
+
+    def begun(**fields):
+        return F.regexp_replace(F.to_json(F.struct(*[F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in fields.items()])), r"\}$", "")
+
+    name = F.col("turn").cast("string")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    listing = '{"data":{"children":['
+    reddit = nested("reddit", F.concat(F.lit('{"kind":"t1","data":'), begun(id=name, author="role", body_html=escaped)), ',"replies":' + listing, ("]}}", "}}")).withColumn("payload", F.concat(F.lit(listing), "payload", F.lit("]}}")))
+    substack = nested("substack", begun(id=name, name="role", body="text"), ',"children":[', ("]", "}")).withColumn("payload", F.concat(F.lit('{"comments":['), "payload", F.lit("]}")))
+    both = [threads.flatten_comments(x, site).withColumn("site", F.lit(site)) for x, site in ((reddit, "reddit"), (substack, "substack"))]
+    return both[0].unionByName(both[1]).select("site", "thread_id", "id", "parent_id", "pos", "author", "text")
+
+
 @plan("c2_build_comment_forest", _TREE.replace("{live}", "c.turn <> 1") + "SELECT conv_id AS thread_id, turn AS id, parent::VARCHAR AS parent_id, depth::INTEGER AS depth FROM t")
 def _(spark, d):
     items = _items(spark, d, dead=True)
