@@ -174,3 +174,9 @@ def test_empty_pages(spark):
     for job in (extract.extract_articles, extract.extract_post_links, extract.extract_images, extract.extract_published_date, extract.extract_next_page):
         assert job(df).count() == 0
     assert F is not None
+
+
+def test_references_without_semicolons_are_text():
+    root = parse('<title>and&amp;&amp</title><p title="x&amp;y&amp">b &lt;&quot;&eacute;&copy &ampfoo; &#65;</p><script>if (a &&b &amp) x</script><!--&amp-->')
+    assert root.find("title").text() == "and&&amp" and root.find("p").attrs["title"] == "x&y&amp" and root.find("p").text() == 'b <"é&copy &ampfoo; A'
+    assert root.find("script").children[0].data == "if (a &&b &amp) x" and "<!--&amp-->" in root.html()
