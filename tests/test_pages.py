@@ -180,3 +180,11 @@ def test_references_without_semicolons_are_text():
     root = parse('<title>and&amp;&amp</title><p title="x&amp;y&amp">b &lt;&quot;&eacute;&copy &ampfoo; &#65;</p><script>if (a &&b &amp) x</script><!--&amp-->')
     assert root.find("title").text() == "and&&amp" and root.find("p").attrs["title"] == "x&y&amp" and root.find("p").text() == 'b <"é&copy &ampfoo; A'
     assert root.find("script").children[0].data == "if (a &&b &amp) x" and "<!--&amp-->" in root.html()
+
+
+def test_short_articles_give_their_body(spark):
+    """An article of 200 characters is refused, also where it is longer with blanks between
+    its pieces; one of 201 is taken, a blank at the end of a piece being one of them."""
+    made = lambda n: f'<body><div class="ad">Ad</div><article><h1>One </h1><p>{"a" * (n - 14)}</p>\n <p>x</p><p>y</p><p>z</p><p>end</p><p>last</p></article></body>'
+    got = [r.text for r in extract.extract_articles(pages(spark, made(200), made(201))).orderBy("page_id").collect()]
+    assert got[0].startswith("Ad One aaa") and got[1].startswith("One aaa")
