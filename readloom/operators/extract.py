@@ -277,12 +277,13 @@ def summary_input(chapters: DataFrame, most: int = 25_000) -> DataFrame:
     characters. Null texts are no chapters; a book without any has an empty summary.
 
     Where each chapter begins is a running length over ids and lengths alone; only chapters
-    that begin before the cut are fetched, and no more of a text than the cut, so a group
-    holds about `most` characters whatever the size of its book."""
+    that begin by the cut are fetched (one right at it leaves its line's end), and no more of
+    a text than the cut, so a group holds about `most` characters whatever the size of its
+    book."""
     own = chapters.select("book_id", "chapter_idx", "text", F.xxhash64("text").alias("mark"))
     sizes = own.where("text IS NOT NULL").groupBy("book_id", "chapter_idx", "mark").agg((F.count(F.lit(1)) * (F.max(F.length("text")) + 1)).alias("size"))
     before = Window.partitionBy("book_id").orderBy("chapter_idx", "mark").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.withColumn("begins", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("begins") < most)
+    placed = sizes.withColumn("begins", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("begins") <= most)
     kept = placed.select(F.col("book_id").alias("of_book"), F.col("chapter_idx").alias("of_chapter"), F.col("mark").alias("of_mark"), "begins")
     same = own["book_id"].eqNullSafe(kept["of_book"]) & own["chapter_idx"].eqNullSafe(kept["of_chapter"]) & (own["mark"] == kept["of_mark"])
     cut = own.where("text IS NOT NULL").join(kept, same).select("book_id", "begins", F.substring("text", F.lit(1), (F.lit(most) - F.col("begins")).cast("int")).alias("text"))

@@ -188,3 +188,9 @@ def test_short_articles_give_their_body(spark):
     made = lambda n: f'<body><div class="ad">Ad</div><article><h1>One </h1><p>{"a" * (n - 14)}</p>\n <p>x</p><p>y</p><p>z</p><p>end</p><p>last</p></article></body>'
     got = [r.text for r in extract.extract_articles(pages(spark, made(200), made(201))).orderBy("page_id").collect()]
     assert got[0].startswith("Ad One aaa") and got[1].startswith("One aaa")
+
+
+def test_summaries_cut_after_a_line_end(spark):
+    """A chapter that begins right at the cut leaves the line end before it."""
+    ch = spark.createDataFrame([(1, 0, "a" * 9), (1, 1, "b" * 9), (2, 0, "a" * 9), (3, 0, "a" * 10), (3, 1, "b")], "book_id int, chapter_idx int, text string")
+    assert rows(extract.summary_input(ch, 10), "book_id") == [(1, "a" * 9 + "\n"), (2, "a" * 9), (3, "a" * 10)]
