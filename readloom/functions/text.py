@@ -47,20 +47,23 @@ def page_spec(spec: Column) -> Column:
     return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(F.filter(found, lambda x: x > 0))))
 
 
-def normalized_title(text: Column) -> Column:
+#: Quotation marks that titles are compared without.
+QUOTES = "“”\"'‘’"
+
+
+def normalized_title(text: Column, quotes: str = QUOTES) -> Column:
     """Lower case, without quotation marks, blanks collapsed."""
-    bare = F.regexp_replace(F.lower(compact_text(text)), "[“”\"'‘’]", "")
-    return compact_text(bare)
+    return compact_text(F.translate(F.lower(compact_text(text)), quotes, ""))
 
 
 # What may follow a title in a longer one.
 TITLE_SEPARATORS = [" | ", " - ", " – ", " — ", ": "]
 
 
-def titles_equivalent(a: Column, b: Column) -> Column:
+def titles_equivalent(a: Column, b: Column, quotes: str = QUOTES) -> Column:
     """Equal when normalised, or both of 20 or more characters and one begins with the
     other and a separator."""
-    x, y = normalized_title(a), normalized_title(b)
+    x, y = normalized_title(a, quotes), normalized_title(b, quotes)
     longer = F.lit(False)
     for s in TITLE_SEPARATORS:
         longer = longer | y.startswith(F.concat(x, F.lit(s))) | x.startswith(F.concat(y, F.lit(s)))

@@ -40,3 +40,11 @@ def test_results_equal_the_oracle(spark, name):
     columns = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLES[name]})").fetchall()
     assert plain(tuple(r) for r in got.select(columns).collect()) == plain(want)
+
+
+def test_titles_keep_double_quotes_where_apostrophes_alone_go(spark, tmp_path):
+    spark.createDataFrame([(1, 'it\'s a  token = "Ab12" of “some” length.\nmore'), (2, "It's")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.title, r.same) for r in catalog.QUERIES["u13_titles"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == {i: (t, s) for i, t, s in con.execute(catalog.ORACLES["u13_titles"]).fetchall()} == {1: ('its a token = "ab12" of “some” length', True), 2: ("its", False)}
