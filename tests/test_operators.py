@@ -414,3 +414,12 @@ def test_merged_stories_keep_all_comments(spark):
     toc = [(r.story_id, r.label, r.filename, [tuple(c) for c in r.children]) for r in threads.linked_toc(merged).orderBy("story_id", "place").collect()]
     source, story = ("Source comments", "linked_c.xhtml"), ("Story comments", "story_comments.xhtml")
     assert toc == [(1, "Article", "linked_a.xhtml", [source, story]), (2, "Article", "article.xhtml", []), (3, *source, []), (3, *story, [])]
+
+
+def test_a_folder_of_bundles_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(64).selectExpr("id % 16 AS bundle_id", "id AS spine", "id AS asset_no", "CAST(id AS string) AS filename")
+    with parts_of(spark, 4):
+        sinks.write_bundle(rows, rows, rows, str(tmp_path), parts=1)
+    files = sorted((tmp_path / "chapters" / "part=0").glob("*.parquet"))
+    held = [{r.bundle_id for r in spark.read.parquet(str(f)).select("bundle_id").distinct().collect()} for f in files]
+    assert len(files) > 1 and sum(map(len, held)) == 16 and len(set().union(*held)) == 16
