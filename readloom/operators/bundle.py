@@ -55,10 +55,13 @@ def toc_entries(chapters: DataFrame) -> DataFrame:
 def apply_saved_at(books: DataFrame, chapters: DataFrame) -> DataFrame:
     """chapters where each book's saved_at has gone to its first article chapter without one
     (null or empty); in a book without articles, to its first chapter without one."""
-    book = Window.partitionBy("bundle_id", "book_idx")
+    # one order for all windows, so that a task sorts its rows once
+    book = Window.partitionBy("bundle_id", "book_idx").orderBy("chapter_idx")
     article = F.coalesce("is_article", F.lit(False))
-    able = (F.coalesce("saved_at", F.lit("")) == "") & (article | ~F.max(article).over(book))
-    first = chapters.withColumn("able", able).withColumn("takes", F.col("able") & (F.row_number().over(book.orderBy(F.desc("able"), "chapter_idx")) == 1))
+    whole = book.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    able = (F.coalesce("saved_at", F.lit("")) == "") & (article | ~F.max(article).over(whole))
+    earlier = F.coalesce(F.max("able").over(book.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    first = chapters.withColumn("able", able).withColumn("takes", F.col("able") & ~earlier)
     own = books.select("bundle_id", "book_idx", F.col("saved_at").alias("book_saved_at"))
     given = first.join(own, ["bundle_id", "book_idx"], "left")
     return given.withColumn("saved_at", F.when(F.col("takes"), F.coalesce("book_saved_at", "saved_at")).otherwise(F.col("saved_at"))).drop("able", "takes", "book_saved_at")

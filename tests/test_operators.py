@@ -423,3 +423,14 @@ def test_a_folder_of_bundles_is_written_by_many_tasks(spark, tmp_path):
     files = sorted((tmp_path / "chapters" / "part=0").glob("*.parquet"))
     held = [{r.bundle_id for r in spark.read.parquet(str(f)).select("bundle_id").distinct().collect()} for f in files]
     assert len(files) > 1 and sum(map(len, held)) == 16 and len(set().union(*held)) == 16
+
+
+def test_saved_times_sort_chapters_once(spark):
+    with parts_of(spark, 4):
+        chapters = spark.range(8).selectExpr("0 AS bundle_id", "id % 2 AS book_idx", "id AS chapter_idx", "id % 3 = 1 AS is_article", "CAST(NULL AS string) AS saved_at")
+        books = spark.range(2).selectExpr("0 AS bundle_id", "id AS book_idx", "'t' AS saved_at")
+        out = bundle.apply_saved_at(books, chapters)
+        assert {(r.book_idx, r.chapter_idx) for r in out.where("saved_at = 't'").collect()} == {(0, 4), (1, 1)}
+        assert out._jdf.queryExecution().sparkPlan().toString().count("Window [") >= 1
+        sorted_by = [line for line in out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines() if "Sort [" in line and "chapter_idx" in line.split("Sort [")[1].split("]")[0]]
+        assert len(sorted_by) == 1 and not any("able" in line.split("Sort [")[1].split("]")[0] for line in sorted_by)
