@@ -23,6 +23,11 @@ def part(url: Column, which: str) -> Column:
     return F.regexp_replace(found, r";[^/]*$", "") if which == "path" else found
 
 
+def until_query(url: Column) -> Column:
+    """A url before its first ? or #."""
+    return F.substring_index(F.substring_index(url, "?", 1), "#", 1)
+
+
 def host(url: Column) -> Column:
     """Lower-case host without user and port."""
     bare = F.regexp_replace(part(url, "netloc"), r"^.*@", "")
@@ -59,9 +64,8 @@ def url_match_key(url: Column) -> Column:
     keyed = text.rlike(rf"[?&](?:{'|'.join(EMBEDDED_KEYS)})=")
     turns = F.when(keyed, F.sequence(F.lit(1), F.regexp_count(text, F.lit("=|3[dD]")))).otherwise(F.array().cast("array<int>"))
     inner = F.aggregate(turns, text, inside)
-    bare = F.regexp_replace(F.regexp_replace(inner, "https://", ""), "http://", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^www\.", ""), r"(?s)[?#].*$", "")
-    return F.lower(F.regexp_replace(bare, "/+$", ""))
+    bare = F.replace(F.replace(inner, F.lit("https://"), F.lit("")), F.lit("http://"), F.lit(""))
+    return F.lower(F.regexp_replace(until_query(F.regexp_replace(bare, r"^www\.", "")), "/+$", ""))
 
 
 # Hosts whose /doc pages are told apart by query keys, and those keys.

@@ -267,22 +267,24 @@ def check_image_budget(assets: DataFrame, preset: str = "balanced", max_images:
     return image_stats(assets).withColumns({"over_images": over("images", images), "over_bytes": over("bytes", size)}).withColumn("over", F.col("over_images") | F.col("over_bytes"))
 
 
+def reference_keys(url: Column) -> Column:
+    """What an image and its asset may share: the match key, or the raw url where that is
+    empty (equal urls have equal match keys), and a base name that says something."""
+    name = F.substring_index(urls.until_query(url), "/", -1)
+    plain = F.regexp_replace(F.lower(F.regexp_replace(name, r"\.[^.]*$", "")), "[^a-z0-9]+", "")
+    good = (F.length(name) > 8) & ~plain.rlike(f"^(?:{'|'.join(text.GENERIC_BASENAMES)}|[0-9]*)$")
+    match = urls.bound(urls.url_match_key(url), lambda k: F.when(k == "", F.concat(F.lit("raw "), url)).otherwise(F.concat(F.lit("key "), k)))
+    return F.array_compact(F.array(match, F.when(good, F.concat(F.lit("name "), F.lower(name)))))
+
+
 def match_assets(images: DataFrame, assets: DataFrame) -> DataFrame:
     """images (book_id, image_idx, url) with the first asset (asset_idx, filename) of the
     book that has the same raw url, the same match key, or the same base name of over 8
     characters that is not generic; null if none."""
-
-    def keys(url: Column) -> Column:
-        name = F.regexp_extract(F.regexp_replace(url, r"(?s)[?#].*$", ""), r"([^/]*)$", 1)
-        plain = F.regexp_replace(F.lower(F.regexp_replace(name, r"\.[^.]*$", "")), "[^a-z0-9]+", "")
-        good = (F.length(name) > 8) & ~plain.isin(text.GENERIC_BASENAMES) & ~plain.rlike("^[0-9]*$")
-        found = F.array(F.concat(F.lit("raw "), url), F.concat(F.lit("key "), urls.url_match_key(url)), F.when(good, F.concat(F.lit("name "), F.lower(name))))
-        return F.filter(found, lambda k: k.isNotNull() & (k != "key "))
-
     every = F.filter(F.concat(F.array("original_url"), F.coalesce("alt_urls", F.array().cast("array<string>"))), lambda u: F.coalesce(u, F.lit("")) != "")
-    have = assets.select("book_id", "asset_idx", "filename", F.explode(F.array_distinct(F.flatten(F.transform(every, keys)))).alias("key"))
+    have = assets.select("book_id", "asset_idx", "filename", F.explode(F.array_distinct(F.flatten(F.transform(every, reference_keys)))).alias("key"))
     first = have.groupBy("book_id", "key").agg(F.min(F.struct("asset_idx", "filename")).alias("asset"))
-    hit = images.select("book_id", "image_idx", F.explode(keys(F.col("url"))).alias("key")).join(first, ["book_id", "key"])
+    hit = images.select("book_id", "image_idx", F.explode(reference_keys(F.col("url"))).alias("key")).join(first, ["book_id", "key"])
     best = hit.groupBy("book_id", "image_idx").agg(F.min("asset").alias("asset"))
     return images.join(best, ["book_id", "image_idx"], "left").withColumns({"asset_idx": F.col("asset.asset_idx"), "filename": F.col("asset.filename")}).drop("asset")
 

@@ -434,3 +434,12 @@ def test_saved_times_sort_chapters_once(spark):
         assert out._jdf.queryExecution().sparkPlan().toString().count("Window [") >= 1
         sorted_by = [line for line in out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines() if "Sort [" in line and "chapter_idx" in line.split("Sort [")[1].split("]")[0]]
         assert len(sorted_by) == 1 and not any("able" in line.split("Sort [")[1].split("]")[0] for line in sorted_by)
+
+
+def test_a_url_is_asked_for_by_two_keys_at_most(spark):
+    """The raw url is a key of its own only where the match key is empty."""
+    rows = ["http://www.Ex.com/a/Picture-1.JPG?w=1#b", "https://ex.com/img.jpg", "https://", "", None, "a/b/\n", "https://ex.com/12345678.png", "?x=/long-name.jpg", "http://e.com/p?url=https%3A%2F%2Fo.org%2Fsome-name.gif"]
+    out = spark.createDataFrame(list(enumerate(rows)), "i int, u string").select("i", assets.reference_keys(F.col("u")).alias("k")).orderBy("i").collect()
+    assert [r.k for r in out] == [
+        ["key ex.com/a/picture-1.jpg", "name picture-1.jpg"], ["key ex.com/img.jpg"], ["raw https://"], ["raw "], [], ["key a/b\n"], ["key ex.com/12345678.png"], ["raw ?x=/long-name.jpg"], ["key o.org/some-name.gif"],
+    ]
