@@ -443,3 +443,25 @@ def test_a_url_is_asked_for_by_two_keys_at_most(spark):
     assert [r.k for r in out] == [
         ["key ex.com/a/picture-1.jpg", "name picture-1.jpg"], ["key ex.com/img.jpg"], ["raw https://"], ["raw "], [], ["key a/b\n"], ["key ex.com/12345678.png"], ["raw ?x=/long-name.jpg"], ["key o.org/some-name.gif"],
     ]
+
+
+def test_stages_that_share_a_bucket_are_paired_apart(spark, tmp_path):
+    """With few buckets the state has as many rows, whatever the stages."""
+    from readloom.streaming import streams
+
+    hour = lambda n: datetime.datetime(2025, 1, 1 + n // 24, n % 24)
+    first = [(f"j{i}", 1, hour(1), "stage_start", None if i % 2 else "a") for i in range(40)]
+    second = [(f"j{i}", 2, hour(2), "stage_start" if i % 3 else "stage_done", None if i % 2 else "a") for i in range(20)] + [("k", 0, None, "stage_done", "a"), ("k", 1, hour(2), "stage_done", "a")]
+    third = [("late", 3, hour(60), "stage_start", "a")]
+    # in the batch after the watermark has passed the starts, their bucket gets another event
+    for n, part in enumerate([first, second, third, [("more", 4, hour(61), "stage_start", "a")]]):
+        spark.createDataFrame(part, STAGE).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    feed = spark.readStream.schema(STAGE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    query = streams.stream_stage_durations(feed, late="1 hour", longest="20 hours", buckets=3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((r.job_id, r.stage or "", r.state, r.started_at.hour, r.duration_ms) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    name = lambda i: (f"j{i}", "" if i % 2 else "a")
+    want = [(*name(i), "restarted" if i % 3 else "closed", 1, None if i % 3 else 3_600_000) for i in range(20)]
+    want += [(*name(i), "open", 2, None) for i in range(20) if i % 3] + [(*name(i), "open", 1, None) for i in range(20, 40)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3
