@@ -9,8 +9,9 @@ after each, a vector's score is at most what it has so far plus the query's leng
 vector's rest. Once few pairs can still reach their query's k-th best score, these, and only
 these, are scored exactly from the whole vectors; until that is proved the next level follows.
 
-Every block of queries must meet every tile. Tiles are dealt into groups, each block goes to
-every group once, and an ordinary join by group pairs them; nothing passes through the driver.
+Every block of queries must meet every tile. Tiles are dealt into groups of a few, and each
+block goes to every group once. A task reads its group's tiles, then passes the blocks along
+them one by one; nothing passes through the driver.
 """
 
 from collections.abc import Iterator
@@ -28,8 +29,8 @@ from . import util
 #: Vectors of a tile and queries of a block.
 TILE = 2048
 BLOCK = 256
-#: Blocks whose best rows a task keeps while it sees more tiles.
-KEPT = 256
+#: Tiles of a group, on average: a task holds them all, some 2 MB each.
+HELD = 4
 #: Pairs are scored exactly once they are at most this share of all.
 FEW = 1 / 32
 NONE = np.iinfo(np.int64).min
@@ -41,7 +42,7 @@ _TILES = T.StructType(
         T.StructField("asked", T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("floor", T.LongType()), T.StructField("vector", T.BinaryType())]))),
     ]
 )
-_BLOCKS = T.StructType([T.StructField("block", T.LongType()), T.StructField("dim", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("q_ids", "q_floors", "q_vectors")]])
+_BLOCKS = T.StructType([T.StructField("dim", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("ids", "vectors", "floors")]])
 _HITS = T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "vec_id", "score")])
 
 
@@ -160,15 +161,12 @@ _ASKED = pa.list_(pa.struct([("id", pa.int64()), ("floor", pa.int64()), ("vector
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of a partition's queries (dim, id, floor, vector)."""
-    part, count = TaskContext.get().partitionId(), 0
     held: dict[int, list[dict]] = {}
 
     def packed(dim: int) -> pa.RecordBatch:
-        nonlocal count
-        count += 1
         rows = held.pop(dim)
-        cells = [np.array([r["id"] for r in rows]).tobytes(), np.array([r["floor"] for r in rows]).tobytes(), b"".join(r["vector"] for r in rows)]
-        return pa.record_batch([pa.array([part << 32 | count], pa.int64()), pa.array([dim], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], _BLOCKS.names)
+        cells = [np.array([r["id"] for r in rows]).tobytes(), b"".join(r["vector"] for r in rows), np.array([r["floor"] for r in rows]).tobytes()]
+        return pa.record_batch([pa.array([dim], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], _BLOCKS.names)
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -180,29 +178,27 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _paired(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The best pairs of each block over the tiles that this task meets it with."""
-    kept: dict[int, Best] = {}
-
-    def told(best: Best) -> pa.RecordBatch:
-        query, ids, scores = best.pairs
-        return pa.record_batch([pa.array(best.ids[query]), pa.array(ids), pa.array(scores)], _HITS.names)
+    """The best pairs of each block over the tiles of its group; these come first."""
+    group, tiles = None, []
 
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            ids, dim = np.frombuffer(row["ids"], np.int64), row["dim"]
-            if (best := kept.pop(row["block"], None)) is None:
-                q_ids = np.frombuffer(row["q_ids"], np.int64)
-                best = Best(q_ids, np.frombuffer(row["q_vectors"], np.int64).reshape(len(q_ids), dim), np.frombuffer(row["q_floors"], np.int64), k)
-            kept[row["block"]] = best  # the latest is last
-            segments = np.frombuffer(row["segments"], np.int64).reshape(-1, 3)
-            levels = int(segments[-1, 0]) + 1 if len(segments) else 0
-            docs = np.frombuffer(row["docs"], np.uint16 if len(ids) <= 1 << 16 else np.uint32)
-            searched(best, ids, np.frombuffer(row["vectors"], np.int64).reshape(len(ids), dim), docs, segments, np.frombuffer(row["rests"]).reshape(levels, len(ids)))
-            if len(kept) > KEPT:
-                yield told(kept.pop(next(iter(kept))))
-    for best in kept.values():
-        yield told(best)
+            if group != (row["group"], row["dim"]):
+                group, tiles = (row["group"], row["dim"]), []
+            ids = np.frombuffer(row["ids"], np.int64)
+            x = np.frombuffer(row["vectors"], np.int64).reshape(len(ids), row["dim"])
+            if row["floors"] is None:
+                segments = np.frombuffer(row["segments"], np.int64).reshape(-1, 3)
+                levels = int(segments[-1, 0]) + 1 if len(segments) else 0
+                docs = np.frombuffer(row["docs"], np.uint16 if len(ids) <= 1 << 16 else np.uint32)
+                tiles.append((ids, x, docs, segments, np.frombuffer(row["rests"]).reshape(levels, len(ids))))
+                continue
+            best = Best(ids, x, np.frombuffer(row["floors"], np.int64), k)
+            for tile in tiles:
+                searched(best, *tile)
+            query, found, scores = best.pairs
+            yield pa.record_batch([pa.array(best.ids[query]), pa.array(found), pa.array(scores)], _HITS.names)
 
 
 def whole(vector: Column, scale: int) -> Column:
@@ -227,16 +223,19 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     empty table gives an empty result; extra columns take no part.
     """
     spark = df.sparkSession
+    util.small_batches(spark)  # a tile or a block is a row of its own
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), whole(F.col(f"`{vector_col}`"), scale).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & F.col("x").isNotNull()).groupBy("id", "x").agg(F.max("asks").alias("asks"))
     tiles = util.stored(rows.mapInArrow(lambda batches: _cut(batches, k), _TILES))
     asked = tiles.select("dim", F.explode("asked").alias("q")).select("dim", "q.id", "q.floor", "q.vector")
     n = asked.count()
     blocks = util.stored(asked.repartition(max(1, -(-n // BLOCK))).mapInArrow(_blocked, _BLOCKS))
-    groups = max(1, min(tiles.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    left = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(groups, "group")
-    right = tiles.drop("asked").withColumn("group", F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int")).drop("tile").repartition(groups, "group")
-    hits = left.join(right, ["group", "dim"]).drop("group").mapInArrow(lambda batches: _paired(batches, k), _HITS)
+    some = tiles.count()
+    groups = max(1, -(-some // HELD), min(some, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    left = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = tiles.drop("asked").withColumn("group", F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int")).drop("tile")
+    dealt = right.unionByName(left, allowMissingColumns=True).repartitionById(groups, "group")
+    hits = dealt.sortWithinPartitions("group", "dim", F.col("floors").isNotNull()).mapInArrow(lambda batches: _paired(batches, k), _HITS)
     best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -47,6 +47,26 @@ def test_many_tiles_and_blocks(spark):
         assert sorted(got[q]) == [(r + 1, int(j), int(s[j])) for r, j in enumerate(order)]
 
 
+def test_no_block_or_tile_is_broadcast(spark):
+    """Blocks are repeated for every group of tiles, so their file's size says little of them."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-9, 9, 4).astype(float).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    plan = topk.top_k(df, df["vec_id"] % 50 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("held", [1, 3])
+def test_more_tiles_than_a_group_holds(spark, monkeypatch, held):
+    monkeypatch.setattr(topk, "HELD", held)
+    monkeypatch.setattr(topk, "TILE", 50)
+    rng = np.random.default_rng(5)
+    rows = [(i, np.float32(rng.standard_normal(4 + i % 2)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df["vec_id"] % 9 == 0, k=5).collect())
+    assert got == sorted(brute(rows, 5, 9))
+
+
 def test_stops_on_proof():
     """With a good score known, low levels of impact are not summed; the result is exact."""
     rng = np.random.default_rng(3)
