@@ -190,6 +190,19 @@ def test_short_articles_give_their_body(spark):
     assert got[0].startswith("Ad One aaa") and got[1].startswith("One aaa")
 
 
+def test_short_pages_are_content(spark):
+    """A page of 100 characters or fewer gives its body's text, unless nothing of it stays or
+    a chosen body was cleaned away."""
+    short = '<body><nav>Go</nav><div class="ad">Ad</div><article><h1>One</h1><p><b>One<br></article><footer>end</footer></body>'
+    empty = '<body><nav>Go</nav><footer>end</footer><img src="/a-long-name-of-an-image-without-any-words.jpg"></body>'
+    cleaned = f"<body><article><nav>{'go ' * 99}</nav></article></body>"
+    bare = f"<body><article>{'<nav>' + 'g' * 201 + '</nav>'}</article><p>{'kept ' * 5}</p></body>"
+    got = extract.extract_articles(pages(spark, short, empty, cleaned, bare)).orderBy("page_id").collect()
+    assert got[0].success and got[0].text == "Ad One One" and got[0].title == "One" and "Go" not in got[0].article_html
+    assert not got[1].success and got[1].error == "Content too short"
+    assert not got[2].success and not got[3].success
+
+
 def test_summaries_cut_after_a_line_end(spark):
     """A chapter that begins right at the cut leaves the line end before it."""
     ch = spark.createDataFrame([(1, 0, "a" * 9), (1, 1, "b" * 9), (2, 0, "a" * 9), (3, 0, "a" * 10), (3, 1, "b")], "book_id int, chapter_idx int, text string")
